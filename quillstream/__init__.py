@@ -4,10 +4,10 @@ import sys
 
 from pyspark import cloudpickle
 
-from quillstream.session import build_session, prepare, work_dir
+from quillstream.session import build_session, prepare, stage, work_dir
 
 # The few functions that run in Python workers travel with the job, so that executors need not
 # have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-__all__ = ["build_session", "prepare", "work_dir"]
+__all__ = ["build_session", "prepare", "stage", "work_dir"]

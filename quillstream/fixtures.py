@@ -17,6 +17,7 @@ from quillstream.functions import ip, scores
 from quillstream.operators import geo
 from quillstream.plans.processed import to_table
 from quillstream.session import prepare
+from quillstream.sources import wire
 from quillstream.sources.raw_feed import edits_only, valid_ids
 
 AS_OF = dt.datetime(2024, 1, 31, tzinfo=dt.timezone.utc)
@@ -184,3 +185,21 @@ def raw_lines(rows: DataFrame) -> DataFrame:
         ),
         F.expr("ts + INTERVAL 5 SECONDS").alias("ingest_ts"),
     )
+
+
+def wire_messages(rows: DataFrame) -> DataFrame:
+    """Wire messages, some of them damaged: (``event_id``, ``key``, ``value``)."""
+    source = located(rows).withColumn("event_id", F.col("id"))
+    damage = {
+        1: "substring(value, 1, 20)",
+        2: """regexp_replace(value, '"timestamp":"[^"]*"', '"timestamp":"yesterday"')""",
+        3: """regexp_replace(value, '"id":', '"id":"abc","was":')""",
+        4: "CAST(NULL AS STRING)",
+        5: """regexp_replace(value, '"bot":[a-z]*', '"bot":"maybe"')""",
+        6: """regexp_replace(value, '"timestamp":"[^"]*"', '"timestamp":1712512951.742000000')""",
+        7: """regexp_replace(value, '"title":"[^"]*"', '"title":null')""",
+    }
+    cases = " ".join(f"WHEN {rest} THEN {sql}" for rest, sql in damage.items())
+    return wire.encode_events(source, "event_id").withColumn(
+        "value", F.expr(f"CASE event_id % 41 {cases} ELSE value END")
+    )

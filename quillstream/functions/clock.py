@@ -8,7 +8,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DECIMAL_SECONDS = r"\A[+-]?\d+(?:\.\d+)?\z"
+DECIMAL_SECONDS = r"\A[+-]?\d+(?:\.\d+)?(?:[Ee][+-]?\d+)?\z"
 ISO_INSTANT = (
     r"\A\d{4}-\d{2}-\d{2}[Tt]\d{2}:\d{2}:\d{2}(?:\.\d{1,9})?(?:[Zz]|[+-]\d{2}:\d{2})\z"
 )

@@ -93,13 +93,17 @@ def locate(addresses: DataFrame, networks: DataFrame) -> DataFrame:
     return found.groupBy("ip").agg(best.alias("place")).select("ip", "place.*")
 
 
-def enrich(edits: DataFrame, networks: DataFrame, user: str = "user") -> DataFrame:
+def enrich(
+    edits: DataFrame, networks: DataFrame, user: str = "user", users: DataFrame | None = None
+) -> DataFrame:
     """Add ``country`` and ``city``: null for registered users, Unknown when not found.
 
     ``networks`` is a table like the one ``index_networks`` takes. The join key is the user name
-    itself, since only anonymous names occur among the located addresses.
+    itself, since only anonymous names occur among the located addresses. ``users`` is where to
+    read the names from when ``edits`` is costly to compute twice.
     """
-    anonymous = edits.where(F.col("is_anonymous")).select(F.col(user).alias("ip"))
+    source = edits if users is None else users
+    anonymous = source.where(F.col("is_anonymous")).select(F.col(user).alias("ip"))
     places = locate(anonymous, networks).select(
         F.col("ip").alias("_ip"), F.col("country").alias("_country"), F.col("city").alias("_city")
     )

@@ -17,6 +17,18 @@ def first_per_key(rows: DataFrame, key: list[str], order: list[str]) -> DataFram
     return picked.select(*key, "_first.*").select(*rows.columns)
 
 
+def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """``first_per_key`` for a table in which few keys repeat.
+
+    Only keys are shuffled to find the repeated ones; whole rows are grouped for those alone.
+    """
+    counts = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
+    repeated = counts.select(*key)
+    single = rows.join(repeated, key, "left_anti").select(*rows.columns)
+    several = rows.join(repeated, key, "left_semi").select(*rows.columns)
+    return single.unionByName(first_per_key(several, key, order))
+
+
 def reject_existing(rows: DataFrame, existing: DataFrame, key: list[str]) -> DataFrame:
     """Rows whose key is not in ``existing``."""
     return rows.join(existing.select(*key), key, "left_anti")

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from quillstream import schemas
 from quillstream.functions import scores
-from quillstream.operators import keyed
+from quillstream.operators import geo, keyed
 from quillstream.operators.anchored import past_limit
+from quillstream.session import stage
 from quillstream.sources.raw_feed import valid_ids
 
 # Life of a dedup mark, span of the velocity window, edits allowed in it.
@@ -66,15 +67,23 @@ def feed_rows(edits: DataFrame) -> DataFrame:
     return edits.select(*schemas.FEED_COLUMNS)
 
 
-def process(events: DataFrame, clock: str, tie: str, bot_clock: str | None = None) -> DataFrame:
-    """The table as a batch job over deliveries.
+def process(
+    events: DataFrame,
+    networks: DataFrame,
+    clock: str,
+    tie: str,
+    bot_clock: str | None = None,
+) -> DataFrame:
+    """The table as a batch job over a table of deliveries.
 
-    ``clock`` is the arrival time of a delivery and ``tie`` orders deliveries that arrive together
-    (a source offset, say). An id that returns after its mark has expired counts for velocity but
-    is not stored again.
+    ``clock`` is the arrival time of a delivery. ``tie`` orders deliveries that arrive together
+    and tells them apart (a source offset, say). An id that returns after its mark has expired
+    counts for velocity but is not stored again. Each step reads the staged result of the one
+    before, so the counting passes scan only keys and times.
     """
-    accepted = drop_replays(valid_ids(events), clock, tie)
+    accepted = stage(drop_replays(valid_ids(events), clock, tie), "accepted")
     flagged = flag_bots(accepted, bot_clock or clock, "id")
-    ordered = to_table(flagged, clock, tie)
-    first = keyed.first_per_key(ordered, ["id"], [clock, tie])
+    placed = geo.enrich(flagged, networks, users=accepted)
+    scored = stage(to_table(placed, clock, tie), "scored")
+    first = keyed.keep_first(scored, ["id"], [clock, tie])
     return first.select(*schemas.columns(schemas.PROCESSED_EDITS))

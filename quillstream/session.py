@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on. All are runtime settings, so they can be applied to a session the
 # cluster has already created.
@@ -49,3 +49,15 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         shared = tempfile.mkdtemp(prefix="quillstream-")
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def stage(rows: DataFrame, purpose: str) -> DataFrame:
+    """Write an intermediate result and read it back.
+
+    What follows scans only the columns it needs, as often as it needs, and survives the loss of
+    executors without recomputing what came before. The file sizes tell Spark what to broadcast.
+    """
+    spark = rows.sparkSession
+    path = work_dir(spark, purpose)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)

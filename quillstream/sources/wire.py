@@ -50,11 +50,15 @@ def _iso(ts: Column) -> Column:
     return F.date_format(ts, ISO_FORMAT)
 
 
-def encode_events(events: DataFrame) -> DataFrame:
-    """Events as (``key``, ``value``): title and JSON text, ready for a keyed publish."""
+def encode_events(events: DataFrame, *carried: str) -> DataFrame:
+    """Events as (``key``, ``value``): title and JSON text, ready for a keyed publish.
+
+    ``carried`` columns are kept in front. Fields the events lack are left out.
+    """
     fields = [
         (_iso(F.col(name)) if name == "timestamp" else F.col(name)).alias(wire)
         for name, wire in EVENT_FIELDS.items()
+        if name in events.columns
     ]
     if "meta" in events.columns:
         meta = F.struct(
@@ -62,7 +66,8 @@ def encode_events(events: DataFrame) -> DataFrame:
         )
         fields.append(F.when(F.col("meta").isNotNull(), meta).alias("meta"))
     body = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
-    return events.select(partition_key(F.col("title")).alias("key"), body.alias("value"))
+    key = partition_key(F.col("title")).alias("key")
+    return events.select(*carried, key, body.alias("value"))
 
 
 def encode_alerts(alerts: DataFrame) -> DataFrame:
