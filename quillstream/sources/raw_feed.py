@@ -1,8 +1,7 @@
 """Raw recent-change objects: scan and parse job.
 
-A raw event is one JSON object per line. Its fields are loosely typed, so the text is parsed once
-to a VARIANT and every column is read from there: a VARIANT keeps the difference between the
-number ``12.7`` (truncated to 12) and the string ``"12.7"`` (not an integer, so null).
+A raw event is one JSON object per line with loosely typed fields. A VARIANT keeps the difference
+between the number ``12.7`` (truncated to 12) and the string ``"12.7"`` (not an integer, so null).
 """
 
 from __future__ import annotations
@@ -51,24 +50,33 @@ def _stamped(lines: DataFrame) -> DataFrame:
     return lines.select("value", F.col("_metadata.file_modification_time").alias("ingest_ts"))
 
 
-def _text(path: str) -> Column:
-    return F.try_variant_get(F.col("raw"), path, "string")
-
-
-def _kind(path: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(F.col("raw"), path, "variant"))
-
-
-def _long(path: str) -> Column:
-    """A number is truncated, a string must be a strict integer, anything else is null."""
-    number = F.try_variant_get(F.col("raw"), path, "bigint")
-    text = _text(path)
-    strict = F.when(text.rlike(STRICT_INTEGER), text.try_cast("bigint"))
-    return F.when(_kind(path).rlike(NUMBER_KINDS), number).when(_kind(path) == "STRING", strict)
+# Fields whose JSON type matters are read as VARIANT, the others as text, in one pass.
+RAW = """
+    id VARIANT, title STRING, user STRING, timestamp VARIANT, type STRING, bot STRING,
+    comment STRING, server_url STRING, namespace VARIANT, length VARIANT, meta VARIANT,
+    _corrupt_record STRING
+"""
+# Integer column -> where it is found.
+INTEGERS = {
+    "id": ("raw.id", "$"),
+    "timestamp": ("raw.timestamp", "$"),
+    "namespace": ("raw.namespace", "$"),
+    "old": ("raw.length", "$.old"),
+    "new": ("raw.length", "$.new"),
+}
+
+
+def _long(text: Column, field: str, path: str) -> Column:
+    """A strict integer, be it a number or a string; a fractional number is truncated."""
+    # Only text that is no integer needs a look at its JSON type, which costs more.
+    kind = F.schema_of_variant(F.try_variant_get(field, path, "variant"))
+    number = F.when(kind.rlike(NUMBER_KINDS), F.try_variant_get(field, path, "bigint"))
+    return F.when(text.rlike(STRICT_INTEGER), text.try_cast("bigint")).when(
+        text.isNotNull(), number
+    )
 
 
-def _int(path: str) -> Column:
-    value = _long(path)
+def _int(value: Column) -> Column:
     return F.when(value.between(INT_MIN, INT_MAX), value.cast("int"))
 
 
@@ -78,33 +86,45 @@ def parse(lines: DataFrame) -> DataFrame:
     A timestamp that is neither a number nor an integer string falls back to ``ingest_ts``. Byte
     differences beyond the int range become 0. Location is left to the IP range join.
     """
-    comment = F.coalesce(_text("$.comment"), F.lit(""))
-    user = _text("$.user")
-    length = F.try_subtract(_int("$.length.new"), _int("$.length.old"))
-    meta_dt = F.when(_kind("$.meta.dt") == "STRING", clock.iso_instant(_text("$.meta.dt")))
-    meta_text = [_text(f"$.meta.{name}") for name in META_TEXT]
-    meta = F.struct(
-        *[value.alias(name) for name, value in zip(META_TEXT, meta_text)], meta_dt.alias("dt")
+    raw = lines.select("value", "ingest_ts", F.from_json("value", RAW).alias("raw"))
+    # Each step names what the next one uses more than once.
+    texts = raw.select(
+        "*",
+        F.coalesce("raw.comment", F.lit("")).alias("comment"),
+        *[
+            F.try_variant_get(field, path, "string").alias(f"{name}_text")
+            for name, (field, path) in INTEGERS.items()
+        ],
+        *[F.try_variant_get("raw.meta", f"$.{name}", "string").alias(name) for name in META_TEXT],
+        clock.iso_instant(F.try_variant_get("raw.meta", "$.dt", "string")).alias("dt"),
+    )
+    numbers = texts.select(
+        "*",
+        *[
+            _long(F.col(f"{name}_text"), field, path).alias(name)
+            for name, (field, path) in INTEGERS.items()
+        ],
     )
-    any_meta = F.coalesce(*meta_text, meta_dt.cast("string")).isNotNull()
-    parsed = lines.select("value", "ingest_ts", F.try_parse_json("value").alias("raw"))
-    return parsed.select(
+    any_meta = F.coalesce(*META_TEXT, F.col("dt").cast("string")).isNotNull()
+    return numbers.select(
         "value",
         "ingest_ts",
-        F.col("raw").isNotNull().alias("decodable"),
-        _long("$.id").alias("id"),
-        _text("$.title").alias("title"),
-        user.alias("user"),
-        F.coalesce(clock.epoch_timestamp(_long("$.timestamp")), "ingest_ts").alias("timestamp"),
-        _text("$.type").alias("type"),
-        F.coalesce(F.lower(_text("$.bot")) == "true", F.lit(False)).alias("bot"),
-        comment.alias("comment"),
-        _text("$.server_url").alias("server_url"),
-        _int("$.namespace").alias("namespace"),
-        F.coalesce(length, F.lit(0)).alias("byte_diff"),
-        scores.is_revert(comment).alias("is_revert"),
-        ip.is_anonymous(user).alias("is_anonymous"),
-        F.when(any_meta, meta).alias("meta"),
+        F.col("raw._corrupt_record").isNull().alias("decodable"),
+        "id",
+        "raw.title",
+        "raw.user",
+        F.coalesce(clock.epoch_timestamp(F.col("timestamp")), "ingest_ts").alias("timestamp"),
+        "raw.type",
+        F.coalesce(F.lower("raw.bot") == "true", F.lit(False)).alias("bot"),
+        "comment",
+        "raw.server_url",
+        _int(F.col("namespace")).alias("namespace"),
+        F.coalesce(
+            F.try_subtract(_int(F.col("new")), _int(F.col("old"))), F.lit(0)
+        ).alias("byte_diff"),
+        scores.is_revert(F.col("comment")).alias("is_revert"),
+        ip.is_anonymous(F.col("raw.user")).alias("is_anonymous"),
+        F.when(any_meta, F.struct(*META_TEXT, "dt")).alias("meta"),
     )
 
 
