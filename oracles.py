@@ -437,4 +437,21 @@ FROM (SELECT ts, 0.0::DOUBLE AS seconds FROM edits
   count(*) AS rows, round(count(*) * 3.0 / sum(count(*)) OVER (), 6) AS skew_ratio
 FROM edits GROUP BY 1"""
     ),
+    "stream_first_deliveries": _sql("SELECT id FROM valid"),
+    "stream_processed_edits": _sql(
+        """SELECT id, user_name, CASE WHEN k % 19 = 0 THEN '7' ELSE title END AS page_title,
+  type AS event_type, comment AS edit_comment, server_url,
+  CASE WHEN k % 23 = 0 THEN NULL ELSE namespace END AS namespace, country, city,
+  CASE WHEN k % 29 = 0 THEN 0 ELSE byte_diff END AS byte_diff, is_revert, is_anonymous,
+  CASE k % 4 WHEN 3 THEN ts + INTERVAL 5 SECOND ELSE date_trunc('second', ts)
+  END AS edit_timestamp,
+  CASE WHEN k % 19 = 0 THEN CAST(complexity_score - 2 * length(title) + 2 AS INT)
+       ELSE complexity_score END AS complexity_score
+FROM stored WHERE k % 37 <> 36 AND id % 5 <> 3"""
+    ),
+    "stream_rollups": _sql("SELECT * FROM rollups"),
+    "stream_anomalies": _sql("SELECT * FROM alerts", ALERTS),
 }
+# These streams answer the same questions as a batch query.
+ORACLES["stream_bot_velocity"] = ORACLES["bot_velocity"]
+ORACLES["stream_dead_letters"] = ORACLES["quarantine_reasons"]

@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -46,14 +46,20 @@ def past_limit(
     limit: int,
     flag: str,
     chunk_cells: int = CHUNK_CELLS,
+    through: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add the boolean ``flag``: the row is not among the first ``limit`` of its window.
 
     Rows are ordered by (``ts``, ``tie``); ``tie`` should be unique per key and time, rows equal
     in both count as one position. Rows with a null key or time are not counted.
+
+    ``through`` may write the windows to a table and read it back before the rows join them: their
+    size is then known in time to spare the rows a shuffle when it is small.
     """
     ttl = ttl_seconds * MICROS
     windows = full_windows(rows, key, ts, tie, ttl, limit, chunk_cells)
+    if through is not None:
+        windows = through(windows)
     cells = F.sequence(_floor(F.col("cut"), ttl), _floor(F.col("stop") - 1, ttl))
     per_cell = windows.select(
         F.col("k").alias("_k"),

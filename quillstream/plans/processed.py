@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from quillstream.session import stage
 from quillstream.sources.raw_feed import valid_ids
 
 # Life of a dedup mark, span of the velocity window, edits allowed in it.
-DEDUP_TTL_SECONDS = 24 * 3600
-VELOCITY_SECONDS = 60
-VELOCITY_LIMIT = 5
+DEDUP_TTL_SECONDS, DEDUP_LIMIT = 24 * 3600, 1
+VELOCITY_SECONDS, VELOCITY_LIMIT = 60, 5
+
+Through = Callable[[DataFrame], DataFrame] | None
 
 # Event column -> table column.
 RENAMES = {
@@ -35,18 +38,21 @@ RENAMES = {
 }
 
 
-def drop_replays(events: DataFrame, ts: str, tie: str) -> DataFrame:
+def drop_replays(events: DataFrame, ts: str, tie: str, through: Through = None) -> DataFrame:
     """Keep the first delivery of an id; within 24 h of it further deliveries are dropped."""
-    marked = past_limit(events, "id", ts, tie, DEDUP_TTL_SECONDS, 1, "_replay")
+    marked = past_limit(
+        events, "id", ts, tie, DEDUP_TTL_SECONDS, DEDUP_LIMIT, "_replay", through=through
+    )
     return marked.where(~F.col("_replay")).drop("_replay")
 
 
-def flag_bots(events: DataFrame, ts: str, tie: str, user: str = "user") -> DataFrame:
+def flag_bots(
+    events: DataFrame, ts: str, tie: str, user: str = "user", through: Through = None
+) -> DataFrame:
     """Add ``is_bot``: the user's sixth or later edit within 60 s of the first."""
-    named = F.when(~scores.is_blank(F.col(user)), F.col(user))
-    keyed_events = events.withColumn("_user", named)
+    named = events.withColumn("_user", F.when(~scores.is_blank(F.col(user)), F.col(user)))
     marked = past_limit(
-        keyed_events, "_user", ts, tie, VELOCITY_SECONDS, VELOCITY_LIMIT, "is_bot"
+        named, "_user", ts, tie, VELOCITY_SECONDS, VELOCITY_LIMIT, "is_bot", through=through
     )
     return marked.drop("_user")
 
@@ -81,8 +87,12 @@ def process(
     counts for velocity but is not stored again. Each step reads the staged result of the one
     before, so the counting passes scan only keys and times.
     """
-    accepted = stage(drop_replays(valid_ids(events), clock, tie), "accepted")
-    flagged = flag_bots(accepted, bot_clock or clock, "id")
+
+    def table(windows: DataFrame) -> DataFrame:
+        return stage(windows, "windows")
+
+    accepted = stage(drop_replays(valid_ids(events), clock, tie, table), "accepted")
+    flagged = flag_bots(accepted, bot_clock or clock, "id", through=table)
     placed = geo.enrich(flagged, networks, users=accepted)
     scored = stage(to_table(placed, clock, tie), "scored")
     first = keyed.keep_first(scored, ["id"], [clock, tie])

@@ -40,11 +40,25 @@ def aggregate_window(edits: DataFrame, start: dt.datetime, end: dt.datetime) ->
 
 
 def refresh(
-    spark: SparkSession, edits_path: str, rollups_path: str, start: dt.datetime, end: dt.datetime
+    spark: SparkSession, edits_path: str, rollups_path: str, buckets: DataFrame
 ) -> None:
-    """Recompute the buckets that touch ``[start, end)`` whole and upsert them."""
-    edges = [clock.as_utc(moment).timestamp() for moment in (start, end)]
-    low = int(edges[0] // BUCKET_SECONDS) * BUCKET_SECONDS
-    high = -int(-edges[1] // BUCKET_SECONDS) * BUCKET_SECONDS
-    bounds = [dt.datetime.fromtimestamp(edge, dt.timezone.utc) for edge in (low, high)]
-    tables.upsert_rollups(rollup(tables.read_edits(spark, edits_path, *bounds)), rollups_path)
+    """Recompute the given ``time_bucket`` values whole from the edits table and upsert them.
+
+    Only the dates of the buckets are scanned. The dates are collected, never the buckets.
+    """
+    dates = [row[0] for row in buckets.select(F.to_date("time_bucket")).distinct().collect()]
+    if not dates:
+        return
+    bucket = clock.bucket_start(F.col("edit_timestamp"), BUCKET_SECONDS)
+    counted = _count(tables.read_dates(spark, edits_path, dates), bucket)
+    tables.upsert_rollups(counted.join(buckets, "time_bucket", "left_semi"), rollups_path)
+
+
+def refresh_last(
+    spark: SparkSession, edits_path: str, rollups_path: str, now: dt.datetime | None = None
+) -> None:
+    """Roll up the ten minutes that end at ``now``, cut to the second, as one bucket."""
+    end = clock.as_utc(now or dt.datetime.now(dt.timezone.utc)).replace(microsecond=0)
+    start = end - dt.timedelta(seconds=BUCKET_SECONDS)
+    edits = tables.read_edits(spark, edits_path, start, end)
+    tables.upsert_rollups(aggregate_window(edits, start, end), rollups_path)

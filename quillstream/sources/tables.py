@@ -19,6 +19,8 @@ from quillstream.operators import keyed
 
 EDITS_DATE, BATCH = "edit_date", "ingest_batch"
 BUCKET_DATE = "bucket_date"
+# Writers per date: one hot date is spread over several tasks.
+FILES_PER_DATE = 16
 ROLLUP_KEY = ["time_bucket", "language", "namespace"]
 
 
@@ -62,6 +64,12 @@ def read_edits(
     return rows.select(*schemas.columns(schemas.PROCESSED_EDITS))
 
 
+def read_dates(spark: SparkSession, path: str, dates: list[dt.date]) -> DataFrame:
+    """Edits of the given UTC dates."""
+    rows = _edits(spark, path).where(F.col(EDITS_DATE).isin(dates))
+    return rows.select(*schemas.columns(schemas.PROCESSED_EDITS))
+
+
 def read_rollups(
     spark: SparkSession,
     path: str,
@@ -112,7 +120,7 @@ def insert_edits(edits: DataFrame, path: str, batch_id: int) -> DataFrame:
             .withColumn(BATCH, F.lit(batch_id).cast("bigint"))
         )
         (
-            dated.repartition(EDITS_DATE, F.pmod(F.xxhash64("id"), F.lit(_FILES_PER_DATE)))
+            dated.repartition(EDITS_DATE, F.pmod(F.xxhash64("id"), F.lit(FILES_PER_DATE)))
             .sortWithinPartitions(EDITS_DATE, "id")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
@@ -123,9 +131,6 @@ def insert_edits(edits: DataFrame, path: str, batch_id: int) -> DataFrame:
     return stored.select(*schemas.columns(schemas.PROCESSED_EDITS))
 
 
-_FILES_PER_DATE = 16
-
-
 def upsert_rollups(fresh: DataFrame, path: str) -> None:
     """Replace the counts of the keys in ``fresh``; every other key stays as it is.
 
@@ -149,7 +154,7 @@ def upsert_rollups(fresh: DataFrame, path: str) -> None:
 
 
 def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
-    """Append a micro-batch to a side table (feed, alerts, dead letters); replays overwrite."""
+    """Append a micro-batch to a table of its own partitions; a replay overwrites them."""
     (
         rows.withColumn(BATCH, F.lit(batch_id).cast("bigint"))
         .write.mode("overwrite")

@@ -1,0 +1,76 @@
+"""Streaming form of the velocity rule."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import BooleanType, StructType
+
+from quillstream.functions.scores import is_blank
+from quillstream.plans.processed import VELOCITY_LIMIT, VELOCITY_SECONDS
+
+SPAN = pd.Timedelta(seconds=VELOCITY_SECONDS)
+BLANK, BLANK_KEYS = "\x00", 256
+RUN_ROWS = 200_000
+
+
+def flag_bots(events: DataFrame, clock: str, user: str = "user") -> DataFrame:
+    """Add ``is_bot`` to a stream with a watermark on ``clock``.
+
+    State per user is the start of the open window and its count. Events count in order of
+    arrival: by ``clock`` and id in sorted runs of a micro-batch, and an event older than the open
+    window counts in it. A run is bounded, so a hot user costs time, not memory, and the size of
+    the micro-batch bounds the time. Events without a user are never bot edits; they are spread
+    over keys of their own and leave no state.
+    """
+    salt = F.pmod(F.xxhash64("id"), F.lit(BLANK_KEYS)).cast("string")
+    key = F.when(is_blank(F.col(user)), F.concat(F.lit(BLANK), salt)).otherwise(F.col(user))
+    schema = StructType([*events.schema.fields]).add("is_bot", BooleanType())
+
+    def count(
+        group: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        if group[0].startswith(BLANK):
+            for batch in batches:
+                yield batch.assign(is_bot=False)[schema.names]
+            return
+        start, n = state.get if state.exists else (None, 0)
+        anchor = None if start is None else pd.Timestamp(start, unit="us")
+        for run in _sorted_runs(batches, [clock, "id"]):
+            verdicts = []
+            for moment in run[clock]:
+                if anchor is None or moment >= anchor + SPAN:
+                    anchor, n = moment, 0
+                n += 1
+                verdicts.append(n > VELOCITY_LIMIT)
+            yield run.assign(is_bot=verdicts)[schema.names]
+        if anchor is not None:
+            state.update((anchor.value // 1000, n))
+            end = (anchor + SPAN).value // 1_000_000
+            state.setTimeoutTimestamp(max(end, state.getCurrentWatermarkMs() + 1))
+
+    return (
+        events.withColumn("_key", key)
+        .groupBy("_key")
+        .applyInPandasWithState(
+            count, schema, "start BIGINT, n INT", "append", GroupStateTimeout.EventTimeTimeout
+        )
+    )
+
+
+def _sorted_runs(batches: Iterator[pd.DataFrame], order: list[str]) -> Iterator[pd.DataFrame]:
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= RUN_ROWS:
+            yield pd.concat(held).sort_values(order)
+            held = []
+    if held:
+        yield pd.concat(held).sort_values(order)
