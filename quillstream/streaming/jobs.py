@@ -7,8 +7,9 @@ matters it is the arrival time of a message, which never falls behind the waterm
 
 from __future__ import annotations
 
+import contextlib
 import dataclasses
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,16 @@ def to_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str) ->
     )
 
 
+@contextlib.contextmanager
+def _computed_once(batch: DataFrame) -> Iterator[DataFrame]:
+    """A writer reads its micro-batch several times; parsing and state must run only once."""
+    batch.persist()
+    try:
+        yield batch
+    finally:
+        batch.unpersist()
+
+
 def _start(
     rows: DataFrame,
     name: str,
@@ -94,8 +105,9 @@ def publish_edits(
     events = raw_feed.edits_only(raw_feed.parse(lines)).drop("value", "decodable")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        located = geo.enrich(batch, networks)
-        tables.append_batch(wire.encode_events(located), layout.table("edit_events"), batch_id)
+        with _computed_once(batch):
+            sent = wire.encode_events(geo.enrich(batch, networks))
+            tables.append_batch(sent, layout.table("edit_events"), batch_id)
 
     return _start(events, "edit_events", layout, write, trigger)
 
@@ -123,7 +135,8 @@ def store_edits(
     observed = scored.observe("edits", *metrics.counter_columns())
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        stored = tables.insert_edits(batch, layout.table("processed_edits"), batch_id)
+        with _computed_once(batch):
+            stored = tables.insert_edits(batch, layout.table("processed_edits"), batch_id)
         tables.append_batch(processed.feed_rows(stored), layout.table("live_feed"), batch_id)
 
     return _start(observed, "processed_edits", layout, write, trigger)
@@ -155,8 +168,8 @@ def refresh_rollups(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         bucket = bucket_start(F.col("edit_timestamp"), rollup.BUCKET_SECONDS)
-        touched = batch.select(bucket.alias("time_bucket")).distinct()
-        rollup.refresh(spark, path, layout.table("analytics_rollups"), touched)
+        with _computed_once(batch.select(bucket.alias("time_bucket")).distinct()) as touched:
+            rollup.refresh(spark, path, layout.table("analytics_rollups"), touched)
 
     return _start(fresh, "analytics_rollups", layout, write, trigger)
 
