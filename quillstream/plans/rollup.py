@@ -20,11 +20,12 @@ def _count(edits: DataFrame, bucket) -> DataFrame:
     raw = edits.groupBy(bucket.alias("time_bucket"), "server_url", "namespace").agg(
         F.count("*").alias("total"), F.count_if(F.col("is_bot")).alias("bots")
     )
-    return raw.groupBy(
-        "time_bucket",
-        labels.normalize_language(F.col("server_url")).alias("language"),
-        labels.normalize_namespace(F.col("namespace")).alias("namespace"),
-    ).agg(F.sum("total").alias("total_edits"), F.sum("bots").alias("bot_edits"))
+    labelled = labels.with_language(raw, "server_url").withColumn(
+        "namespace", labels.normalize_namespace(F.col("namespace"))
+    )
+    return labelled.groupBy("time_bucket", "language", "namespace").agg(
+        F.sum("total").alias("total_edits"), F.sum("bots").alias("bot_edits")
+    )
 
 
 def rollup(edits: DataFrame) -> DataFrame:

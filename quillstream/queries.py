@@ -190,15 +190,15 @@ def live_feed(spark, sf_dir):
 def edits_in_range(spark, sf_dir):
     """Write the edits table, then scan one week of it."""
     path = work_dir(spark, "edits")
-    tables.insert_edits(fx.processed(spark, sf_dir), path, 0)
+    tables.insert_edits(fx.processed(spark, sf_dir, placed=True), path, 0)
     return tables.read_edits(spark, path, _utc(8), _utc(15))
 
 
 # ---- rollups ----------------------------------------------------------------------------------
 
 
-def _dashboard(spark, sf_dir):
-    edits = fx.processed(spark, sf_dir)
+def _dashboard(spark, sf_dir, placed=False):
+    edits = fx.processed(spark, sf_dir, placed=placed)
     return Dashboard(edits, rollup.rollup(edits), fx.AS_OF)
 
 
@@ -351,17 +351,17 @@ def raw_kpis(spark, sf_dir):
 
 @register
 def geo_top10(spark, sf_dir):
-    return _dashboard(spark, sf_dir).geo()
+    return _dashboard(spark, sf_dir, placed=True).geo()
 
 
 @register
 def geo_wikipedia_human(spark, sf_dir):
-    return _dashboard(spark, sf_dir).geo("wikipedia", False, "7d")
+    return _dashboard(spark, sf_dir, placed=True).geo("wikipedia", False, "7d")
 
 
 @register
 def geo_bar_widths(spark, sf_dir):
-    return geo_leaderboard(_dashboard(spark, sf_dir).geo())
+    return geo_leaderboard(_dashboard(spark, sf_dir, placed=True).geo())
 
 
 @register

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillstream import schemas
 from quillstream.functions import clock, ip, scores
 
 STRICT_INTEGER = r"\A[+-]?\d+\z"
@@ -58,11 +59,11 @@ RAW = """
 """
 # Integer column -> where it is found.
 INTEGERS = {
-    "id": ("raw.id", "$"),
-    "timestamp": ("raw.timestamp", "$"),
-    "namespace": ("raw.namespace", "$"),
-    "old": ("raw.length", "$.old"),
-    "new": ("raw.length", "$.new"),
+    "id": ("raw_id", "$"),
+    "timestamp": ("raw_timestamp", "$"),
+    "namespace": ("raw_namespace", "$"),
+    "old": ("raw_length", "$.old"),
+    "new": ("raw_length", "$.new"),
 }
 
 
@@ -86,17 +87,21 @@ def parse(lines: DataFrame) -> DataFrame:
     A timestamp that is neither a number nor an integer string falls back to ``ingest_ts``. Byte
     differences beyond the int range become 0. Location is left to the IP range join.
     """
-    raw = lines.select("value", "ingest_ts", F.from_json("value", RAW).alias("raw"))
+    names = [f"raw_{name}" for name in schemas.columns(RAW)]
+    # Read as a generator: a filter on the fields would otherwise move below the projection and
+    # read the JSON a second time.
+    once = F.inline_outer(F.array(F.from_json("value", RAW)))
+    raw = lines.select("value", "ingest_ts", once.alias(*names))
     # Each step names what the next one uses more than once.
     texts = raw.select(
         "*",
-        F.coalesce("raw.comment", F.lit("")).alias("comment"),
+        F.coalesce("raw_comment", F.lit("")).alias("comment"),
         *[
             F.try_variant_get(field, path, "string").alias(f"{name}_text")
             for name, (field, path) in INTEGERS.items()
         ],
-        *[F.try_variant_get("raw.meta", f"$.{name}", "string").alias(name) for name in META_TEXT],
-        clock.iso_instant(F.try_variant_get("raw.meta", "$.dt", "string")).alias("dt"),
+        *[F.try_variant_get("raw_meta", f"$.{name}", "string").alias(name) for name in META_TEXT],
+        clock.iso_instant(F.try_variant_get("raw_meta", "$.dt", "string")).alias("dt"),
     )
     numbers = texts.select(
         "*",
@@ -109,21 +114,21 @@ def parse(lines: DataFrame) -> DataFrame:
     return numbers.select(
         "value",
         "ingest_ts",
-        F.col("raw._corrupt_record").isNull().alias("decodable"),
+        F.col("raw__corrupt_record").isNull().alias("decodable"),
         "id",
-        "raw.title",
-        "raw.user",
+        F.col("raw_title").alias("title"),
+        F.col("raw_user").alias("user"),
         F.coalesce(clock.epoch_timestamp(F.col("timestamp")), "ingest_ts").alias("timestamp"),
-        "raw.type",
-        F.coalesce(F.lower("raw.bot") == "true", F.lit(False)).alias("bot"),
+        F.col("raw_type").alias("type"),
+        F.coalesce(F.lower("raw_bot") == "true", F.lit(False)).alias("bot"),
         "comment",
-        "raw.server_url",
+        F.col("raw_server_url").alias("server_url"),
         _int(F.col("namespace")).alias("namespace"),
         F.coalesce(
             F.try_subtract(_int(F.col("new")), _int(F.col("old"))), F.lit(0)
         ).alias("byte_diff"),
         scores.is_revert(F.col("comment")).alias("is_revert"),
-        ip.is_anonymous(F.col("raw.user")).alias("is_anonymous"),
+        ip.is_anonymous(F.col("raw_user")).alias("is_anonymous"),
         F.when(any_meta, F.struct(*META_TEXT, "dt")).alias("meta"),
     )
 

@@ -107,10 +107,13 @@ def decode_events(messages: DataFrame) -> DataFrame:
     schema = f"{text_fields}, {meta}, {CORRUPT} STRING"
     options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
     carried = [name for name in messages.columns if name != "value"]
-    read = messages.select(*carried, "value", F.from_json("value", schema, options).alias("m"))
+    names = [f"m_{name}" for name in (*EVENT_FIELDS, "meta", CORRUPT)]
+    # Read as a generator, so that the quarantine split does not read the JSON a second time.
+    once = F.inline_outer(F.array(F.from_json("value", schema, options)))
+    read = messages.select(*carried, "value", once.alias(*names))
 
     def field(name: str) -> Column:
-        return F.col(f"m.{EVENT_FIELDS[name]}")
+        return F.col(f"m_{name}")
 
     def whole(name: str, kind: str) -> Column:
         number = F.when(field(name).rlike(INTEGER), field(name).try_cast("decimal(38,9)"))
@@ -131,7 +134,7 @@ def decode_events(messages: DataFrame) -> DataFrame:
             columns[name] = field(name)
 
     reason = F.when(F.col("value").isNull(), "empty_payload").when(
-        F.col(f"m.{CORRUPT}").isNotNull(), "malformed_json"
+        field(CORRUPT).isNotNull(), "malformed_json"
     )
     for name, value in columns.items():
         if name not in ("title", "user", "type", "comment", "server_url", "country", "city"):
@@ -139,15 +142,15 @@ def decode_events(messages: DataFrame) -> DataFrame:
                 field(name).isNotNull() & (field(name) != "") & value.isNull(), f"bad_{name}"
             )
     meta_value = F.struct(
-        "m.meta.domain",
-        "m.meta.stream",
-        "m.meta.uri",
-        clock.wire_timestamp(F.col("m.meta.dt")).alias("dt"),
+        "m_meta.domain",
+        "m_meta.stream",
+        "m_meta.uri",
+        clock.wire_timestamp(F.col("m_meta.dt")).alias("dt"),
     )
     return read.select(
         *carried,
         *[value.alias(name) for name, value in columns.items()],
-        F.when(F.col("m.meta").isNotNull(), meta_value).alias("meta"),
+        F.when(field("meta").isNotNull(), meta_value).alias("meta"),
         "value",
         reason.alias("reason"),
     )

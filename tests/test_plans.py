@@ -61,7 +61,7 @@ def test_top_k_is_not_a_full_sort(board):
 
 def test_both_anomaly_counts_share_one_exchange(spark):
     text = plan(anomalies.detect(fx.events(fx.base(spark, DATA)), "ts_fast"))
-    assert text.count("Exchange") == 1 and "partial_count" in text and "Python" not in text
+    assert text.count("Exchange hashpartitioning") == 1 and "partial_count" in text and "Python" not in text
 
 
 def test_velocity_moves_only_keys_and_times_before_the_join(spark):

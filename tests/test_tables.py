@@ -159,8 +159,8 @@ def test_rollups_normalize_per_group_not_per_row(spark):
     tables.insert_edits(edits(spark, edit(1)), path, 0)
     counted = rollup.rollup(tables.read_edits(spark, path))
     text = counted._jdf.queryExecution().optimizedPlan().toString()
-    outer, inner = text.split("+- Aggregate", 1)
-    assert "https?://" in outer and "https?://" not in inner
+    above, below = text.split("+- Aggregate", 1)
+    assert "https?://" in above and "https?://" not in below
 
 
 def test_files_are_sorted_by_id(spark):
