@@ -10,14 +10,15 @@ single task, its timeline is cut into chunks that are folded side by side:
 
 1. Only keys that can exceed the limit are kept. A window spans two cells of ``ttl``, so one of
    them must hold half of the rows. The counts are combined before their shuffle.
-2. Of rows with the same key and time only ``limit + 1`` matter, chosen before the shuffle too.
+2. Rows with the same key and time become one tick with a count, combined before the shuffle too.
    This bounds a chunk by its clock ticks, whatever the number of rows.
 3. ``_chunk_steps`` describes each chunk as a step function from the end of the window that
    enters it to the end of the window that leaves it.
 4. ``_chain`` walks these small functions in order and tells each chunk which window enters it.
-5. ``_full_windows`` folds each chunk and emits the windows that exceed the limit, with the row
+5. ``_full_windows`` folds each chunk and emits the windows that exceed the limit, with the tick
    at which they do. A chunk also sees the first cell after it, to finish its last window.
-6. The rows join these windows on (key, cell). AQE broadcasts them when small and splits a hot
+6. Where the limit falls between rows of one tick, the rows of that tick are ranked by ``tie``.
+7. The rows join these windows on (key, cell). AQE broadcasts them when small and splits a hot
    key otherwise. Everything before this step moves keys and times only, never whole rows.
 """
 
@@ -30,10 +31,10 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
 MICROS = 1_000_000
-CHUNK_CELLS = 64
+CHUNK_SECONDS = 24 * 3600
 NEVER = -(2**62)
 
 
@@ -45,7 +46,7 @@ def past_limit(
     ttl_seconds: int,
     limit: int,
     flag: str,
-    chunk_cells: int = CHUNK_CELLS,
+    chunk_cells: int | None = None,
     through: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Add the boolean ``flag``: the row is not among the first ``limit`` of its window.
@@ -57,9 +58,14 @@ def past_limit(
     size is then known in time to spare the rows a shuffle when it is small.
     """
     ttl = ttl_seconds * MICROS
-    windows = full_windows(rows, key, ts, tie, ttl, limit, chunk_cells)
+    narrow = rows.select(
+        F.col(key).alias("k"), F.unix_micros(F.col(ts)).alias("t"), F.col(tie).alias("tie")
+    ).where(F.col("k").isNotNull() & F.col("t").isNotNull())
+    cells_per_chunk = chunk_cells or max(1, CHUNK_SECONDS // ttl_seconds)
+    windows = full_windows(narrow, ttl, limit, cells_per_chunk)
     if through is not None:
         windows = through(windows)
+    windows = _rank_ties(windows, narrow, limit)
     cells = F.sequence(_floor(F.col("cut"), ttl), _floor(F.col("stop") - 1, ttl))
     per_cell = windows.select(
         F.col("k").alias("_k"),
@@ -82,42 +88,41 @@ def past_limit(
     return joined.select(*rows.columns, F.col("_k").isNotNull().alias(flag))
 
 
-def full_windows(
-    rows: DataFrame, key: str, ts: str, tie: str, ttl: int, limit: int, chunk_cells: int
-) -> DataFrame:
-    """Windows with more than ``limit`` rows: key ``k``, ``cut`` and ``cut_tie`` of the last row
-    within the limit, and the end ``stop``; times in microseconds."""
-    narrow = rows.select(
-        F.col(key).alias("k"), F.unix_micros(F.col(ts)).alias("t"), F.col(tie).alias("tie")
-    ).where(F.col("k").isNotNull() & F.col("t").isNotNull())
-    busy = narrow.join(_busy_keys(narrow, ttl, limit), "k", "left_semi")
+def full_windows(narrow: DataFrame, ttl: int, limit: int, chunk_cells: int) -> DataFrame:
+    """Windows of the rows (``k``, ``t``, ``tie``) that hold more than ``limit`` of them.
 
-    by_tie = Window.partitionBy("k", "t").orderBy("tie")
-    heads = (
-        busy.withColumn("rank", F.row_number().over(by_tie))
-        .where(F.col("rank") <= limit + 1)
+    ``cut`` is the tick in which the limit is reached and ``stop`` the end of the window, both in
+    microseconds. ``rank`` says how many rows of that tick are within the limit, 0 standing for
+    all of them; ``cut_tie`` is the last of those by tie, set here only for rank 1.
+    """
+    busy = narrow.join(_busy_keys(narrow, ttl, limit), "k", "left_semi")
+    ticks = (
+        busy.groupBy("k", "t")
+        .agg(F.count("*").alias("n"), F.min("tie").alias("tie"))
         .withColumn("cell", _floor(F.col("t"), ttl))
         .withColumn("chunk", _floor(F.col("cell"), chunk_cells))
     )
 
-    steps = _per_chunk(heads.select("k", "chunk", "t").distinct(), ["t"]).mapInArrow(
+    steps = _per_chunk(ticks.select("k", "chunk", "t")).mapInArrow(
         lambda batches: _chunk_steps(batches, ttl, ttl * chunk_cells),
-        _schema(narrow, ["chunk"], "breaks array<bigint>, stops array<bigint>"),
+        _schema(narrow, "chunk BIGINT, breaks ARRAY<BIGINT>, stops ARRAY<BIGINT>"),
     )
     entering = (
         steps.repartition("k")
         .sortWithinPartitions("k", "chunk")
-        .mapInArrow(_chain, _schema(narrow, ["chunk", "stop"]))
+        .mapInArrow(_chain, _schema(narrow, "chunk BIGINT, stop BIGINT"))
     )
 
+    # The first cell of a chunk is shown to the chunk before it as well.
     starts_chunk = F.pmod(F.col("cell"), F.lit(chunk_cells)) == 0
     seen_by = F.when(starts_chunk, F.array("chunk", F.col("chunk") - 1)).otherwise(
         F.array("chunk")
     )
-    events = heads.withColumn("seen", F.explode(seen_by)).select(
+    events = ticks.withColumn("seen", F.explode(seen_by)).select(
         "k",
         F.col("seen").alias("chunk"),
         "t",
+        "n",
         "tie",
         F.lit(None).cast("bigint").alias("stop"),
         (F.col("seen") != F.col("chunk")).alias("ahead"),
@@ -126,17 +131,33 @@ def full_windows(
         "k",
         "chunk",
         F.lit(NEVER).cast("bigint").alias("t"),
+        F.lit(0).cast("bigint").alias("n"),
         F.lit(None).cast(narrow.schema["tie"].dataType).alias("tie"),
         "stop",
         F.lit(False).alias("ahead"),
     )
-    out = _schema(narrow, ["cut", "stop"])
+    out = _schema(narrow, "cut BIGINT, stop BIGINT, rank BIGINT")
     out.add(StructField("cut_tie", narrow.schema["tie"].dataType))
-    return _per_chunk(events.unionByName(openers), ["t", "tie"]).mapInArrow(
+    return _per_chunk(events.unionByName(openers)).mapInArrow(
         lambda batches: _full_windows(batches, ttl, limit), out
     )
 
 
+def _rank_ties(windows: DataFrame, narrow: DataFrame, limit: int) -> DataFrame:
+    """Set ``cut_tie`` where the limit falls behind the second or a later row of a tick."""
+    if limit == 1:
+        return windows
+    inside = windows.where(F.col("rank") > 1).drop("cut_tie")
+    by_tie = Window.partitionBy("k", "cut", "stop", "rank").orderBy("tie")
+    ranked = (
+        inside.join(narrow.withColumnRenamed("t", "cut"), ["k", "cut"])
+        .withColumn("at", F.row_number().over(by_tie))
+        .where((F.col("at") <= limit) & (F.col("at") == F.col("rank")))
+        .withColumnRenamed("tie", "cut_tie")
+    )
+    return windows.where(F.col("rank") <= 1).unionByName(ranked.select(*windows.columns))
+
+
 def _floor(value: Column, width: int) -> Column:
     return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
 
@@ -151,18 +172,12 @@ def _busy_keys(narrow: DataFrame, ttl: int, limit: int) -> DataFrame:
     return cells.where(F.col("n") >= half).select("k").distinct()
 
 
-def _per_chunk(rows: DataFrame, order: list[str]) -> DataFrame:
-    return rows.repartition("k", "chunk").sortWithinPartitions("k", "chunk", *order)
+def _per_chunk(rows: DataFrame) -> DataFrame:
+    return rows.repartition("k", "chunk").sortWithinPartitions("k", "chunk", "t")
 
 
-def _schema(narrow: DataFrame, longs: list[str], more: str | None = None) -> StructType:
-    schema = StructType([narrow.schema["k"]])
-    for name in longs:
-        schema.add(name, LongType())
-    if more:
-        for field in StructType.fromDDL(more):
-            schema.add(field)
-    return schema
+def _schema(narrow: DataFrame, ddl: str) -> StructType:
+    return StructType([narrow.schema["k"], *StructType.fromDDL(ddl)])
 
 
 def _rows(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
@@ -247,29 +262,36 @@ def _chain(batches: Iterator[pa.RecordBatch]):
 
 
 def _full_windows(batches: Iterator[pa.RecordBatch], ttl: int, limit: int):
-    key, chunk, stop, n = None, None, NEVER, 0
-    cut = cut_tie = None
+    key, chunk, stop, total = None, None, NEVER, None
+    cut, rank, cut_tie = 0, 0, None
     for batch in batches:
         out = []
-        for k, c, t, tie, entering, ahead in _rows(
-            batch, "k", "chunk", "t", "tie", "stop", "ahead"
+        for k, c, t, n, tie, entering, ahead in _rows(
+            batch, "k", "chunk", "t", "n", "tie", "stop", "ahead"
         ):
             if k != key or c != chunk:
-                # n counts rows only in a window that opened in this chunk.
-                key, chunk, stop, n = k, c, NEVER, 0
+                # There is a total only for a window that opened in this chunk.
+                key, chunk, stop, total = k, c, NEVER, None
             if entering is not None:
                 stop = entering
-            elif t >= stop:
-                stop, n = t + ttl, 0 if ahead else 1
-            elif n:
-                n += 1
-            if n == limit and entering is None:
-                cut, cut_tie = t, tie
-            elif n == limit + 1:
-                out.append((k, cut, stop, cut_tie))
+                continue
+            if t >= stop:
+                stop, total = t + ttl, None if ahead else 0
+            if total is None:
+                continue
+            before, total = total, total + n
+            if before < limit <= total:
+                cut, rank, cut_tie = t, 0, None
+                if total > limit:
+                    rank = limit - before
+                    cut_tie = tie if rank == 1 else None
+            if before <= limit < total:
+                out.append((k, cut, stop, rank, cut_tie))
         if out:
             yield _batch(
-                out, ["k", "cut", "stop", "cut_tie"], batch.schema.field("k").type,
+                out,
+                ["k", "cut", "stop", "rank", "cut_tie"],
+                batch.schema.field("k").type,
                 last=batch.schema.field("tie").type,
             )
 

@@ -141,8 +141,13 @@ def geoip_enrich(spark, sf_dir):
 # ---- keyed state and the edits table ----------------------------------------------------------
 
 
+def _deliveries(spark, sf_dir):
+    """The deliveries as a table: the counting passes then scan only keys and times."""
+    return stage(raw_feed.edits_only(fx.deliveries(fx.base(spark, sf_dir))), "deliveries")
+
+
 def _valid_deliveries(spark, sf_dir):
-    return raw_feed.valid_ids(raw_feed.edits_only(fx.deliveries(fx.base(spark, sf_dir))))
+    return raw_feed.valid_ids(_deliveries(spark, sf_dir))
 
 
 @register
@@ -159,10 +164,8 @@ def bot_velocity(spark, sf_dir):
 
 @register
 def processed_edits(spark, sf_dir):
-    arrived = fx.deliveries(fx.base(spark, sf_dir))
-    return processed.process(
-        raw_feed.edits_only(arrived), fx.networks(spark), "delivery_ts", "delivery", "fast_ts"
-    )
+    arrived = _deliveries(spark, sf_dir)
+    return processed.process(arrived, fx.networks(spark), "delivery_ts", "delivery", "fast_ts")
 
 
 @register
