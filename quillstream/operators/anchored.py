@@ -103,7 +103,8 @@ def full_windows(narrow: DataFrame, ttl: int, limit: int, chunk_cells: int) -> D
         .withColumn("chunk", _floor(F.col("cell"), chunk_cells))
     )
 
-    steps = _per_chunk(ticks.select("k", "chunk", "t")).mapInArrow(
+    # Takes all columns of the ticks: pruned ones would be counted apart, in a second shuffle.
+    steps = _per_chunk(ticks).mapInArrow(
         lambda batches: _chunk_steps(batches, ttl, ttl * chunk_cells),
         _schema(narrow, "chunk BIGINT, breaks ARRAY<BIGINT>, stops ARRAY<BIGINT>"),
     )
