@@ -35,6 +35,7 @@ from pyspark.sql.types import StructField, StructType
 
 MICROS = 1_000_000
 CHUNK_SECONDS = 24 * 3600
+SALTS = 16
 NEVER = -(2**62)
 
 
@@ -95,9 +96,13 @@ def full_windows(narrow: DataFrame, ttl: int, limit: int, chunk_cells: int) -> D
     microseconds. ``rank`` says how many rows of that tick are within the limit, 0 standing for
     all of them; ``cut_tie`` is the last of those by tie, set here only for rank 1.
     """
-    busy = narrow.join(_busy_keys(narrow, ttl, limit), "k", "left_semi")
+    # The salt spreads a hot key over tasks at any size; AQE would split it only above its own.
+    salts = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    busy = _busy_keys(narrow, ttl, limit).select("k", salts.alias("salt"))
+    salted = narrow.withColumn("salt", F.pmod(F.xxhash64("t"), F.lit(SALTS)))
     ticks = (
-        busy.groupBy("k", "t")
+        salted.join(busy, ["k", "salt"], "left_semi")
+        .groupBy("k", "t")
         .agg(F.count("*").alias("n"), F.min("tie").alias("tie"))
         .withColumn("cell", _floor(F.col("t"), ttl))
         .withColumn("chunk", _floor(F.col("cell"), chunk_cells))
