@@ -6,7 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import op05_decontaminate, op08_lines
+from . import (
+    op01_tokens,
+    op02_pii,
+    op04_bloom_lm,
+    op05_decontaminate,
+    op07_language,
+    op08_lines,
+    op10_quality,
+)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,9 +26,16 @@ def _over_documents(run) -> Callable[[SparkSession, str], DataFrame]:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_counts": _over_documents(op01_tokens.query),
+    "op2_private_data": _over_documents(op02_pii.query),
+    "op4_bloom_lm": _over_documents(op04_bloom_lm.query),
     "op5_decontaminate": lambda spark, folder: op05_decontaminate.query(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
     ),
+    "op7_language": _over_documents(op07_language.query),
     "op8_line_dedup": _over_documents(op08_lines.query),
+    "op10_quality": lambda spark, folder: op10_quality.query(
+        _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    ),
 }
 ORACLES = {"op5_decontaminate": op05_decontaminate.SQL, "op8_line_dedup": op08_lines.SQL}
