@@ -21,6 +21,8 @@ __all__ = ["stage", "work_dir"]
 
 #: Text bytes that one pass of array operations covers, so that its temporaries stay small.
 SLICE_BYTES = 1 << 21
+#: Bytes that are hashed at once: some arrays of eight bytes for each.
+HASH_BYTES = 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII white space: space and the five controls from tab to carriage return.
 WHITE = b" \t\n\x0b\x0c\r"
@@ -108,14 +110,14 @@ class Words:
         at, total = 0, len(self.data)
         edges = self.offsets
         while at < total:
-            stop = min(total, at + SLICE_BYTES)
+            stop = min(total, at + HASH_BYTES)
             while stop < total:  # never cut a word: go on to a byte that ends one
-                tail = is_word[_FOLD[self.data[stop - 1 : stop + SLICE_BYTES]]]
+                tail = is_word[_FOLD[self.data[stop - 1 : stop + HASH_BYTES]]]
                 gap = np.flatnonzero(~tail)
                 if len(gap):
                     stop += int(gap[0])
                     break
-                stop = min(total, stop + SLICE_BYTES)
+                stop = min(total, stop + HASH_BYTES)
             part = _FOLD[self.data[at:stop]]
             inside = is_word[part]
             first, last = inside.copy(), inside.copy()
@@ -164,3 +166,44 @@ class Words:
 def spread(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that no other column can clash with an operator's own."""
     return docs.select(*[F.col(f"`{name}`") for name in columns])
+
+
+def bit_map(rows: DataFrame, bit: Column, size: int) -> np.ndarray:
+    """A bool per number below ``size``, set for the values of ``bit``: a map of a fixed size, whatever
+    the rows, that tells a scan what it can pass over. ``size`` is a multiple of 32768."""
+    found = (
+        rows.select(bit.cast("long").alias("bit"))
+        .groupBy(F.bitmap_bucket_number(F.col("bit") + 1).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(F.col("bit") + 1)).alias("bits"))
+        .collect()
+    )
+    may = np.zeros(size, bool)
+    for row in found:  # bucket n, from 1 on, holds the numbers from (n - 1) * 32768 + 1
+        own = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little")[:32768]
+        may[(row.bucket - 1) * 32768 : row.bucket * 32768] = own.astype(bool)
+    return may
+
+
+def runs(batches, key: list[str]):
+    """Record batches cut so that rows with equal ``key``, which follow each other, stay together."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        columns = [np.asarray(batch.column(name)) for name in key]
+        new = np.zeros(len(batch), bool)
+        for column in columns:
+            new[1:] |= column[1:] != column[:-1]
+        if held and any(column[0] != np.asarray(held[-1].column(name))[-1] for name, column in zip(key, columns)):
+            new[0] = True
+        cuts = np.flatnonzero(new)
+        if len(cuts):
+            if held or cuts[0]:
+                yield pa.Table.from_batches([*held, batch.slice(0, cuts[0])]).combine_chunks()
+            if cuts[-1] > cuts[0]:
+                yield pa.Table.from_batches([batch.slice(cuts[0], cuts[-1] - cuts[0])])
+            held = [batch.slice(cuts[-1])]
+        else:
+            held.append(batch)
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()

@@ -11,8 +11,10 @@ from . import (
     op02_pii,
     op04_bloom_lm,
     op05_decontaminate,
+    op06_chosen_path,
     op07_language,
     op08_lines,
+    op09_bpe,
     op10_quality,
 )
 
@@ -32,8 +34,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontaminate": lambda spark, folder: op05_decontaminate.query(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
     ),
+    "op6_near_duplicates": _over_documents(op06_chosen_path.query),
     "op7_language": _over_documents(op07_language.query),
     "op8_line_dedup": _over_documents(op08_lines.query),
+    "op9_byte_bpe": _over_documents(op09_bpe.query),
     "op10_quality": lambda spark, folder: op10_quality.query(
         _table(spark, folder, "documents"), _table(spark, folder, "labels")
     ),
