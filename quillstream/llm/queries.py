@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import (
     op01_tokens,
     op02_pii,
+    op03_simhash,
     op04_bloom_lm,
     op05_decontaminate,
     op06_chosen_path,
@@ -30,6 +31,7 @@ def _over_documents(run) -> Callable[[SparkSession, str], DataFrame]:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": _over_documents(op01_tokens.query),
     "op2_private_data": _over_documents(op02_pii.query),
+    "op3_simhash": _over_documents(op03_simhash.query),
     "op4_bloom_lm": _over_documents(op04_bloom_lm.query),
     "op5_decontaminate": lambda spark, folder: op05_decontaminate.query(
         _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
