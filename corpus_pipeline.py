@@ -4,15 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillstream.llm import op05_decontaminate, op08_lines
+from quillstream.llm import (
+    op05_decontaminate,
+    op06_chosen_path,
+    op07_language,
+    op08_lines,
+    op09_bpe,
+)
 from quillstream.llm.common import stage as staged
 
+#: Every stage works on what its predecessor kept and returns the columns of documents; the last gives
+#: the digests of the encoded texts.
 STAGES = [
+    ("language", op07_language.stage),
     ("line_dedup", op08_lines.stage),
+    ("near_duplicates", op06_chosen_path.stage),
     ("decontaminate", op05_decontaminate.stage),
+    ("byte_bpe", op09_bpe.stage),
 ]
 
-#: Language identification and approximate joins have no SQL form; tests compare with brute force.
+#: Language identification has no SQL form; tests hold the rows against a brute-force version.
 ORACLE_SQL = None
 
 
