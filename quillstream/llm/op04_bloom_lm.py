@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import BASE, SPACED, Words, heard, mix, sliced, spread, stage as staged
 
-#: Text bytes in a block.
+#: Text bytes in a block, and tokens that are scored at once.
 BLOCK_BYTES = 8 << 20
+PASS_TOKENS = 1 << 18
+#: Bits for a word's place in its block beside the block's number, and beside its count.
+PLACE_BITS = 26
 #: Bits of the filter at most, bits an entry gets at least, and probes per entry: the bound on what is
 #: broadcast, whatever the corpus. Rare n-grams stay out where they would not fit.
 FILTER_BITS = 1 << 27
@@ -103,8 +106,9 @@ class LogFrequencyFilter:
 def blocks(docs: DataFrame, learnt: Column, text_col: str, keep: list[str], block_bytes: int) -> DataFrame:
     """Blocks of documents as rows, written to the shared folder.
 
-    ``rows`` are the kept columns, ``n_words`` and ``learnt`` one entry per document, ``places`` 32-bit
-    places in ``hashes`` for every word, ``counts`` the occurrences in learnt documents.
+    ``rows`` are the kept columns, ``n_words`` and ``learnt`` one entry per document, ``places``
+    (compressed 32-bit numbers) every word's place in ``hashes``, ``counts`` the occurrences in learnt
+    documents.
     """
     rows = docs.select(
         F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"),
@@ -113,7 +117,7 @@ def blocks(docs: DataFrame, learnt: Column, text_col: str, keep: list[str], bloc
     )
 
     def build(batches):
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 17
         for batch in batches:
             for part in sliced(batch, "text", block_bytes):
                 words = Words(part.column("text"), SPACED)
@@ -127,7 +131,7 @@ def blocks(docs: DataFrame, learnt: Column, text_col: str, keep: list[str], bloc
                         pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.column("row")),
                         pa.array([words.counts.tolist()], pa.list_(pa.int64())),
                         pa.array([taught.tolist()], pa.list_(pa.bool_())),
-                        pa.array([places.astype(np.int32).tobytes()], pa.binary()),
+                        pa.array([_squeezed(places.astype(np.int32))], pa.binary()),
                         _lists(hashes.view(np.int64)),
                         _lists(counts),
                     ],
@@ -150,6 +154,29 @@ def _lists(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int64()))
 
 
+def _squeezed(places: np.ndarray) -> bytes:
+    data = places.tobytes()
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
+
+def _stretched(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], size, codec="zstd"), np.int32)
+
+
+def _passes(row: pa.RecordBatch):
+    """A block's texts in runs of about ``PASS_TOKENS``: places of the words, words per text, first text."""
+    places = _stretched(row.column("places")[0].as_py())
+    n_words = np.asarray(row.column("n_words").flatten())
+    ends = np.cumsum(n_words)
+    first = 0
+    while first < len(n_words):
+        begin = ends[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(ends, begin + PASS_TOKENS, side="right")))
+        yield places[begin : ends[stop - 1]], n_words[first:stop], first
+        first = stop
+
+
 def _tokens(hashes: np.ndarray, places: np.ndarray, n_words: np.ndarray):
     """Hashes of the words of each text followed by the end, those before them, and the text bounds."""
     bounds = np.concatenate([[0], np.cumsum(n_words + 1)])
@@ -175,22 +202,22 @@ class _Model:
         place = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
         return self.frequent[place] == hashes
 
-    def log_chances(self, hashes, places, token, before, is_word) -> np.ndarray:
-        """log10 of the smoothed probability of every token."""
+    def word_counts(self, hashes: np.ndarray) -> np.ndarray:
+        """The filter's counts of words; a word it does not hold counts as the mean of all such."""
+        counts = count_of(self.filter.levels(word_key(hashes)), WORD_BASE)
+        return np.where(counts > 0, counts, self.totals["rest"])
+
+    def log_chances(self, by_word, known, places, token, before, is_word) -> np.ndarray:
+        """log10 of the smoothed probability of every token, from the counts of the block's words and
+        whether pairs are held for them."""
         t = self.totals
         size = t["tokens"] + t["words"] + 1.0
-
-        def word_counts(keys):
-            counts = count_of(self.filter.levels(word_key(keys)), WORD_BASE)
-            return np.where(counts > 0, counts, t["rest"])
-
-        by_word = word_counts(hashes)
         end_count = float(t["texts"])
         count = np.full(len(token), end_count)
         count[is_word] = by_word[places]
         chance = (count + 1) / size
         frequent = np.ones(len(token), bool)
-        frequent[is_word] = self.known_pairs(hashes)[places]
+        frequent[is_word] = known[places]
         previous = np.ones(len(token), bool)
         starts = before == np.uint64(_START)
         previous[1:] = frequent[:-1]
@@ -236,25 +263,26 @@ def pair_counts(blocks_: DataFrame, frequent: np.ndarray) -> DataFrame:
             for k in range(len(batch)):
                 row = batch.slice(k, 1)
                 hashes = np.asarray(row.column("hashes").flatten()).view(np.uint64)
-                places = np.frombuffer(row.column("places")[0].as_py(), np.int32)
-                n_words = np.asarray(row.column("n_words").flatten())
-                taught = np.asarray(row.column("learnt").flatten().cast(pa.int8())).astype(bool)
+                all_taught = np.asarray(row.column("learnt").flatten().cast(pa.int8())).astype(bool)
                 own = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
                 own = np.where(frequent[own] == hashes, own, -1) if len(frequent) else np.full(len(hashes), -1)
-                token, before, is_word, bounds = _tokens(hashes, places, n_words)
-                number = np.full(len(token), len(ids) - 2)
-                number[is_word] = own[places]
-                previous = np.empty_like(number)
-                previous[1:] = number[:-1]
-                previous[bounds[:-1]] = len(ids) - 1
-                use = np.repeat(taught, n_words + 1) & (number >= 0) & (previous >= 0)
-                codes, times = np.unique(
-                    previous[use].astype(np.uint64) * width + number[use].astype(np.uint64), return_counts=True
-                )
-                keys = pair_key(ids[(codes // width).astype(np.int64)], ids[(codes % width).astype(np.int64)])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys.view(np.int64)), pa.array(times, pa.int64())], names=["key", "count"]
-                )
+                for places, n_words, first in _passes(row):
+                    taught = all_taught[first : first + len(n_words)]
+                    token, before, is_word, bounds = _tokens(hashes, places, n_words)
+                    number = np.full(len(token), len(ids) - 2)
+                    number[is_word] = own[places]
+                    previous = np.empty_like(number)
+                    previous[1:] = number[:-1]
+                    previous[bounds[:-1]] = len(ids) - 1
+                    use = np.repeat(taught, n_words + 1) & (number >= 0) & (previous >= 0)
+                    codes, times = np.unique(
+                        previous[use].astype(np.uint64) * width + number[use].astype(np.uint64),
+                        return_counts=True,
+                    )
+                    keys = pair_key(ids[(codes // width).astype(np.int64)], ids[(codes % width).astype(np.int64)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys.view(np.int64)), pa.array(times, pa.int64())], names=["key", "count"]
+                    )
 
     rows = blocks_.select("places", "hashes", "n_words", "learnt").mapInArrow(count, "key long, count long")
     return rows.groupBy("key").agg(F.sum("count").alias("count"))
@@ -349,11 +377,18 @@ def scores(
     model = _Model(build_filter(entries, word_entries + pair_entries, filter_bits), frequent, totals)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    where = F.shiftleft(F.col("block"), PLACE_BITS).bitwiseOR(F.col("place").cast("long"))
     counted = (
-        exploded.select("block", "place", F.col("w.hashes").alias("hash"))
+        exploded.select(where.alias("where"), F.col("w.hashes").alias("hash"))
         .join(vocabulary, "hash")
+        .select(
+            F.shiftright("where", PLACE_BITS).alias("block"),
+            F.shiftleft(F.col("count"), PLACE_BITS)
+            .bitwiseOR(F.col("where").bitwiseAND((1 << PLACE_BITS) - 1))
+            .alias("known"),
+        )
         .groupBy("block")
-        .agg(F.collect_list(F.struct("place", "count")).alias("known"))
+        .agg(F.collect_list("known").alias("known"))
     )
     joined = held.select("block", "rows", "n_words", "places", "hashes").join(counted, "block", "left")
     types = docs.select(F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row")).schema
@@ -366,33 +401,30 @@ def scores(
             for k in range(len(batch)):
                 row = batch.slice(k, 1)
                 hashes = np.asarray(row.column("hashes").flatten()).view(np.uint64)
-                places = np.frombuffer(row.column("places")[0].as_py(), np.int32)
-                n_words = np.asarray(row.column("n_words").flatten())
                 counts = np.zeros(len(hashes), np.int64)
-                known = row.column("known").flatten()
-                if len(known):
-                    counts[np.asarray(known.field("place"))] = np.asarray(known.field("count"))
-                token, before, is_word, bounds = _tokens(hashes, places, n_words)
-                exact = np.full(len(token), model.totals["texts"])
-                exact[is_word] = counts[places]
-                each = np.log10((exact + 1) / size)
-                smooth = model.log_chances(hashes, places, token, before, is_word)
-                if not model.totals["tokens"]:
-                    smooth = np.zeros(len(token))
-
-                def per_text(values):
-                    return np.add.reduceat(values, bounds[:-1]) if len(n_words) else values[:0]
-
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        row.column("rows").flatten(),
-                        pa.array(n_words + 1, pa.int64()),
-                        pa.array(per_text((exact > 0).astype(np.int64)), pa.int64()),
-                        pa.array(per_text(each), pa.float64()),
-                        pa.array(per_text(smooth), pa.float64()),
-                    ],
-                    names=["row", "n_tokens", "n_known", "base_score", "score"],
-                )
+                packed = np.asarray(row.column("known").flatten())
+                if len(packed):
+                    counts[packed & ((1 << PLACE_BITS) - 1)] = packed >> PLACE_BITS
+                by_word, held_pairs = model.word_counts(hashes), model.known_pairs(hashes)
+                texts_of = row.column("rows").flatten()
+                for places, n_words, first in _passes(row):
+                    token, before, is_word, bounds = _tokens(hashes, places, n_words)
+                    exact = np.full(len(token), model.totals["texts"])
+                    exact[is_word] = counts[places]
+                    each = np.log10((exact + 1) / size)
+                    smooth = model.log_chances(by_word, held_pairs, places, token, before, is_word)
+                    if not model.totals["tokens"]:
+                        smooth = np.zeros(len(token))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            texts_of.slice(first, len(n_words)),
+                            pa.array(n_words + 1, pa.int64()),
+                            pa.array(np.add.reduceat((exact > 0).astype(np.int64), bounds[:-1]), pa.int64()),
+                            pa.array(np.add.reduceat(each, bounds[:-1]), pa.float64()),
+                            pa.array(np.add.reduceat(smooth, bounds[:-1]), pa.float64()),
+                        ],
+                        names=["row", "n_tokens", "n_known", "base_score", "score"],
+                    )
 
     scored = joined.select("rows", "n_words", "places", "hashes", "known").mapInArrow(judge, schema)
     return scored.withColumn("train_tokens", F.lit(totals["tokens"]).cast("long"))
