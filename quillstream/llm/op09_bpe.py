@@ -19,12 +19,12 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of words in a block of documents, unless one document alone has more.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 #: The fold takes time with the square of a word's length; longer words are merged with a heap instead.
 FOLD_BYTES = 256
 #: Maps that the literal rank map is dealt into.
@@ -57,14 +57,17 @@ def _characters(data: bytes) -> str:
 
 
 class Vocabulary:
-    """The rank map and the pieces of a rank file, as literals of a plan.
+    """The rank map and the pieces of a rank file, as constants of a plan.
+
+    The map is the value of a scalar subquery over one row: tasks get it as a literal, and plans print a
+    reference instead of some hundred thousand numbers. The shorter constants are literals themselves.
 
     The map goes from two neighbouring ids to the id of their bytes joined, which is also the pair's
     rank. It is dealt into ``BUCKETS`` maps by ``first * SPREAD + second``; the bucket and the second id
     determine the first, so the second id alone is the key.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, spark: SparkSession, path: str):
         self.ranks = read_ranks(path)
         buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
         for token, rank in self.ranks.items():
@@ -82,7 +85,10 @@ class Vocabulary:
             for token, rank in self.ranks.items()
             if merge_with_heap(token, self.ranks, whole=False) != [rank]
         }
-        self.buckets = self._literal(buckets, "array<map<string,int>>").cast("array<map<int,int>>")
+
+        row = spark.createDataFrame([(json.dumps(buckets),)], "value string")
+        literal = F.from_json("value", "array<map<string,int>>").cast("array<map<int,int>>")
+        self.buckets = row.select(literal.alias("value")).scalar()
         self.bytes = self._literal([self.ranks[bytes([k])] for k in range(256)], "array<int>")
         self.apart = self._literal(apart, "map<string,int>") if apart else None
         self.pieces = self._literal(pieces, "array<string>")
@@ -93,8 +99,9 @@ class Vocabulary:
         """One literal of the plan: the optimiser reads the constant JSON once."""
         return F.from_json(F.lit(json.dumps(values)), kind)
 
-    def fold_words(self, words: Column, long: Column) -> Column:
-        """The ids of each word, a string of bytes; where ``long`` has ids those are taken."""
+    def fold_words(self, words: Column, long: Column, buckets: Column) -> Column:
+        """The ids of each word, a string of bytes; where ``long`` has ids those are taken. ``buckets``
+        is a column with the rank map."""
 
         def bind(value: Column, body) -> Column:
             return F.get(F.transform(F.array(value), body), 0)
@@ -102,7 +109,7 @@ class Vocabulary:
         def all_ids(buckets: Column) -> Column:
             return F.zip_with(words, long, lambda word, known: F.coalesce(known, self._fold(word, buckets, bind)))
 
-        return bind(self.buckets, all_ids)
+        return bind(buckets, all_ids)
 
     def _fold(self, word: Column, buckets: Column, bind) -> Column:
         """Merge the pair of lowest rank, leftmost first, once per step until none has a rank."""
@@ -266,7 +273,7 @@ def encode(
         "words",
         F.array().cast("array<array<int>>").alias("long"),
     ).schema
-    blocks = rows.mapInArrow(_word_blocks(vocabulary.ranks), schema)
+    blocks = rows.mapInArrow(_word_blocks(vocabulary.ranks), schema).withColumn("buckets", vocabulary.buckets)
 
     def texts(ids: Column) -> Column:
         return F.transform(
@@ -288,13 +295,13 @@ def encode(
 
     # A one-element array binds the ids of the words, so that they are folded once per block.
     letters = F.transform("words", lambda word: F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"))
-    folded = F.array(vocabulary.fold_words(letters, F.col("long")))
+    folded = F.array(vocabulary.fold_words(letters, F.col("long"), F.col("buckets")))
     return blocks.select(F.explode(F.get(F.transform(folded, texts), 0)).alias("text")).select("text.*")
 
 
 def query(docs: DataFrame) -> DataFrame:
     """Digests of every document's ids and of the bytes they decode to."""
-    vocabulary = Vocabulary(public_tokenizers.path(RANKS))
+    vocabulary = Vocabulary(docs.sparkSession, public_tokenizers.path(RANKS))
     encoded = encode(docs.select("doc_id", "text"), vocabulary, keep=["doc_id"])
     return encoded.select(
         F.col("row.doc_id").alias("doc_id"),
