@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType
 
-from .common import ALNUM, Words, sliced, spread, stage as staged
+from .common import ALNUM, Words, bit_map, sliced, spread, stage as staged
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -91,7 +91,8 @@ def _signed(data: bytes) -> int:
 
 def contexts(text: str, spans: list[tuple[int, int, int]], width: int) -> list[tuple]:
     """(entity, context, term, start, end) of each word near an entity and outside all entities."""
-    words = [(m.start(), m.end()) for m in _WORD.finditer(text)]
+    folded = text.translate(_FOLD)  # as long as the text
+    words = [(m.start(), m.end()) for m in _WORD.finditer(folded)]
     starts = np.array([a for a, _ in words], np.int64)
     ends = np.array([b for _, b in words], np.int64)
     free = np.ones(len(words), bool)
@@ -105,7 +106,7 @@ def contexts(text: str, spans: list[tuple[int, int, int]], width: int) -> list[t
         right = int(np.searchsorted(starts, b, "left"))
         right = np.flatnonzero(free[right : right + 4 * width])[:width] + right
         near = [words[w] for w in (*left[-width:], *right)]
-        said = [text[s:e].translate(_FOLD) for s, e in near]
+        said = [folded[s:e] for s, e in near]
         context = _signed(" ".join(said).encode())
         for (s, e), word in zip(near, said):
             if e - s >= MIN_TERM:
@@ -166,29 +167,13 @@ def find_entities(docs: DataFrame, text_col: str, keep: list[str], width: int =
     return rows.mapInArrow(find, schema)
 
 
-def _bit(term: Column) -> Column:
-    return F.pmod(term, F.lit(MAP_BITS))
-
-
 def _term_documents(docs: DataFrame, text_col: str, candidates: DataFrame) -> DataFrame:
-    """In how many different texts each candidate term stands, counted over all documents.
+    """In how many documents each candidate term stands, counted over all documents.
 
     A map of ``MAP_BITS`` bits, the same size whatever the corpus, tells tasks which words may be
     candidates; the join on the term then decides.
     """
-    bits = (
-        candidates.select(_bit(F.col("term")).alias("bit"))
-        .groupBy(F.bitmap_bucket_number("bit").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-        .collect()
-    )
-    may = np.zeros(MAP_BITS, bool)
-    for row in bits:
-        # a bucket of n holds the numbers from (n - 1) * 32768 + 1; zero is alone in bucket 0
-        own = np.unpackbits(np.frombuffer(row.bits, np.uint8), bitorder="little").astype(bool)
-        first = (row.bucket - 1) * 32768 + 1
-        for place in np.flatnonzero(own).tolist():
-            may[0 if row.bucket == 0 else (first + place) % MAP_BITS] = True
+    may = bit_map(candidates, F.pmod(F.col("term"), F.lit(MAP_BITS)), MAP_BITS)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
     def scan(batches):
@@ -197,22 +182,19 @@ def _term_documents(docs: DataFrame, text_col: str, candidates: DataFrame) -> Da
                 words = Words(part.column("text"), ALNUM)
                 there = np.flatnonzero(may[words.hashes & np.uint64(MAP_BITS - 1)])
                 owner = np.searchsorted(words.bounds, there, side="right") - 1
-                pairs = np.unique(
-                    np.stack([owner, words.hashes[there].view(np.int64)]), axis=1
-                )
+                order = np.lexsort((owner, words.hashes[there]))
+                term, owner = words.hashes[there][order], owner[order]
+                new = np.ones(len(term), bool)
+                new[1:] = (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])
+                terms, times = np.unique(term[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(pairs[1]), part.column("text_key").take(pa.array(pairs[0]))],
-                    names=["term", "text_key"],
+                    [pa.array(terms.view(np.int64)), pa.array(times, pa.int64())],
+                    names=["term", "documents"],
                 )
 
-    found = docs.select(text.alias("text"), F.unhex(F.md5(text)).alias("text_key")).mapInArrow(
-        scan, "term long, text_key binary"
-    )
-    return (
-        found.join(candidates.select("term").distinct(), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.countDistinct("text_key").alias("term_docs"))
-    )
+    found = docs.select(text.alias("text")).mapInArrow(scan, "term long, documents long")
+    counted = found.groupBy("term").agg(F.sum("documents").alias("term_docs"))
+    return counted.join(candidates.select("term").distinct(), "term", "left_semi")
 
 
 def disclosing_terms(
@@ -224,23 +206,41 @@ def disclosing_terms(
 ) -> DataFrame | None:
     """(entity, term) pairs in which the term gives the entity away; None where no term has support.
 
-    Texts count once however often they are copied, and a context that copies share counts once, so
-    copies are no evidence. ``information`` is PMI(entity; term) over the entity's information.
+    Probabilities are shares of documents. A context that copies share supports a pair once, so copies
+    are no evidence. ``information`` is PMI(entity; term) over the entity's information.
     """
-    near = entities.select("text_key", F.explode("contexts").alias("c")).select("text_key", "c.*")
-    pairs = near.groupBy("entity", "term").agg(
-        F.countDistinct("context").alias("support"), F.countDistinct("text_key").alias("pair_docs")
+    near = entities.select(F.explode("contexts").alias("c")).select("c.entity", "c.term", "c.context")
+    backed = (
+        near.distinct().groupBy("entity", "term").count().filter(F.col("count") >= support).drop("count")
+    )
+
+    def documents(key: list[str], name: str) -> DataFrame:
+        """In how many documents each key stands near an entity, or is one."""
+        distinct = F.array_distinct(F.transform("contexts", lambda c: F.struct(*[c[k] for k in key])))
+        held = entities.select(F.explode(distinct).alias("d")).select("d.*")
+        return held.groupBy(*key).agg(F.count("*").alias(name))
+
+    total = F.lit(float(entities.count()))
+    ceiling = F.log2(total / F.col("entity_docs"))
+
+    def share(term_docs: str) -> Column:
+        pmi = F.log2(total * F.col("pair_docs") / (F.col("entity_docs") * F.col(term_docs)))
+        return F.when(ceiling > 0, pmi / ceiling)
+
+    # A term stands in at least the documents in which it is near some entity: most pairs fall short
+    # of the threshold by those alone, and the corpus is counted for the others only.
+    pairs = (
+        backed.join(documents(["entity", "term"], "pair_docs"), ["entity", "term"])
+        .join(documents(["entity"], "entity_docs"), "entity")
+        .join(documents(["term"], "near_docs"), "term")
+        .filter(share("near_docs") >= disclosure)
     )
-    pairs = staged(pairs.filter(F.col("support") >= support), "pairs")
+    pairs = staged(pairs, "pairs")
     if pairs.isEmpty():
         return None
-    total = entities.select(F.countDistinct("text_key")).first()[0]
-    single = near.groupBy("entity").agg(F.countDistinct("text_key").alias("entity_docs"))
-    joined = pairs.join(_term_documents(docs, text_col, pairs), "term").join(single, "entity")
-    ceiling = F.log2(F.lit(float(total)) / F.col("entity_docs"))
-    pmi = F.log2(F.lit(float(total)) * F.col("pair_docs") / (F.col("entity_docs") * F.col("term_docs")))
-    share = F.when(ceiling > 0, pmi / ceiling)
-    return joined.filter(share >= disclosure).select("entity", "term", share.alias("information"))
+    joined = pairs.join(_term_documents(docs, text_col, pairs), "term")
+    told = share("term_docs")
+    return joined.filter(told >= disclosure).select("entity", "term", told.alias("information"))
 
 
 def find_private(
