@@ -422,7 +422,8 @@ FROM (SELECT {FEED} FROM stored) ORDER BY edit_timestamp DESC, id DESC LIMIT 100
     "throughput_by_bot": _sql(_rate("stored", "ts_fast", "is_bot,")),
     "counters": _sql(
         """SELECT count(*) AS edits_processed_total, count(*) FILTER (is_bot)
-  AS bots_detected_total, count(*) FILTER (comment = '') AS errors_total FROM stored"""
+  AS bots_detected_total, (SELECT count(*) FROM valid WHERE id % 41 IN (1, 2, 3, 4, 5, 7))
+  AS errors_total FROM stored"""
     ),
     "latency_summary": _sql(
         """SELECT date_trunc('day', ts) AS window_start, count(*) AS edits,
@@ -437,21 +438,36 @@ FROM (SELECT ts, 0.0::DOUBLE AS seconds FROM edits
   count(*) AS rows, round(count(*) * 3.0 / sum(count(*)) OVER (), 6) AS skew_ratio
 FROM edits GROUP BY 1"""
     ),
-    "stream_first_deliveries": _sql("SELECT id FROM valid"),
+    "stream_accounting": _sql(
+        """SELECT count(*) FILTER (k % 37 = 36) AS undecodable,
+  count(*) FILTER (k % 37 <> 36 AND type <> 'edit') AS not_edits,
+  count(*) FILTER (k % 37 <> 36 AND type = 'edit') AS published,
+  count(*) FILTER (k % 37 = 36) AS letters,
+  count(*) FILTER (k % 37 <> 36 AND type = 'edit') AS messages FROM edits"""
+    ),
     "stream_processed_edits": _sql(
-        """SELECT id, user_name, CASE WHEN k % 19 = 0 THEN '7' ELSE title END AS page_title,
+        """SELECT s.id, s.user_name, CASE WHEN k % 19 = 0 THEN '7' ELSE title END AS page_title,
   type AS event_type, comment AS edit_comment, server_url,
   CASE WHEN k % 23 = 0 THEN NULL ELSE namespace END AS namespace, country, city,
   CASE WHEN k % 29 = 0 THEN 0 ELSE byte_diff END AS byte_diff, is_revert, is_anonymous,
-  CASE k % 4 WHEN 3 THEN ts + INTERVAL 5 SECOND ELSE date_trunc('second', ts)
-  END AS edit_timestamp,
+  s.stated AS edit_timestamp, coalesce(v.n > 5, false) AS is_bot,
   CASE WHEN k % 19 = 0 THEN CAST(complexity_score - 2 * length(title) + 2 AS INT)
        ELSE complexity_score END AS complexity_score
-FROM stored WHERE k % 37 <> 36 AND id % 5 <> 3"""
+FROM sent s LEFT JOIN (SELECT id, n FROM velocity) v USING (id)""",
+        """,
+sent AS (
+  SELECT *, CASE k % 4 WHEN 3 THEN ts_fast + INTERVAL 5 SECOND
+                 ELSE date_trunc('second', ts_fast) END AS stated
+  FROM stored WHERE k % 37 <> 36 AND id % 5 <> 3),
+named AS (SELECT id, user_name, stated FROM sent WHERE trim(user_name) <> '')
+"""
+        + _fold("velocity", "named", "user_name", "stated", "id", "INTERVAL 60 SECOND"),
     ),
     "stream_rollups": _sql("SELECT * FROM rollups"),
     "stream_anomalies": _sql("SELECT * FROM alerts", ALERTS),
 }
 # These streams answer the same questions as a batch query.
 ORACLES["stream_bot_velocity"] = ORACLES["bot_velocity"]
+ORACLES["stream_first_deliveries"] = ORACLES["dedup_ttl"]
+ORACLES["stream_alert_ticker"] = ORACLES["alert_ticker"]
 ORACLES["stream_dead_letters"] = ORACLES["quarantine_reasons"]

@@ -60,16 +60,7 @@ def compress(ts: str) -> str:
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
-    return shape(spread(spark.read.parquet(f"{sf_dir}/events.parquet")))
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Give every core a share of an input too small to be split into as many tasks.
-
-    Larger inputs have a task per split already and are left as they are.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    return shape(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def shape(events: DataFrame) -> DataFrame:

@@ -45,9 +45,7 @@ def parse_timeframe(timeframe: str | None) -> dt.timedelta | None:
         return None
     match = re.fullmatch(r"\+?(\d+)([hd])", timeframe.strip().lower(), flags=re.ASCII)
     if match is None or int(match[1]) <= 0:
-        raise ValueError(
-            f"Invalid timeframe '{timeframe}'. Supported format examples: 1h, 24h, 7d."
-        )
+        raise ValueError(f"{timeframe!r} is no timeframe: give hours or days, such as 6h or 30d")
     return dt.timedelta(**{"hours" if match[2] == "h" else "days": int(match[1])})
 
 

@@ -10,12 +10,7 @@ _GROUP = "[0-9A-Fa-f]{1,4}"
 
 IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 
-# An IPv6 address is eight groups, or fewer around one "::" (which may end, split or start it).
-IPV6 = "|".join(
-    [rf"(?:{_GROUP}:){{7}}{_GROUP}", rf"(?:{_GROUP}:){{1,7}}:"]
-    + [rf"(?:{_GROUP}:){{1,{7 - after}}}(?::{_GROUP}){{1,{after}}}" for after in range(1, 7)]
-    + [rf":(?:(?::{_GROUP}){{1,7}}|:)"]
-)
+_SIDE = rf"\A(?:{_GROUP}(?::{_GROUP})*)?\z"
 
 HEX_WIDTH = 32
 V4_PREFIX = "0" * 20 + "f" * 4
@@ -25,9 +20,22 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.coalesce(text.rlike(rf"\A(?:{pattern})\z"), F.lit(False))
 
 
+def _is_v6(text: Column) -> Column:
+    """Eight groups, or at most seven around one ``::``; each side of that is groups or nothing."""
+
+    def groups(side: Column) -> Column:
+        return F.when(side == "", F.lit(0)).otherwise(F.size(F.split(side, ":")))
+
+    sides = F.split(text, "::", -1)
+    sound = F.forall(sides, lambda side: side.rlike(_SIDE))
+    total = F.aggregate(sides, F.lit(0), lambda n, side: n + groups(side))
+    fits = F.when(F.size(sides) == 1, total == 8).otherwise((F.size(sides) == 2) & (total <= 7))
+    return F.coalesce(sound & fits, F.lit(False))
+
+
 def is_anonymous(user: Column) -> Column:
     """A user whose whole name is an IP address."""
-    return _matches(user, f"{IPV4}|{IPV6}")
+    return _matches(user, IPV4) | _is_v6(user)
 
 
 def ip_hex(ip: Column) -> Column:
@@ -47,4 +55,4 @@ def ip_hex(ip: Column) -> Column:
     zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(head) - F.size(tail))
     padded = F.transform(F.concat(head, zeros, tail), lambda part: F.lpad(F.lower(part), 4, "0"))
     v6 = F.array_join(padded, "")
-    return F.when(_matches(ip, IPV4), v4).when(_matches(ip, IPV6), v6)
+    return F.when(_matches(ip, IPV4), v4).when(_is_v6(ip), v6)

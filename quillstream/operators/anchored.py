@@ -149,6 +149,33 @@ def full_windows(narrow: DataFrame, ttl: int, limit: int, chunk_cells: int) -> D
     )
 
 
+def last_windows(narrow: DataFrame, ttl_seconds: int, limit: int) -> DataFrame:
+    """Per key the window that is open after its last row (``k``, ``t``, ``tie``): ``start`` in
+    microseconds and ``n``, its rows, counted up to one more than ``limit``.
+
+    Every key is folded, since any of them may go on; chunks split a hot key as in ``past_limit``.
+    """
+    ttl = ttl_seconds * MICROS
+    chunk_cells = max(1, CHUNK_SECONDS // ttl_seconds)
+    ticks = (
+        narrow.groupBy("k", "t")
+        .agg(F.count("*").alias("n"))
+        .withColumn("chunk", _floor(_floor(F.col("t"), ttl), chunk_cells))
+    )
+    steps = _per_chunk(ticks).mapInArrow(
+        lambda batches: _chunk_steps(batches, ttl, ttl * chunk_cells),
+        _schema(narrow, "chunk BIGINT, breaks ARRAY<BIGINT>, stops ARRAY<BIGINT>"),
+    )
+    starts = (
+        steps.repartition("k")
+        .sortWithinPartitions("k", "chunk")
+        .mapInArrow(_last_stop, _schema(narrow, "stop BIGINT"))
+        .select("k", (F.col("stop") - ttl).alias("start"))
+    )
+    inside = ticks.join(starts, "k").where(F.col("t") >= F.col("start"))
+    return inside.groupBy("k", "start").agg(F.least(F.sum("n"), F.lit(limit + 1)).alias("n"))
+
+
 def _rank_ties(windows: DataFrame, narrow: DataFrame, limit: int) -> DataFrame:
     """Set ``cut_tie`` where the limit falls behind the second or a later row of a tick."""
     if limit == 1:
@@ -267,6 +294,26 @@ def _chain(batches: Iterator[pa.RecordBatch]):
             yield _batch(out, ["k", "chunk", "stop"], batch.schema.field("k").type)
 
 
+def _last_stop(batches: Iterator[pa.RecordBatch]):
+    """Per key, the end of the window that leaves its last chunk."""
+    key, stop, kind = None, None, None
+    for batch in batches:
+        kind = batch.schema.field("k").type
+        out = []
+        for k, breaks, stops in _rows(batch, "k", "breaks", "stops"):
+            if stop is not None and k != key:
+                out.append((key, stop))
+            if stop is None or k != key:
+                key, stop = k, NEVER
+            at = bisect_left(breaks, stop)
+            if at < len(breaks):
+                stop = stops[at]
+        if out:
+            yield _batch(out, ["k", "stop"], kind)
+    if stop is not None:
+        yield _batch([(key, stop)], ["k", "stop"], kind)
+
+
 def _full_windows(batches: Iterator[pa.RecordBatch], ttl: int, limit: int):
     key, chunk, stop, total = None, None, NEVER, None
     cut, rank, cut_tie = 0, 0, None

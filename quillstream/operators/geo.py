@@ -107,10 +107,18 @@ def enrich(
     places = locate(anonymous, networks).select(
         F.col("ip").alias("_ip"), F.col("country").alias("_country"), F.col("city").alias("_city")
     )
-    joined = edits.join(places, F.col(user) == F.col("_ip"), "left")
-    kept = [name for name in edits.columns if name not in ("country", "city")]
-    return joined.select(
-        *kept,
-        F.when(F.col("is_anonymous"), F.coalesce("_country", F.lit(UNKNOWN))).alias("country"),
-        F.when(F.col("is_anonymous"), F.coalesce("_city", F.lit(UNKNOWN))).alias("city"),
+    # Only anonymous rows move for the join; registered users have no place.
+    kept = [F.col(name) for name in edits.columns if name not in ("country", "city")]
+    is_anonymous = F.coalesce(F.col("is_anonymous"), F.lit(False))
+    nowhere = F.lit(None).cast("string")
+    registered = edits.where(~is_anonymous).select(
+        *kept, nowhere.alias("country"), nowhere.alias("city")
+    )
+    found = edits.where(is_anonymous).join(places, F.col(user) == F.col("_ip"), "left")
+    return registered.unionByName(
+        found.select(
+            *kept,
+            F.coalesce("_country", F.lit(UNKNOWN)).alias("country"),
+            F.coalesce("_city", F.lit(UNKNOWN)).alias("city"),
+        )
     )

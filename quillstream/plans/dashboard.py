@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quillstream.functions import clock, labels, scores
 from quillstream.operators import filters
 from quillstream.plans.processed import feed_rows
+from quillstream.sources import tables
 
 # Default and largest row counts.
 RECENT_DEFAULT, RECENT_MAX = 25, 200
@@ -34,9 +35,19 @@ def _sums(rows: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def _since_date(rows: DataFrame, date: str, bound: Column | None) -> DataFrame:
+    """Skip the partitions before a timeframe, where the rows have their partition date."""
+    if bound is None or date not in rows.columns:
+        return rows
+    return rows.where(F.col(date) >= F.to_date(bound))
+
+
 @dataclasses.dataclass(frozen=True)
 class Dashboard:
-    """Queries over ``edits`` (processed_edits) and ``rollups`` (analytics_rollups)."""
+    """Queries over ``edits`` (processed_edits) and ``rollups`` (analytics_rollups).
+
+    Read both with ``dated=True``: a timeframe then reads only the partitions of its dates.
+    """
 
     edits: DataFrame
     rollups: DataFrame
@@ -46,7 +57,7 @@ class Dashboard:
 
     def _rollups(self, timeframe: str | None, project: str | None) -> DataFrame:
         bound = clock.since(timeframe, self.as_of)
-        return self.rollups.where(
+        return _since_date(self.rollups, tables.BUCKET_DATE, bound).where(
             filters.at_or_after(F.col("time_bucket"), bound)
             & filters.label_in_project(F.col("language"), project)
         )
@@ -142,14 +153,27 @@ class Dashboard:
     # ---- edits table --------------------------------------------------------------------------
 
     def _edits(self, timeframe: str | None, is_bot: bool | None) -> DataFrame:
-        return self.edits.where(
-            filters.at_or_after(F.col("edit_timestamp"), clock.since(timeframe, self.as_of))
+        bound = clock.since(timeframe, self.as_of)
+        return _since_date(self.edits, tables.EDITS_DATE, bound).where(
+            filters.at_or_after(F.col("edit_timestamp"), bound)
             & filters.bot_is(F.col("is_bot"), is_bot)
         )
 
     def recent_edits(self, limit: int = RECENT_DEFAULT) -> DataFrame:
-        newest = self.edits.orderBy(F.desc("edit_timestamp"), F.desc("id"))
-        return feed_rows(newest.limit(bounded(limit, RECENT_DEFAULT, RECENT_MAX)))
+        """The newest edits; of a table with dates only the newest dates that hold enough are read."""
+        rows = bounded(limit, RECENT_DEFAULT, RECENT_MAX)
+        edits = self.edits
+        if tables.EDITS_DATE in edits.columns:
+            sizes = edits.groupBy(tables.EDITS_DATE).count().orderBy(F.desc(tables.EDITS_DATE))
+            held, oldest = 0, None
+            for date, size in sizes.toLocalIterator():  # one row per date
+                held, oldest = held + size, date
+                if held >= rows:
+                    break
+            if oldest is not None:
+                edits = edits.where(F.col(tables.EDITS_DATE) >= F.lit(oldest))
+        newest = edits.orderBy(F.desc("edit_timestamp"), F.desc("id"))
+        return feed_rows(newest.limit(rows))
 
     def raw_top_urls(
         self,

@@ -13,8 +13,13 @@ TICKER_ROWS = 10
 
 
 def merge_feed(live: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Live edits first, then the snapshot, newest first, one row per id, 100 rows."""
+    """Live edits first, then the snapshot, newest first, one row per id, 100 rows.
+
+    The snapshot is a table with unique ids. Every live id takes a place and displaces at most one of
+    its rows, so its newest 100 rows are all that can be shown.
+    """
     columns = live.columns
+    snapshot = snapshot.orderBy(F.desc("edit_timestamp"), F.desc("id")).limit(FEED_ROWS)
     both = live.withColumn("_rank", F.lit(0)).unionByName(
         snapshot.withColumn("_rank", F.lit(1))
     )

@@ -41,6 +41,22 @@ def counter_columns(failed: Column | None = None) -> list[Column]:
     ]
 
 
+def line_columns() -> list[Column]:
+    """What became of raw lines: every line is in one of the three."""
+    edit = F.coalesce(F.col("type") == "edit", F.lit(False))
+    return [
+        F.count_if(~F.col("decodable")).alias("undecodable"),
+        F.count_if(F.col("decodable") & ~edit).alias("not_edits"),
+        F.count_if(F.col("decodable") & edit).alias("published"),
+    ]
+
+
+def latency_columns(ts: str, ingest_ts: str) -> list[Column]:
+    """Mean and largest seconds from event to ingest."""
+    seconds = (F.unix_micros(ingest_ts) - F.unix_micros(ts)) / F.lit(1e6)
+    return [F.avg(seconds).alias("mean_seconds"), F.max(seconds).alias("max_seconds")]
+
+
 def counters(edits: DataFrame, failed: Column | None = None) -> DataFrame:
     return edits.agg(*counter_columns(failed))
 

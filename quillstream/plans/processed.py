@@ -92,8 +92,7 @@ def process(
         return stage(windows, "windows")
 
     accepted = stage(drop_replays(valid_ids(events), clock, tie, table), "accepted")
-    flagged = flag_bots(accepted, bot_clock or clock, "id", through=table)
-    placed = geo.enrich(flagged, networks, users=accepted)
-    scored = stage(to_table(placed, clock, tie), "scored")
-    first = keyed.keep_first(scored, ["id"], [clock, tie])
-    return first.select(*schemas.columns(schemas.PROCESSED_EDITS))
+    flagged = stage(flag_bots(accepted, bot_clock or clock, "id", through=table), "flagged")
+    first = keyed.keep_first(flagged, ["id"], [clock, tie])
+    placed = geo.enrich(first, networks, users=accepted)
+    return to_table(placed).select(*schemas.columns(schemas.PROCESSED_EDITS))

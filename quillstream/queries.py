@@ -16,7 +16,7 @@ from quillstream.plans import anomalies, feeds, metrics, processed, rollup
 from quillstream.plans.dashboard import Dashboard, bot_human_pivot, geo_leaderboard
 from quillstream.session import prepare, stage, work_dir
 from quillstream.sources import raw_feed, tables, wire
-from quillstream.streaming import jobs, velocity
+from quillstream.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -200,14 +200,28 @@ def edits_in_range(spark, sf_dir):
 # ---- rollups ----------------------------------------------------------------------------------
 
 
+_TABLES: dict[tuple[str, str, bool], tuple[str, str]] = {}
+
+
 def _dashboard(spark, sf_dir, placed=False):
-    edits = fx.processed(spark, sf_dir, placed=placed)
-    return Dashboard(edits, rollup.rollup(edits), fx.AS_OF)
+    """The dashboard over stored tables, which are written once per session and data folder."""
+    key = (spark.sparkContext.applicationId, sf_dir, placed)
+    if key not in _TABLES:
+        edits, rollups = work_dir(spark, "edits"), work_dir(spark, "rollups")
+        tables.insert_edits(fx.processed(spark, sf_dir, placed=placed), edits, 0)
+        tables.upsert_rollups(rollup.rollup(tables.read_edits(spark, edits)), rollups)
+        _TABLES[key] = (edits, rollups)
+    edits, rollups = _TABLES[key]
+    return Dashboard(
+        tables.read_edits(spark, edits, dated=True),
+        tables.read_rollups(spark, rollups, dated=True),
+        fx.AS_OF,
+    )
 
 
 @register
 def rollup_10m(spark, sf_dir):
-    return _dashboard(spark, sf_dir).rollups
+    return rollup.rollup(fx.processed(spark, sf_dir))
 
 
 @register
@@ -448,7 +462,11 @@ def throughput_by_bot(spark, sf_dir):
 
 @register
 def counters(spark, sf_dir):
-    return metrics.counters(fx.processed(spark, sf_dir), F.col("edit_comment") == "")
+    """Counters of the store job: edits and bots from the table, errors from the quarantine."""
+    decoded = wire.check_storable(wire.decode_events(fx.wire_messages(fx.base(spark, sf_dir))))
+    errors = decoded.agg(F.count_if(F.col("reason").isNotNull()).alias("errors_total"))
+    done = metrics.counters(fx.processed(spark, sf_dir)).drop("errors_total")
+    return done.crossJoin(errors)  # each side is one row
 
 
 @register
@@ -465,87 +483,154 @@ def partition_balance(spark, sf_dir):
 # ---- streams ----------------------------------------------------------------------------------
 
 
-def _event_stream(spark, sf_dir):
-    """The events table as a stream, shaped like the batch view."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    source = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
-    return fx.shape(source.parquet(sf_dir))
+BATCHES = 5
+
+
+def _in_batches(spark, rows, clock, name):
+    """``rows`` as a stream of ``BATCHES`` files in order of ``clock``, one per micro-batch."""
+    path, rows = work_dir(spark, name), stage(rows, f"{name}-rows")
+    time = F.unix_micros(clock)
+    shares = [k / BATCHES for k in range(1, BATCHES)]
+    cuts = rows.agg(F.percentile_approx(time, shares)).first()[0]
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        part = rows.where(time >= low) if low is not None else rows
+        part = part.where(time < high) if high is not None else part
+        part.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def _finish(query):
+    """Run a stream to its end; it must have taken its input in several batches."""
+    query.awaitTermination()
+    taken = [p for p in query.recentProgress if p["numInputRows"]]
+    if len(taken) < 2:
+        raise RuntimeError(f"{query.name} ran in {len(taken)} batch")
 
 
 def _layout(spark, name):
     return jobs.Layout(work_dir(spark, name))
 
 
+def _run_batches(stream, layout, name, write):
+    """Run ``write(batch, batch_id)`` over a stream."""
+
+    _finish(
+        stream.writeStream.queryName(name)
+        .option("checkpointLocation", layout.checkpoint(name))
+        .foreachBatch(write)
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
 @register
 def stream_first_deliveries(spark, sf_dir):
     layout = _layout(spark, "deliveries")
-    arrived = raw_feed.edits_only(fx.deliveries(_event_stream(spark, sf_dir)))
-    first = jobs.first_deliveries(arrived, "delivery_ts").select("id")
-    query = (
-        first.writeStream.format("parquet")
-        .option("checkpointLocation", layout.checkpoint("first"))
-        .trigger(availableNow=True)
-        .start(layout.table("first"))
-    )
-    query.awaitTermination()
-    return spark.read.schema("id BIGINT").parquet(layout.table("first"))
+    arrived = raw_feed.edits_only(fx.deliveries(fx.base(spark, sf_dir)))
+    arrived = arrived.select("id", "delivery", "delivery_ts")
+
+    def write(batch, batch_id):
+        with jobs.first_deliveries(batch, batch_id, layout, "delivery_ts", "delivery") as first:
+            tables.append_batch(first, layout.table("first"), batch_id)
+
+    stream = _in_batches(spark, arrived, "delivery_ts", "deliveries")
+    _run_batches(stream, layout, "first", write)
+    first = spark.read.parquet(layout.table("first"))
+    return first.select("id", "delivery", "delivery_ts")
 
 
 @register
 def stream_bot_velocity(spark, sf_dir):
-    jobs.use_rocksdb(spark)
     layout = _layout(spark, "velocity")
-    valid = raw_feed.valid_ids(raw_feed.edits_only(fx.events(_event_stream(spark, sf_dir))))
-    watermarked = valid.withWatermark("ts_fast", jobs.DEDUP_DELAY)
-    flagged = velocity.flag_bots(watermarked, "ts_fast").select("id", "user", "is_bot")
-    query = (
-        flagged.writeStream.format("parquet")
-        .option("checkpointLocation", layout.checkpoint("flagged"))
-        .trigger(availableNow=True)
-        .start(layout.table("flagged"))
-    )
-    query.awaitTermination()
-    ddl = "id BIGINT, user STRING, is_bot BOOLEAN"
-    return spark.read.schema(ddl).parquet(layout.table("flagged"))
+    valid = raw_feed.valid_ids(raw_feed.edits_only(fx.events(fx.base(spark, sf_dir))))
+
+    def write(batch, batch_id):
+        with jobs.flag_bots(batch, batch_id, layout, "ts_fast", "id") as flagged:
+            kept = flagged.select("id", "user", "is_bot")
+            tables.append_batch(kept, layout.table("flagged"), batch_id)
+
+    stream = _in_batches(spark, valid.select("id", "user", "ts_fast"), "ts_fast", "users")
+    _run_batches(stream, layout, "flagged", write)
+    return spark.read.parquet(layout.table("flagged")).select("id", "user", "is_bot")
+
+
+def _published(spark, sf_dir, layout):
+    """Raw lines through the publishing job, in order of the time they state, on the fast clock."""
+    rows = fx.base(spark, sf_dir).withColumn("ts", F.col("ts_fast"))
+    lines = fx.raw_lines(rows).drop("event_id")
+    stated = raw_feed.parse(lines).select("value", "ingest_ts", "timestamp")
+    feed = _in_batches(spark, stated, "timestamp", "lines").drop("timestamp")
+    _finish(jobs.publish_edits(feed, fx.networks(spark), layout))
 
 
 @register
 def stream_processed_edits(spark, sf_dir):
-    """Raw lines to wire events to the edits table, by two streaming jobs.
-
-    The verdict is left out: its clock here is the time at which this run wrote the messages.
-    """
+    """Raw lines to wire events to the edits table, by two streaming jobs."""
     layout = _layout(spark, "edits")
-    lines = fx.raw_lines(_event_stream(spark, sf_dir)).drop("event_id")
-    jobs.publish_edits(lines, fx.networks(spark), layout).awaitTermination()
-    messages = jobs.read_messages(spark, layout.table("edit_events"))
-    jobs.store_edits(messages, layout).awaitTermination()
-    return tables.read_edits(spark, layout.table("processed_edits")).drop("is_bot")
+    _published(spark, sf_dir, layout)
+    messages = jobs.read_messages(spark, layout.table("edit_events"), 1)
+    _finish(jobs.store_edits(messages, layout, clock="timestamp", tie="id"))
+    return tables.read_edits(spark, layout.table("processed_edits"))
+
+
+@register
+def stream_accounting(spark, sf_dir):
+    """What became of every raw line, from the job's own counters and from its tables."""
+    layout = _layout(spark, "accounting")
+    _published(spark, sf_dir, layout)
+    noted = spark.read.parquet(layout.table("job_metrics/edit_events"))
+    sums = noted.agg(*[F.sum(name).alias(name) for name in ("undecodable", "not_edits", "published")])
+    letters = spark.read.parquet(layout.table("dead_letters")).agg(F.count("*").alias("letters"))
+    sent = spark.read.parquet(layout.table("edit_events")).agg(F.count("*").alias("messages"))
+    return sums.crossJoin(letters).crossJoin(sent)  # each side is one row
 
 
 @register
 def stream_dead_letters(spark, sf_dir):
     layout = _layout(spark, "letters")
-    sent = fx.wire_messages(fx.base(spark, sf_dir)).select("key", "value")
-    tables.append_batch(sent, layout.table("edit_events"), 0)
-    messages = jobs.read_messages(spark, layout.table("edit_events"))
-    jobs.store_dead_letters(messages, layout).awaitTermination()
+    sent = fx.wire_messages(fx.base(spark, sf_dir)).select("event_id", "key", "value")
+    for part in range(BATCHES):
+        rows = sent.where(F.col("event_id") % BATCHES == part).select("key", "value")
+        tables.append_batch(rows.coalesce(1), layout.table("edit_events"), part)
+    messages = jobs.read_messages(spark, layout.table("edit_events"), 1)
+    _finish(jobs.store_dead_letters(messages, layout))
     letters = spark.read.parquet(layout.table("dead_letters"))
     return letters.groupBy("reason").agg(F.count("*").alias("messages"))
 
 
 @register
 def stream_rollups(spark, sf_dir):
+    """Rollups refreshed after each of several inserts; buckets get rows more than once."""
     layout = _layout(spark, "rollups")
-    tables.insert_edits(fx.processed(spark, sf_dir), layout.table("processed_edits"), 0)
-    jobs.refresh_rollups(spark, layout).awaitTermination()
+    edits = fx.processed(spark, sf_dir)
+    for part in range(3):
+        tables.insert_edits(edits.where(F.col("id") % 3 == part), layout.table("processed_edits"), part)
+        jobs.refresh_rollups(spark, layout).awaitTermination()
     return tables.read_rollups(spark, layout.table("analytics_rollups"))
 
 
+def _raised(spark, sf_dir, layout):
+    events = raw_feed.edits_only(fx.events(fx.base(spark, sf_dir), "ts_fast"))
+    stream = _in_batches(spark, events.select("id", "title", "timestamp", "is_revert"), "timestamp", "events")
+    _finish(jobs.raise_alerts(stream, layout))
+
+
 @register
 def stream_anomalies(spark, sf_dir):
     layout = _layout(spark, "anomalies")
-    events = raw_feed.edits_only(fx.events(_event_stream(spark, sf_dir), "ts_fast"))
-    jobs.raise_alerts(events, layout).awaitTermination()
+    _raised(spark, sf_dir, layout)
     published = spark.read.schema("key STRING, value STRING").parquet(layout.table("anomalies"))
     return anomalies.latest(wire.decode_alerts(published))
+
+
+@register
+def stream_alert_ticker(spark, sf_dir):
+    """The ticker table as the job that follows the published alerts leaves it."""
+    layout = _layout(spark, "ticker")
+    _raised(spark, sf_dir, layout)
+    messages = jobs.read_messages(spark, layout.table("anomalies"), 1)
+    jobs.show_alerts(messages, layout).awaitTermination()
+    last = tables.folders(spark, layout.table("alert_ticker"), tables.BATCH)[-1]
+    shown = spark.read.parquet(f"{layout.table('alert_ticker')}/{tables.BATCH}={last}")
+    label = labels.format_anomaly_type(F.col("anomaly_type"))
+    return shown.select("id", "page_title", label.alias("anomaly"), "event_count", "window_end")

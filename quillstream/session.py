@@ -61,3 +61,9 @@ def stage(rows: DataFrame, purpose: str) -> DataFrame:
     path = work_dir(spark, purpose)
     rows.write.parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this job's own, wherever the session's file systems hold it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

@@ -29,15 +29,19 @@ def read_raw_stream(spark: SparkSession, path: str, max_files: int = 1000) -> Da
 
 
 def read_kafka_stream(
-    spark: SparkSession, servers: str, topic: str, max_records: int = 10_000, **options: str
+    spark: SparkSession, servers: str, topic: str, max_records: int | None = None, **options: str
 ) -> DataFrame:
-    """Streaming scan of a Kafka topic, from the earliest offset. Needs the Kafka connector."""
+    """Streaming scan of a Kafka topic, from the earliest offset. Needs the Kafka connector.
+
+    ``max_records`` bounds a micro-batch; by default a batch takes all that has arrived.
+    """
+    if max_records is not None:
+        options["maxOffsetsPerTrigger"] = str(max_records)
     reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "earliest")
-        .option("maxOffsetsPerTrigger", max_records)
         .options(**options)
     )
     return reader.load().select(

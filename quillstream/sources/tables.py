@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from quillstream import schemas
 from quillstream.functions.clock import as_utc
 from quillstream.operators import keyed
+from quillstream.session import stage
 
-EDITS_DATE, BATCH = "edit_date", "ingest_batch"
+EDITS_DATE, BATCH, ORIGIN = "edit_date", "ingest_batch", "origin"
 BUCKET_DATE = "bucket_date"
 # Writers per date: one hot date is spread over several tasks.
 FILES_PER_DATE = 16
@@ -40,17 +41,29 @@ def _utc_date(moment: dt.datetime) -> Column:
     return F.lit(as_utc(moment).astimezone(dt.timezone.utc).date())
 
 
-def _scan(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+def _scan(spark: SparkSession, path: str, ddl: str, create: bool = False) -> DataFrame:
+    """A table. Only a writer may find it missing (``create``) and begin with an empty one."""
     try:
         return spark.read.schema(ddl).parquet(path)
     except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
+        if not create or missing.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], ddl)
 
 
-def _edits(spark: SparkSession, path: str) -> DataFrame:
-    return _scan(spark, path, f"{schemas.PROCESSED_EDITS}, {EDITS_DATE} DATE, {BATCH} BIGINT")
+def folders(spark: SparkSession, path: str, column: str) -> list[int]:
+    """The values of an integer partition column that ``path`` has folders for; none without it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(place):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(place)]
+    return sorted(int(name.split("=")[1]) for name in names if name.startswith(f"{column}="))
+
+
+def _edits(spark: SparkSession, path: str, create: bool = False) -> DataFrame:
+    ddl = f"{schemas.PROCESSED_EDITS}, {EDITS_DATE} DATE, {BATCH} BIGINT"
+    return _scan(spark, path, ddl, create)
 
 
 def read_edits(
@@ -58,10 +71,11 @@ def read_edits(
     path: str,
     start: dt.datetime | None = None,
     end: dt.datetime | None = None,
+    dated: bool = False,
 ) -> DataFrame:
-    """Edits with ``start <= edit_timestamp < end``."""
+    """Edits with ``start <= edit_timestamp < end``; ``dated`` keeps the partition date for later filters."""
     rows = _edits(spark, path).where(time_range("edit_timestamp", EDITS_DATE, start, end))
-    return rows.select(*schemas.columns(schemas.PROCESSED_EDITS))
+    return rows.select(*schemas.columns(schemas.PROCESSED_EDITS), *([EDITS_DATE] if dated else []))
 
 
 def read_dates(spark: SparkSession, path: str, dates: list[dt.date]) -> DataFrame:
@@ -75,11 +89,12 @@ def read_rollups(
     path: str,
     start: dt.datetime | None = None,
     end: dt.datetime | None = None,
+    dated: bool = False,
 ) -> DataFrame:
-    """Rollups with ``start <= time_bucket < end``."""
+    """Rollups with ``start <= time_bucket < end``; ``dated`` keeps the partition date for later filters."""
     rows = _scan(spark, path, f"{schemas.ANALYTICS_ROLLUPS}, {BUCKET_DATE} DATE")
     rows = rows.where(time_range("time_bucket", BUCKET_DATE, start, end))
-    return rows.select(*schemas.columns(schemas.ANALYTICS_ROLLUPS))
+    return rows.select(*schemas.columns(schemas.ANALYTICS_ROLLUPS), *([BUCKET_DATE] if dated else []))
 
 
 def lookup_rollups(
@@ -98,19 +113,26 @@ def lookup_rollups(
     return rows
 
 
-def insert_edits(edits: DataFrame, path: str, batch_id: int) -> DataFrame:
+def insert_edits(
+    edits: DataFrame, path: str, batch_id: int, arrival: list[str] | None = None
+) -> DataFrame:
     """Append the edits whose id the table does not hold yet; returns what this batch stored.
 
+    Of several edits with one id in the batch the first by ``arrival`` is kept (default: by edit time).
+    Those columns are not stored.
+
     A batch owns its partitions: replaying ``batch_id`` overwrites them with the same rows, and
     its own rows are not taken for existing ones. The existing ids are read only between the
     smallest and largest id of the batch; edit ids grow with time, so footers prune the rest.
     """
     spark = edits.sparkSession
-    fresh = keyed.first_per_key(edits, ["id"], ["edit_timestamp"])
+    fresh = keyed.first_per_key(edits, ["id"], arrival or ["edit_timestamp"]).select(
+        *schemas.columns(schemas.PROCESSED_EDITS)
+    )
     low, high = edits.agg(F.min("id"), F.max("id")).first()
     if low is not None:
         existing = (
-            _edits(spark, path)
+            _edits(spark, path, create=True)
             .where((F.col(BATCH) != batch_id) & F.col("id").between(low, high))
             .select("id")
         )
@@ -127,7 +149,7 @@ def insert_edits(edits: DataFrame, path: str, batch_id: int) -> DataFrame:
             .partitionBy(EDITS_DATE, BATCH)
             .parquet(path)
         )
-    stored = _edits(spark, path).where(F.col(BATCH) == batch_id)
+    stored = _edits(spark, path, create=True).where(F.col(BATCH) == batch_id)
     return stored.select(*schemas.columns(schemas.PROCESSED_EDITS))
 
 
@@ -137,15 +159,15 @@ def upsert_rollups(fresh: DataFrame, path: str) -> None:
     Only the dates of ``fresh`` are read and rewritten. Its few dates are collected, never rows.
     """
     spark = fresh.sparkSession
-    fresh = fresh.withColumn(BUCKET_DATE, F.to_date("time_bucket"))
+    fresh = stage(fresh.withColumn(BUCKET_DATE, F.to_date("time_bucket")), "fresh-rollups")
     dates = [row[0] for row in fresh.select(BUCKET_DATE).distinct().collect()]
     if not dates:
         return
-    existing = _scan(spark, path, f"{schemas.ANALYTICS_ROLLUPS}, {BUCKET_DATE} DATE")
+    existing = _scan(spark, path, f"{schemas.ANALYTICS_ROLLUPS}, {BUCKET_DATE} DATE", create=True)
     merged = keyed.upsert(existing.where(F.col(BUCKET_DATE).isin(dates)), fresh, ROLLUP_KEY)
     (
-        merged.repartition(BUCKET_DATE)
-        .sortWithinPartitions("time_bucket", "language")
+        merged.repartition(BUCKET_DATE, F.pmod(F.xxhash64("time_bucket"), F.lit(FILES_PER_DATE)))
+        .sortWithinPartitions(BUCKET_DATE, "time_bucket", "language")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(BUCKET_DATE)
@@ -162,3 +184,15 @@ def append_batch(rows: DataFrame, path: str, batch_id: int) -> None:
         .partitionBy(BATCH)
         .parquet(path)
     )
+
+
+def append_letters(letters: DataFrame, path: str, origin: str, batch_id: int) -> None:
+    """Append dead letters of a job; each job owns its partitions, so a replay overwrites its own."""
+    (
+        letters.withColumn(ORIGIN, F.lit(origin))
+        .withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(ORIGIN, BATCH)
+        .parquet(path)
+    )

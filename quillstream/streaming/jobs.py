@@ -1,6 +1,6 @@
 """The streaming jobs: raw lines to wire events, these to edits and alerts, edits to rollups.
 
-Offsets and operator state live in checkpoints. Every sink writes with ``foreachBatch`` to tables
+Offsets and operator state live in checkpoints, open counting windows beside them. Every sink writes with ``foreachBatch`` to tables
 partitioned by micro-batch, so a batch that is run again overwrites itself. Where the clock
 matters it is the arrival time of a message, which never falls behind the watermark.
 """
@@ -17,13 +17,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillstream import schemas
 from quillstream.functions.clock import bucket_start
+from quillstream.functions.scores import is_blank
 from quillstream.operators import geo
-from quillstream.plans import anomalies, metrics, processed, rollup
+from quillstream.plans import anomalies, feeds, metrics, processed, rollup
 from quillstream.session import ROCKSDB
 from quillstream.sources import raw_feed, tables, wire
-from quillstream.streaming.velocity import flag_bots
+from quillstream.streaming.carried import CarriedCounter
 
-DEDUP_DELAY = f"{processed.DEDUP_TTL_SECONDS} seconds"
 # No grace: a window takes nothing once time has passed its end. Spark's watermark moves between
 # batches, so a late event may still count in the batch after the one that closed its window.
 ANOMALY_DELAY = "0 seconds"
@@ -101,45 +101,108 @@ def _start(
 def publish_edits(
     lines: DataFrame, networks: DataFrame, layout: Layout, trigger: dict | None = None
 ) -> StreamingQuery:
-    """Raw lines to located edit events in wire form, keyed by title."""
-    events = raw_feed.edits_only(raw_feed.parse(lines)).drop("value", "decodable")
+    """Raw lines to located edit events in wire form, keyed by title.
+
+    Rows of a title leave in one partition and in order of arrival. A line that cannot be decoded goes to
+    ``dead_letters``; events of another type than ``edit`` are counted in ``job_metrics`` and dropped.
+    """
+    parsed = raw_feed.parse(lines)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        with _computed_once(batch):
-            sent = wire.encode_events(geo.enrich(batch, networks))
-            tables.append_batch(sent, layout.table("edit_events"), batch_id)
+        with _computed_once(batch.withColumn("_n", F.monotonically_increasing_id())) as events:
+            broken = events.where(~F.col("decodable"))
+            letters = broken.select("value", F.lit("malformed_json").alias("reason"))
+            tables.append_letters(letters, layout.table("dead_letters"), "lines", batch_id)
+            edits = raw_feed.edits_only(events).drop("value", "decodable")
+            sent = wire.encode_events(geo.enrich(edits, networks), "ingest_ts", "_n")
+            by_key = sent.repartition("key").sortWithinPartitions("key", "ingest_ts", "_n")
+            tables.append_batch(by_key.select("key", "value"), layout.table("edit_events"), batch_id)
+            counted = events.agg(*metrics.line_columns())
+            _note(counted, layout, "edit_events", batch_id)
+
+    return _start(parsed, "edit_events", layout, write, trigger)
+
+
+def _note(counted: DataFrame, layout: Layout, job: str, batch_id: int) -> None:
+    """One row of counters of a micro-batch, in ``job_metrics`` of the job; a replay overwrites it."""
+    tables.append_batch(counted.coalesce(1), layout.table(f"job_metrics/{job}"), batch_id)
+
+
+def dedup_counter(layout: Layout) -> CarriedCounter:
+    """Replays: deliveries of an id within 24 h of the first one."""
+    return CarriedCounter(
+        layout.checkpoint("dedup_windows"),
+        "id",
+        processed.DEDUP_TTL_SECONDS,
+        processed.DEDUP_LIMIT,
+        "_replay",
+    )
 
-    return _start(events, "edit_events", layout, write, trigger)
 
+def velocity_counter(layout: Layout) -> CarriedCounter:
+    """Bot edits: a user's sixth or later edit within 60 s of the first."""
+    return CarriedCounter(
+        layout.checkpoint("velocity_windows"),
+        "_user",
+        processed.VELOCITY_SECONDS,
+        processed.VELOCITY_LIMIT,
+        "is_bot",
+    )
 
-def first_deliveries(events: DataFrame, clock: str) -> DataFrame:
-    """Drop deliveries of an id within 24 h of its first one.
 
-    State expires with the watermark. An id that returns after 24 h passes here and is counted
-    for velocity, and the edits table rejects it.
-    """
-    watermarked = raw_feed.valid_ids(events).withWatermark(clock, DEDUP_DELAY)
-    return watermarked.dropDuplicatesWithinWatermark(["id"])
+@contextlib.contextmanager
+def first_deliveries(
+    batch: DataFrame, batch_id: int, layout: Layout, clock: str, tie: str
+) -> Iterator[DataFrame]:
+    """Drop the deliveries of an id within 24 h of its first one, whichever batch had that."""
+    valid = raw_feed.valid_ids(batch)
+    with dedup_counter(layout).mark(valid, batch_id, clock, tie) as marked:
+        yield marked.where(~F.col("_replay")).drop("_replay")
+
+
+@contextlib.contextmanager
+def flag_bots(
+    batch: DataFrame, batch_id: int, layout: Layout, clock: str, tie: str
+) -> Iterator[DataFrame]:
+    """Add ``is_bot``, counting on from the windows of the batches before."""
+    named = batch.withColumn("_user", F.when(~is_blank(F.col("user")), F.col("user")))
+    with velocity_counter(layout).mark(named, batch_id, clock, tie) as marked:
+        yield marked.drop("_user")
 
 
 def store_edits(
-    messages: DataFrame, layout: Layout, trigger: dict | None = None, clock: str = "ingest_ts"
+    messages: DataFrame,
+    layout: Layout,
+    trigger: dict | None = None,
+    clock: str = "ingest_ts",
+    tie: str = "_n",
 ) -> StreamingQuery:
     """Wire messages to ``processed_edits`` and the live feed.
 
-    The feed is read back from what the table took, so it never shows an edit that was rejected.
+    Deliveries count in order of ``clock`` and ``tie`` within a batch (default: as read). Nothing is
+    dropped for being late: windows go on from batch to batch, see ``streaming.carried``. The
+    feed is read back from what the table took, so it never shows an edit that was rejected. Counters and
+    latency of each batch go to ``job_metrics``.
     """
-    use_rocksdb(messages.sparkSession)
-    good, _ = wire.split_quarantine(wire.check_storable(wire.decode_events(messages)))
-    scored = processed.to_table(flag_bots(first_deliveries(good, clock), clock))
-    observed = scored.observe("edits", *metrics.counter_columns())
+    checked = wire.check_storable(wire.decode_events(messages))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        with _computed_once(batch):
-            stored = tables.insert_edits(batch, layout.table("processed_edits"), batch_id)
-        tables.append_batch(processed.feed_rows(stored), layout.table("live_feed"), batch_id)
-
-    return _start(observed, "processed_edits", layout, write, trigger)
+        with _computed_once(batch.withColumn("_n", F.monotonically_increasing_id())) as arrived:
+            good, _ = wire.split_quarantine(arrived)
+            with (
+                first_deliveries(good, batch_id, layout, clock, tie) as accepted,
+                flag_bots(accepted, batch_id, layout, clock, tie) as flagged,
+            ):
+                rows = processed.to_table(flagged, *dict.fromkeys([clock, "_n"]))
+                stored = tables.insert_edits(rows, layout.table("processed_edits"), batch_id, [clock, "_n"])
+            tables.append_batch(processed.feed_rows(stored), layout.table("live_feed"), batch_id)
+            errors = arrived.agg(F.count_if(F.col("reason").isNotNull()).alias("errors_total"))
+            timed = good.agg(*metrics.latency_columns("timestamp", "ingest_ts"))
+            done = stored.agg(*metrics.counter_columns()).drop("errors_total")
+            # Each side is one row.
+            _note(done.crossJoin(errors).crossJoin(timed), layout, "processed_edits", batch_id)
+
+    return _start(checked, "processed_edits", layout, write, trigger)
 
 
 def store_dead_letters(
@@ -149,11 +212,30 @@ def store_dead_letters(
     _, bad = wire.split_quarantine(wire.check_storable(wire.decode_events(messages)))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        tables.append_batch(batch, layout.table("dead_letters"), batch_id)
+        tables.append_letters(batch, layout.table("dead_letters"), "messages", batch_id)
 
     return _start(bad, "dead_letters", layout, write, trigger)
 
 
+def show_alerts(
+    messages: DataFrame, layout: Layout, trigger: dict | None = None
+) -> StreamingQuery:
+    """Published alerts to the ticker table: the newest alerts so far, each once with its last count."""
+    decoded = wire.decode_alerts(messages)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        path = layout.table("alert_ticker")
+        earlier = [b for b in tables.folders(batch.sparkSession, path, tables.BATCH) if b < batch_id]
+        rows = batch
+        if earlier:
+            shown = batch.sparkSession.read.parquet(f"{path}/{tables.BATCH}={earlier[-1]}")
+            rows = shown.select(*batch.columns).unionByName(batch)
+        newest = feeds.ticker(anomalies.latest(rows), "window_end")
+        tables.append_batch(newest.coalesce(1), path, batch_id)
+
+    return _start(decoded, "alert_ticker", layout, write, trigger)
+
+
 def refresh_rollups(
     spark: SparkSession, layout: Layout, trigger: dict | None = None
 ) -> StreamingQuery:

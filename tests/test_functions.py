@@ -135,7 +135,7 @@ def test_timeframes():
     assert clock.parse_timeframe(" 24H ") == dt.timedelta(hours=24)
     assert clock.parse_timeframe("7d") == dt.timedelta(days=7)
     for bad in ("h", "0h", "-1d", "7w", "1.5h", "h24", "7 d"):
-        with pytest.raises(ValueError, match="Invalid timeframe"):
+        with pytest.raises(ValueError, match="is no timeframe"):
             clock.parse_timeframe(bad)
 
 
@@ -146,7 +146,7 @@ def test_projects():
         "wikimedia_commons": "wikimedia-commons", "wikidata": "wikidata",
     }.items():
         assert filters.parse_project(text) == name
-    with pytest.raises(ValueError, match="Invalid project"):
+    with pytest.raises(ValueError, match="is no project"):
         filters.parse_project("wiktionary")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillstream import fixtures as fx
 from quillstream import schemas, work_dir
-from quillstream.plans import anomalies, processed, rollup
+from quillstream.plans import anomalies, feeds, processed, rollup
 from quillstream.plans.dashboard import Dashboard
 from quillstream.sources import tables
 
@@ -26,7 +26,11 @@ def board(spark):
     rows = fx.processed(spark, DATA)
     tables.insert_edits(rows, edits, 0)
     tables.upsert_rollups(rollup.rollup(rows), rollups)
-    return Dashboard(tables.read_edits(spark, edits), tables.read_rollups(spark, rollups), fx.AS_OF)
+    return Dashboard(
+        tables.read_edits(spark, edits, dated=True),
+        tables.read_rollups(spark, rollups, dated=True),
+        fx.AS_OF,
+    )
 
 
 QUERIES = {
@@ -54,6 +58,19 @@ def test_scans_read_only_what_a_query_needs(board):
     assert text.count("Exchange hashpartitioning") == 1
 
 
+@pytest.mark.parametrize("name", ["top_languages", "namespaces", "kpis", "trend", "geo", "behavior", "recent"])
+def test_a_timeframe_reads_only_its_dates(board, name):
+    text = plan(QUERIES[name](board))
+    filters = [line for line in text.split("PartitionFilters: ")[1:]]
+    assert filters and all("_date#" in line[:200] and ">=" in line[:200] for line in filters)
+
+
+def test_the_feed_sorts_only_what_it_shows(board):
+    snapshot = processed.feed_rows(board.edits)
+    live = snapshot.where("id % 7 = 0")
+    assert plan(feeds.merge_feed(live, snapshot)).count("TakeOrderedAndProject") >= 2
+
+
 def test_top_k_is_not_a_full_sort(board):
     assert "TakeOrderedAndProject" in plan(board.recent_edits())
     assert "TakeOrderedAndProject" in plan(board.top_languages())
@@ -100,7 +117,7 @@ def test_lookups_prune_partitions(spark, board):
 
 
 def test_schemas_have_the_documented_columns(board):
-    assert board.edits.columns == schemas.columns(schemas.PROCESSED_EDITS)
-    assert board.rollups.columns == schemas.columns(schemas.ANALYTICS_ROLLUPS)
+    assert board.edits.columns == [*schemas.columns(schemas.PROCESSED_EDITS), tables.EDITS_DATE]
+    assert board.rollups.columns == [*schemas.columns(schemas.ANALYTICS_ROLLUPS), tables.BUCKET_DATE]
     assert board.kpis().columns == ["total_edits", "bot_percentage", "average_complexity"]
     assert board.edits.where(F.col("id") <= 0).count() == 0

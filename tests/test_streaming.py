@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quillstream import schemas, work_dir
 from quillstream.plans import anomalies, processed
 from quillstream.sources import raw_feed, tables, wire
-from quillstream.streaming import jobs, velocity
+from quillstream.streaming import carried, jobs
 
 NOON = dt.datetime(2026, 4, 9, 12)
 EVENT = "id BIGINT, title STRING, user STRING, timestamp TIMESTAMP, is_revert BOOLEAN"
@@ -53,15 +53,15 @@ def raised(frame):
 @pytest.mark.parametrize("mode", ["update", "append"])
 def test_spikes_and_wars(spark, mode):
     feed = Feed(spark, EVENT)
-    feed.put([event(i, i, "Breaking_News") for i in range(20)])
-    feed.put([event(100 + i, 3600 + i, "Controversial_Topic", revert=True) for i in range(5)])
+    feed.put([event(i, i, "Alpine_Race") for i in range(20)])
+    feed.put([event(100 + i, 3600 + i, "Disputed_Claim", revert=True) for i in range(5)])
     # Moves time past the last window, so that append mode publishes it.
     feed.put([event(200, 7200, "Later")])
     layout = jobs.Layout(work_dir(spark, "anomalies"))
     jobs.raise_alerts(feed.stream(), layout, mode=mode).awaitTermination()
     got = alerts(spark, layout)
     assert raised(got) == [
-        ("Breaking_News", "TREND_SPIKE", 20), ("Controversial_Topic", "EDIT_WAR", 5)
+        ("Alpine_Race", "TREND_SPIKE", 20), ("Disputed_Claim", "EDIT_WAR", 5)
     ]
     spike = got.where("anomaly_type = 'TREND_SPIKE'").first()
     assert (spike.window_start, spike.window_end) == (NOON, NOON + dt.timedelta(minutes=1))
@@ -102,51 +102,95 @@ def test_stream_alerts_equal_batch_alerts(spark):
     assert raised(batch)
 
 
-def run_velocity(spark, feed):
-    path = work_dir(spark, "velocity")
-    jobs.use_rocksdb(spark)
-    flagged = velocity.flag_bots(feed.stream().withWatermark("timestamp", "1 hour"), "timestamp")
+def run_batches(spark, feed, write):
+    """Run ``write(batch, batch_id, layout)`` over the feed; its rows come back as one table."""
+    layout = jobs.Layout(work_dir(spark, "batches"))
+
+    def once(batch, batch_id):
+        with write(batch, batch_id, layout) as rows:
+            tables.append_batch(rows, layout.table("out"), batch_id)
+
     query = (
-        flagged.writeStream.format("parquet").option("checkpointLocation", f"{path}/c")
-        .trigger(availableNow=True).start(f"{path}/t")
+        feed.stream().writeStream.option("checkpointLocation", layout.checkpoint("out"))
+        .foreachBatch(once).trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return {r.id: r.is_bot for r in spark.read.parquet(f"{path}/t").collect()}
+    assert len([p for p in query.recentProgress if p["numInputRows"]]) == feed.n
+    return spark.read.parquet(layout.table("out"))
+
+
+def velocity(batch, batch_id, layout):
+    return jobs.flag_bots(batch, batch_id, layout, "timestamp", "id")
+
+
+def deliveries(batch, batch_id, layout):
+    return jobs.first_deliveries(batch, batch_id, layout, "timestamp", "title")
 
 
 def test_velocity_over_batches_equals_the_batch_form(spark):
     users = ["Ann", "Bob", "  ", None]
-    rows = [event(i, i * 3, user=users[i % 4]) for i in range(1, 400)]
+    rows = [event(i, i * 2, user=users[i % 4]) for i in range(1, 400)]
+    rows += [event(1000 + i, 300 + i // 9, user="Hot") for i in range(400)]
+    rows.sort(key=lambda row: (row[3], row[0]))
     feed = Feed(spark, EVENT)
-    for start in range(0, 400, 80):
-        feed.put(rows[start : start + 80])
+    for start in range(0, len(rows), 200):
+        feed.put(rows[start : start + 200])
     batch = processed.flag_bots(spark.createDataFrame(rows, EVENT), "timestamp", "id")
     want = {r.id: r.is_bot for r in batch.collect()}
-    assert run_velocity(spark, feed) == want
-    assert any(want.values()) is False
-
-    fast = [event(i, i * 2, user=users[i % 4]) for i in range(1, 400)]
-    feed = Feed(spark, EVENT)
-    for start in range(0, 400, 80):
-        feed.put(fast[start : start + 80])
-    batch = processed.flag_bots(spark.createDataFrame(fast, EVENT), "timestamp", "id")
-    want = {r.id: r.is_bot for r in batch.collect()}
-    assert run_velocity(spark, feed) == want
+    got = {r.id: r.is_bot for r in run_batches(spark, feed, velocity).collect()}
+    assert got == want
     flagged = [id for id, bot in want.items() if bot]
-    assert flagged and all(id % 4 in (0, 1) for id in flagged)
+    assert flagged and all(id % 4 in (0, 1) for id in flagged if id < 1000)
 
 
-def test_second_delivery_is_dropped(spark):
-    feed = Feed(spark, EVENT)
-    feed.put([event(12345, 0), event(0, 0), event(None, 0)])
-    feed.put([event(12345, 100)])
-    path = work_dir(spark, "dedup")
-    query = (
-        jobs.first_deliveries(feed.stream(), "timestamp").writeStream.format("parquet")
-        .option("checkpointLocation", f"{path}/c").trigger(availableNow=True).start(f"{path}/t")
+def test_one_user_beyond_any_run_out_of_order(spark):
+    rows = spark.range(1, 210_001).select(
+        "id", F.lit("Page").alias("title"), F.lit("Ann").alias("user"),
+        F.timestamp_seconds(F.lit(1_775_736_000) + (210_000 - F.col("id")) * 13).alias("timestamp"),
+        F.lit(False).alias("is_revert"),
     )
-    query.awaitTermination()
-    assert [r.id for r in spark.read.parquet(f"{path}/t").collect()] == [12345]
+    layout = jobs.Layout(work_dir(spark, "large"))
+    with jobs.flag_bots(rows, 0, layout, "timestamp", "id") as flagged:
+        got = flagged.where("is_bot").count()
+    assert got == processed.flag_bots(rows, "timestamp", "id").where("is_bot").count()
+    spaced = rows.withColumn("timestamp", F.timestamp_seconds(F.unix_seconds("timestamp") * 8))
+    with jobs.flag_bots(spaced, 0, layout, "timestamp", "id") as flagged:
+        assert flagged.where("is_bot").count() == 0
+
+
+def test_a_mark_lives_24_hours_and_the_earliest_delivery_stays(spark):
+    hour = 3600
+    feed = Feed(spark, EVENT)
+    feed.put([event(1, 5, "later"), event(1, 0, "first"), event(0, 0), event(None, 0)])
+    for step, at in enumerate([23, 30, 47, 61]):
+        feed.put([event(100 + step, at * hour), event(1, at * hour, f"hour {at}")])
+    kept = run_batches(spark, feed, deliveries).where("id = 1")
+    assert sorted(r.title for r in kept.collect()) == ["first", "hour 30", "hour 61"]
+
+
+def test_a_late_delivery_and_a_replayed_batch(spark):
+    layout = jobs.Layout(work_dir(spark, "late"))
+
+    def kept(rows, batch_id):
+        with deliveries(spark.createDataFrame(rows, EVENT), batch_id, layout) as first:
+            return sorted(r.id for r in first.collect())
+
+    assert kept([event(1, 100), event(2, 100)], 0) == [1, 2]
+    late = [event(1, 50, "late"), event(3, 20, "late")]
+    assert kept(late, 1) == [3]
+    assert kept(late, 1) == [3]
+    assert kept([event(3, 200), event(4, 200)], 2) == [4]
+
+
+def test_the_state_is_folded_into_full_folders(spark, monkeypatch):
+    monkeypatch.setattr(carried, "FULL_EVERY", 3)
+    layout = jobs.Layout(work_dir(spark, "folders"))
+    for batch_id in range(2 * carried.FULL_EVERY + 2):
+        rows = spark.createDataFrame([event(7, batch_id), event(100 + batch_id, batch_id)], EVENT)
+        with deliveries(rows, batch_id, layout) as first:
+            assert (7 in [r.id for r in first.collect()]) == (batch_id == 0)
+    left = tables.folders(spark, layout.checkpoint("dedup_windows"), carried.VERSION)
+    assert left[0] == carried.FULL_EVERY and len(left) <= carried.FULL_EVERY + 2
 
 
 RAW = "value STRING"
@@ -171,18 +215,18 @@ def test_raw_lines_to_tables_with_a_restart(spark):
         lines = feed.stream().withColumn("ingest_ts", F.lit(NOON))
         jobs.publish_edits(lines, networks, layout).awaitTermination()
         messages = jobs.read_messages(spark, layout.table("edit_events"))
-        query = jobs.store_edits(messages, layout)
-        query.awaitTermination()
+        jobs.store_edits(messages, layout).awaitTermination()
         jobs.store_dead_letters(messages, layout).awaitTermination()
         jobs.refresh_rollups(spark, layout).awaitTermination()
-        return query
 
     feed.put([raw_line(i) for i in range(1, 9)] + [raw_line(20, user="10.1.2.3", comment="Undo")])
     feed.put([raw_line(3), raw_line(21, type="log"), ('{"id": 5,',), raw_line(22, title=None)])
-    query = run()
-    observed = [p["observedMetrics"].get("edits") for p in map(json.loads, (
-        p.json for p in query.recentProgress)) if p.get("observedMetrics")]
-    assert sum(o["edits_processed_total"] for o in observed if o) == 9
+    run()
+    noted = spark.read.parquet(layout.table("job_metrics/processed_edits")).collect()
+    assert sum(r.edits_processed_total for r in noted) == 9
+    assert sum(r.errors_total for r in noted) == 1 and noted[0].max_seconds is not None
+    lines = spark.read.parquet(layout.table("job_metrics/edit_events")).collect()
+    assert [sum(r[k] for r in lines) for k in ("undecodable", "not_edits", "published")] == [1, 1, 11]
 
     edits = {r.id: r for r in tables.read_edits(spark, layout.table("processed_edits")).collect()}
     assert set(edits) == {*range(1, 9), 20}
@@ -190,7 +234,10 @@ def test_raw_lines_to_tables_with_a_restart(spark):
     assert edits[1].country is None and edits[1].byte_diff == 4
     assert sum(r.is_bot for r in edits.values()) == 3
     letters = spark.read.parquet(layout.table("dead_letters")).collect()
-    assert [r.reason for r in letters] == ["missing_required"]
+    assert sorted((r.reason, r.origin) for r in letters) == [
+        ("malformed_json", "lines"), ("missing_required", "messages")
+    ]
+    assert [r.value for r in letters if r.origin == "lines"] == ['{"id": 5,']
 
     # A restart goes on from the checkpoints: only the new file is read.
     feed.put([raw_line(4), raw_line(30, user="Zoe")])

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillstream import schemas, work_dir
@@ -25,9 +27,13 @@ def test_round_trip(spark):
     assert tables.read_edits(spark, path).collect() == sent.collect()
 
 
-def test_an_empty_table_can_be_read(spark):
-    assert tables.read_edits(spark, work_dir(spark, "none")).count() == 0
-    assert tables.read_rollups(spark, work_dir(spark, "none")).count() == 0
+def test_a_missing_table_is_an_error_for_readers_only(spark):
+    for read in (tables.read_edits, tables.read_rollups):
+        with pytest.raises(AnalysisException):
+            read(spark, work_dir(spark, "none"))
+    path = work_dir(spark, "new")
+    tables.insert_edits(edits(spark, edit(1)), path, 0)
+    assert tables.read_edits(spark, path).count() == 1
 
 
 def test_known_ids_are_rejected(spark):
