@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, WHITE, spread
+from .common import stage as staged
 
 #: Keys shorter than this many code points are never dropped.
 MIN_KEY = 10
@@ -27,8 +28,9 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_key: int = MI
     """Per document with lines to drop: ``doc_id``, ``text_hash`` and the ``dropped`` positions.
 
     Lines travel as a 128-bit digest of their key. Whether a digest is shared, and by whom first, is
-    a minimum and a maximum per digest, so each task sends one row per key however hot the key is;
-    the join back on the digest is one that adaptive execution may split.
+    a minimum and a maximum per digest, so each task sends one row per key however hot the key is. The
+    shared digests are a table before the join back, so that both sides of it are plain shuffles, which
+    adaptive execution splits where a digest is hot.
     """
     rows = docs.select(
         F.col(f"`{id_col}`").alias("doc_id"),
@@ -36,11 +38,12 @@ def dropped_lines(docs: DataFrame, id_col: str, text_col: str, min_key: int = MI
         F.posexplode(F.transform(_lines(F.col(f"`{text_col}`")), line_key)).alias("position", "key"),
     ).filter(F.col("doc_id").isNotNull() & (F.char_length("key") >= min_key))
     rows = rows.select("doc_id", "text_hash", "position", F.unhex(F.md5("key")).alias("digest"))
-    shared = (
+    shared = staged(
         rows.groupBy("digest")
         .agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("other"))
         .filter(F.col("keeper") < F.col("other"))
-        .select("digest", "keeper")
+        .select("digest", "keeper"),
+        "shared-lines",
     )
     return (
         rows.join(shared, "digest")
