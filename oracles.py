@@ -47,6 +47,7 @@ scored AS (
   SELECT *, CAST(length(comment) + 2 * length(title)
     + CASE WHEN event_type = 'error' THEN 50 ELSE 0 END AS INT) AS complexity_score,
     CASE WHEN k % 17 = 16 THEN NULL ELSE bot END AS is_bot,
+    /* Fixed values: what counts as a host, and the labels of subdomains and namespaces. */
     CASE WHEN server_url IS NULL OR server_url = '' THEN 'Unknown'
          ELSE CASE lower(split_part(regexp_extract(server_url, '^(?:https?://)?([^/:?#]+)', 1, 'i'),
                                     '.', 1))
@@ -259,6 +260,7 @@ WHERE id % 41 IN (1, 2, 3, 4, 5, 7) GROUP BY ALL"""
     "complexity": _sql("SELECT id, complexity_score FROM scored"),
     "normalize_language": _sql("SELECT id, server_url, language FROM scored"),
     "normalize_language_pages": """
+/* Fixed values: labels of subdomains, and what counts as a host. */
 SELECT page_id, CASE label WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French'
   WHEN 'ru' THEN 'Russian' WHEN 'de' THEN 'German' WHEN 'ja' THEN 'Japanese'
   WHEN 'es' THEN 'Spanish' WHEN 'zh' THEN 'Chinese' WHEN 'it' THEN 'Italian'
