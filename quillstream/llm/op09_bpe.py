@@ -29,8 +29,10 @@ BLOCK_BYTES = 32 << 20
 FOLD_BYTES = 256
 #: Maps that the literal rank map is dealt into.
 BUCKETS = 1 << 18
-SPREAD = 40503
-NO_RANK = (1 << 31) - 1
+SPREAD = 1021
+#: In the fold ids stand between the ranks of their pairs: ids from here on, ranks below, then no rank.
+IDS = 1 << 20
+NO_RANK = 1 << 30
 
 # Java's \s is ASCII only: the pattern is the tokenizer's with Unicode white space written out.
 _SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
@@ -64,7 +66,8 @@ class Vocabulary:
 
     The map goes from two neighbouring ids to the id of their bytes joined, which is also the pair's
     rank. It is dealt into ``BUCKETS`` maps by ``first * SPREAD + second``; the bucket and the second id
-    determine the first, so the second id alone is the key.
+    determine the first, so the second id alone is the key. Ids are looked up as the fold holds them,
+    ``IDS`` higher, which is a multiple of the number of buckets.
     """
 
     def __init__(self, spark: SparkSession, path: str):
@@ -74,7 +77,7 @@ class Vocabulary:
             for cut in range(1, len(token)):
                 first, second = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
                 if first is not None and second is not None:
-                    buckets[(first * SPREAD + second) % BUCKETS][second] = rank
+                    buckets[(first * SPREAD + second) % BUCKETS][second + IDS] = rank
         pieces = [""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             pieces[rank] = _characters(token)
@@ -89,7 +92,7 @@ class Vocabulary:
         row = spark.createDataFrame([(json.dumps(buckets),)], "value string")
         literal = F.from_json("value", "array<map<string,int>>").cast("array<map<int,int>>")
         self.buckets = row.select(literal.alias("value")).scalar()
-        self.bytes = self._literal([self.ranks[bytes([k])] for k in range(256)], "array<int>")
+        self.bytes = self._literal([self.ranks[bytes([k])] + IDS for k in range(256)], "array<int>")
         self.apart = self._literal(apart, "map<string,int>") if apart else None
         self.pieces = self._literal(pieces, "array<string>")
         self.words = self._literal(words, "array<string>")
@@ -112,54 +115,53 @@ class Vocabulary:
         return bind(buckets, all_ids)
 
     def _fold(self, word: Column, buckets: Column, bind) -> Column:
-        """Merge the pair of lowest rank, leftmost first, once per step until none has a rank."""
-        none = F.lit(NO_RANK)
+        """Merge the pair of lowest rank, leftmost first, once per step until none has a rank.
+
+        The state is one array: id, rank of the pair, id, rank, and so on. The smallest value is the
+        lowest rank; what is left and right of its place are the ids it joins.
+        """
+        none, end = F.lit(NO_RANK), F.lit(2 * FOLD_BYTES + 8)
 
         def rank(first: Column, second: Column) -> Column:
             bucket = (first * SPREAD + second).bitwiseAND(BUCKETS - 1)
             return F.coalesce(F.try_element_at(F.get(buckets, bucket), second), none)
 
-        def place(ids: Column, ranks: Column) -> Column:
-            return bind(
-                F.array_min(ranks),
-                lambda least: F.struct(
-                    ids.alias("ids"),
-                    ranks.alias("ranks"),
-                    least.alias("least"),
-                    F.array_position(ranks, least).cast("int").alias("at"),
-                ),
+        def begin(ids: Column) -> Column:
+            after = F.slice(ids, F.lit(2), end)
+            return F.flatten(
+                F.zip_with(
+                    ids, after, lambda a, b: F.array(a, F.when(b.isNull(), none).otherwise(rank(a, b)))
+                )
             )
 
-        def begin(ids: Column) -> Column:
-            after = F.slice(ids, F.lit(2), F.lit(FOLD_BYTES + 2))
-            return bind(
-                F.zip_with(ids, after, lambda a, b: F.when(b.isNull(), none).otherwise(rank(a, b))),
-                lambda ranks: place(ids, ranks),
+        def merged(state: Column, least: Column, at: Column) -> Column:
+            new = least + IDS
+            return F.concat(
+                F.slice(state, F.lit(1), at - 3),
+                F.array(rank(F.get(state, at - 4), new), new, rank(new, F.get(state, at + 2))),
+                F.slice(state, at + 3, end),
             )
 
         def step(state: Column) -> Column:
-            at, ids, ranks, new = state["at"], state["ids"], state["ranks"], state["least"]
-            end = F.lit(FOLD_BYTES + 2)
             return bind(
-                F.struct(
-                    F.concat(F.slice(ids, F.lit(1), at - 1), F.array(new), F.slice(ids, at + 2, end)).alias("ids"),
-                    F.concat(
-                        F.slice(ranks, F.lit(1), at - 2),
-                        F.array(rank(F.get(ids, at - 2), new), rank(new, F.get(ids, at + 1))),
-                        F.slice(ranks, at + 2, end),
-                    ).alias("ranks"),
+                F.array_min(state),
+                lambda least: F.when(least >= IDS - 1, state).otherwise(
+                    bind(
+                        F.array_position(state, least).cast("int"), lambda at: merged(state, least, at)
+                    )
                 ),
-                lambda made: place(made["ids"], made["ranks"]),
             )
 
         # A sentinel on either side has a rank with nothing, so a pair always has two neighbours.
         letters = F.transform(F.split(word, ""), lambda c: F.get(self.bytes, F.ascii(c)))
-        padded = F.concat(F.array(F.lit(-1)), letters, F.array(F.lit(-1)))
+        padded = F.concat(F.array(F.lit(IDS - 1)), letters, F.array(F.lit(IDS - 1)))
         folded = F.aggregate(
             F.sequence(F.lit(1), F.greatest(F.char_length(word) - 1, F.lit(1))),
             bind(padded, begin),
-            lambda state, _: F.when(state["least"] == none, state).otherwise(step(state)),
-            lambda state: F.slice(state["ids"], F.lit(2), F.size(state["ids"]) - 2),
+            lambda state, _: step(state),
+            lambda state: F.transform(
+                F.filter(state, lambda v: (v >= IDS) & (v < NO_RANK)), lambda v: v - IDS
+            ),
         )
         if self.apart is None:
             return folded
