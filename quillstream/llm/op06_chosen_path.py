@@ -7,15 +7,16 @@ minwise token with chance 0.8, so independent trees miss a pair with a chance th
 
 A node sees signatures first: a class stays only if another in the node agrees with its signature as a
 similar pair would, and each pair is looked at in the first tree in which it meets. For the classes that
-stay, whole shingle sets meet in tiles and are compared exactly; each tile emits only links that join
-something, so a dense group gives as many rows as it has members.
+stay, whole shingle sets meet in tiles and are compared exactly; each tile emits a star per group it finds,
+so a dense group gives as many rows as it has members. What the first trees link is one component, and the
+later trees compare only across components.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACED, Words, bit_map, mix, runs, sliced, spread, stage as staged
@@ -26,14 +27,16 @@ SHINGLE = 4
 SIMILARITY = 80
 #: Independent trees; a pair at the threshold is in no common node with chance 0.2 to this power.
 TREES = 12
+#: Trees that are joined before the others; what they link is not compared again.
+FIRST_TREES = 1
 #: Minwise tokens per class: the trees' roots first, the others for splits and for the signature.
 SIGNATURE = 64
 #: Two classes are compared if at least this share of their signatures agrees. At similarity 0.8 a pair
-#: falls below with a chance of about one in ten million.
+#: falls below with a chance of about four in a million.
 AGREEMENT = 0.55
 #: Classes in a tile. A node with more is split by further tokens; after ``DEPTH`` splits, or when most
 #: of it stays together, its tiles are compared with each other instead.
-TILE = 128
+TILE = 256
 SPLIT_ABOVE = 8 * TILE
 BRANCHES = 2
 DEPTH = 3
@@ -41,7 +44,7 @@ DEPTH = 3
 MAP_BITS = 1 << 23
 
 _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64))
-_MEMBER = "class long, n_shingles long, roots binary, signature binary"
+_MEMBER = "class long, component long, n_shingles long, roots binary, signature binary"
 
 
 def _sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -118,30 +121,33 @@ def _matrix(column: pa.ChunkedArray | pa.Array, kind) -> np.ndarray:
     return np.frombuffer(b"".join(rows), kind).reshape(len(rows), width)
 
 
-def root_nodes(classes: DataFrame, trees: int) -> DataFrame:
-    """(node, tree, class) of every class in the root node of each tree that its minwise token names."""
+def root_nodes(classes: DataFrame, trees: range) -> DataFrame:
+    """(node, tree, class, component) of every class in the root node that its minwise token names."""
 
     def place(batches):
         for batch in batches:
             if len(batch):
                 tokens = _matrix(batch.column("roots"), np.uint32).astype(np.uint64)
-                for tree in range(trees):
+                for tree in trees:
                     node = mix(tokens[:, tree] * np.uint64(256) + np.uint64(tree))
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array(node.view(np.int64)),
                             pa.array(np.full(len(batch), tree), pa.int32()),
                             batch.column("class"),
+                            batch.column("component"),
                         ],
-                        names=["node", "tree", "class"],
+                        names=["node", "tree", "class", "component"],
                     )
 
-    return classes.select("class", "roots").mapInArrow(place, "node long, tree int, class long")
+    return classes.select("class", "component", "roots").mapInArrow(
+        place, "node long, tree int, class long, component long"
+    )
 
 
 def child_nodes(members: DataFrame) -> DataFrame:
     """Members of nodes in the children that the node's own choice of minwise tokens sends them to."""
-    names = ["node", "tree", "class", "n_shingles", "roots", "signature", "parent_members"]
+    names = ["node", "tree", "class", "component", "n_shingles", "roots", "signature", "parent_members"]
 
     def descend(batches):
         for batch in batches:
@@ -163,18 +169,24 @@ def child_nodes(members: DataFrame) -> DataFrame:
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Rows of nodes that have company, with the number of ``members``."""
-    sizes = staged(rows.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1"), "nodes")
+    """Rows of nodes in which there is something to join, with the number of ``members``."""
+    sizes = rows.groupBy("node").agg(
+        F.count("*").alias("members"), F.min("component").alias("low"), F.max("component").alias("high")
+    )
+    sizes = staged(sizes.filter(F.col("low") < F.col("high")).select("node", "members"), "nodes")
     return rows.join(sizes, "node")
 
 
-def tiles(classes: DataFrame, trees: int) -> DataFrame:
+def tiles(classes: DataFrame, trees: range) -> DataFrame:
     """Members of all leaf nodes as rows of tiles (node, low, high), each with its ``side``.
 
+    A node whose classes are all in one component already is left out.
+
     A node of at most ``TILE`` classes is one tile. A larger one is dealt into blocks of about that many
-    by a hash of the class, and a tile is a pair of blocks.
+    by a hash of the class, and a tile is a pair of blocks; the node's largest component has blocks of
+    its own, which are not compared with each other.
     """
-    members = _counted(root_nodes(classes, trees)).join(classes.drop("digest"), "class")
+    members = _counted(root_nodes(classes, trees)).join(classes.drop("digest", "component"), "class")
     done = []
     for _ in range(DEPTH):
         members = staged(members, "members")
@@ -190,29 +202,44 @@ def tiles(classes: DataFrame, trees: int) -> DataFrame:
         members = children.filter(~dense)
     if members is not None:
         done.append(members.drop("parent_members"))
-    columns = ["node", "tree", "class", "n_shingles", "roots", "signature", "members"]
+    columns = ["node", "tree", "class", "component", "n_shingles", "roots", "signature", "members"]
     every = done[0].select(columns)
     for rows in done[1:]:
         every = every.unionByName(rows.select(columns))
-    blocks = F.ceil(F.col("members") / TILE).cast("int")
-    side = F.pmod(F.xxhash64("class", "node"), blocks).cast("int")
-    dealt = every.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    return dealt.select(
-        "node",
-        F.least("side", "other").alias("low"),
-        F.greatest("side", "other").alias("high"),
-        "side",
-        "tree",
-        "class",
-        "n_shingles",
-        "roots",
-        "signature",
+    every = staged(every, "leaves")
+    small = every.filter(F.col("members") <= TILE).select(
+        "node", *[F.lit(0).alias(name) for name in ("low", "high", "side")], *columns[1:-1]
+    )
+    large = every.filter(F.col("members") > TILE)
+    sizes = large.groupBy("node", "component").agg(F.count("*").alias("size"))
+    main = F.max_by("component", F.struct("size", "component")).alias("main")
+    largest = staged(sizes.groupBy("node").agg(main, F.max("size").alias("held")), "largest")
+    joined = large.join(largest, "node")
+
+    def blocks(members: Column) -> Column:
+        return F.ceil(members / TILE).cast("int")
+
+    # Blocks of the largest component come last and meet the others' blocks, not each other.
+    rest, held = blocks(F.col("members") - F.col("held")), blocks(F.col("held"))
+    inside = F.col("component") == F.col("main")
+    number = F.xxhash64("class", "node")
+    side = F.when(inside, rest + F.pmod(number, held)).otherwise(F.pmod(number, rest)).cast("int")
+    met = F.sequence(F.lit(0), F.when(inside, rest).otherwise(rest + held) - 1)
+    dealt = joined.withColumn("side", side).withColumn("other", F.explode(met))
+    return small.unionByName(
+        dealt.select(
+            "node",
+            F.least("side", "other").alias("low"),
+            F.greatest("side", "other").alias("high"),
+            "side",
+            *columns[1:-1],
+        )
     )
 
 
 def _alike(table: pa.Table, similarity: int, agreement: float) -> np.ndarray:
     """Which rows of whole tiles have another in their tile that may be similar."""
-    columns = {name: np.asarray(table.column(name)) for name in ("node", "low", "high", "side", "tree", "n_shingles", "class")}
+    columns = {name: np.asarray(table.column(name)) for name in ("node", "low", "high", "side", "tree", "n_shingles", "component")}
     roots, marks = _matrix(table.column("roots"), np.uint32), _matrix(table.column("signature"), np.uint8)
     size = columns["n_shingles"]
     group = np.zeros(len(size), np.int64)
@@ -231,7 +258,7 @@ def _alike(table: pa.Table, similarity: int, agreement: float) -> np.ndarray:
             a = left[at : at + (1 << 15)]
             b = a + step
             fair = 100 * np.minimum(size[a], size[b]) >= similarity * np.maximum(size[a], size[b])
-            fair &= (columns["class"][a] != columns["class"][b]) & (
+            fair &= (columns["component"][a] != columns["component"][b]) & (
                 ~across[a] | (columns["side"][a] != columns["side"][b])
             )
             a, b = a[fair], b[fair]
@@ -282,7 +309,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
 
 
 def _joining(names: np.ndarray, sets: list[np.ndarray], similarity: int) -> list[tuple[int, int]]:
-    """Links among the sets of a tile, without those that join what is joined already."""
+    """Whoever is linked in a tile, directly or by others, as (class, smallest class it reaches)."""
     count = len(sets)
     sizes = np.array([len(s) for s in sets], np.int64)
     common = np.zeros((count, count), np.int64)
@@ -302,6 +329,9 @@ def _joining(names: np.ndarray, sets: list[np.ndarray], similarity: int) -> list
             has[owner[a:b], number[a:b] - block * width] = 1
             common += np.rint(has @ has.T).astype(np.int64)
     linked = (common > 0) & (100 * common >= similarity * (sizes[:, None] + sizes[None, :] - common))
+    order = np.argsort(names, kind="stable")  # the smaller name becomes the root
+    place = np.empty(count, np.int64)
+    place[order] = np.arange(count)
     parent = list(range(count))
 
     def root(x: int) -> int:
@@ -310,14 +340,11 @@ def _joining(names: np.ndarray, sets: list[np.ndarray], similarity: int) -> list
             x = parent[x]
         return x
 
-    found = []
     for a, b in zip(*np.nonzero(np.tril(linked, -1))):
-        ra, rb = root(int(a)), root(int(b))
-        if ra != rb:
-            parent[max(ra, rb)] = min(ra, rb)
-            if names[a] != names[b]:
-                found.append((int(names[a]), int(names[b])))
-    return found
+        low, high = sorted((root(int(place[a])), root(int(place[b]))))
+        parent[high] = low
+    tops = [(int(names[order[x]]), int(names[order[root(x)]])) for x in range(count)]
+    return [(x, top) for x, top in tops if x != top]
 
 
 def links(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -408,9 +435,18 @@ def near_duplicates(
         ),
         "classes",
     )
-    stay = staged(candidates(tiles(classes, trees), similarity, agreement), "candidates")
-    sets = shingle_sets(rows, stay.select("class"), size)
-    groups = components(staged(links(stay, sets, similarity), "links"))
+    found, groups = None, None
+    for some in (range(min(FIRST_TREES, trees)), range(FIRST_TREES, trees)):
+        if not len(some):
+            continue
+        grouped = classes.withColumn("component", F.col("class"))
+        if groups is not None:
+            grouped = classes.join(groups, "class", "left")
+            grouped = grouped.withColumn("component", F.coalesce("component", "class"))
+        stay = staged(candidates(tiles(grouped, some), similarity, agreement), "candidates")
+        new = links(stay, shingle_sets(rows, stay.select("class"), size), similarity)
+        found = staged(new if found is None else new.unionByName(found).distinct(), "links")
+        groups = components(found)
     whole = classes.select("digest", "class").join(groups, "class", "left").select(
         "digest", F.coalesce("component", "class").alias("component_id")
     )
