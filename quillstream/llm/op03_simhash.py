@@ -44,18 +44,20 @@ def terms(text: Column) -> Column:
     return F.get(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), runs), 0)
 
 
-def fingerprints(rows: DataFrame, key: list[str], text_col: str) -> DataFrame:
-    """``key`` and the 64-bit ``fingerprint`` of the text; 0 for a text without words.
+def fingerprints(rows: DataFrame, key: list[str], text_col: str, carried: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, the 64-bit ``fingerprint`` of the text (0 for a text without words) and ``carried``.
 
-    Rows of one key vote together. A bit is set when more than half of the weight votes for it.
+    Rows of one key vote together. A bit is set when more than half of the weight votes for it. Carried
+    columns are numbers; their largest value per key comes along.
     """
     half = 1 << 32
-    votes = rows.select(*key, F.explode_outer(terms(F.col(text_col))).alias("h"))
+    votes = rows.select(*key, *carried, F.explode_outer(terms(F.col(text_col))).alias("h"))
     mask = F.lit(half + 1)
     sums = [
         F.sum(F.shiftrightunsigned(F.col("h"), k).bitwiseAND(mask)).alias(f"s{k}") for k in range(BITS // 2)
     ]
-    counted = votes.groupBy(*key).agg(F.count("h").alias("weight"), *sums)
+    along = [F.max(name).alias(name) for name in carried]
+    counted = votes.groupBy(*key).agg(F.count("h").alias("weight"), *along, *sums)
     bits = F.lit(0).cast("long")
     for k in range(BITS // 2):
         low = F.col(f"s{k}").bitwiseAND(half - 1)
@@ -63,7 +65,7 @@ def fingerprints(rows: DataFrame, key: list[str], text_col: str) -> DataFrame:
         for votes_for, place in ((low, k), (high, k + 32)):
             one = F.shiftleft(F.lit(1).cast("long"), place)
             bits = bits.bitwiseOR(F.when(2 * votes_for > F.col("weight"), one).otherwise(F.lit(0).cast("long")))
-    return counted.select(*key, F.coalesce(bits, F.lit(0).cast("long")).alias("fingerprint"))
+    return counted.select(*key, *carried, F.coalesce(bits, F.lit(0).cast("long")).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -194,15 +196,21 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = with_next(docs, id_col, text_col)
     key = ["bucket", "place"]
+    changed_text = edited(F.col("text"), F.col("next_text"))
     versions = F.array(
         F.struct(F.lit(0).alias("version"), F.col("text").alias("body")),
-        F.struct(F.lit(1).alias("version"), edited(F.col("text"), F.col("next_text")).alias("body")),
+        F.struct(F.lit(1).alias("version"), changed_text.alias("body")),
+    )
+    # The digest travels as four numbers, so that texts are shuffled once and votes are hash-aggregated.
+    sha = F.sha2(changed_text, 256)
+    parts = [F.conv(F.substring(sha, 16 * k + 1, 16), 16, -10).cast("long").alias(f"sha{k}") for k in range(4)]
+    details = ("doc_id", "n_chars", "next_bucket", "next_place", "sha0", "sha1", "sha2", "sha3")
+    described = rows.withColumn("n_chars", F.char_length("text").cast("long")).select(
+        *key, *details[:4], *parts, F.explode(versions).alias("v")
     )
     prints = staged(
         fingerprints(
-            rows.select(*key, F.explode(versions).alias("v")).select(*key, "v.version", "v.body"),
-            [*key, "version"],
-            "body",
+            described.select(*key, *details, "v.version", "v.body"), [*key, "version"], "body", details
         ),
         "fingerprints",
     )
@@ -214,24 +222,14 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.col("fingerprint").alias("next_print"),
     )
     pairs = within_radius(own)
-    near = (
+    near = staged(
         pairs.select(F.explode(F.array("left", "right")).alias("fingerprint"))
         .groupBy("fingerprint")
-        .agg(F.count("*").alias("n_near"))
-    )
-    details = rows.select(
-        *key,
-        "doc_id",
-        F.char_length("text").cast("long").alias("n_chars"),
-        F.sha2(edited(F.col("text"), F.col("next_text")), 256).alias("edited_sha256"),
-        "next_bucket",
-        "next_place",
+        .agg(F.count("*").alias("n_near")),
+        "near",
     )
     joined = (
-        details.join(own, key)
-        .join(changed, key)
-        .join(after, ["next_bucket", "next_place"])
-        .join(near, "fingerprint", "left")
+        own.join(changed, key).join(after, ["next_bucket", "next_place"]).join(near, "fingerprint", "left")
     )
 
     def digits(column: str) -> Column:
@@ -240,7 +238,7 @@ def near_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return joined.select(
         F.col("doc_id").alias(id_col),
         "n_chars",
-        "edited_sha256",
+        F.concat(*[digits(f"sha{k}") for k in range(4)]).alias("edited_sha256"),
         digits("fingerprint").alias("fingerprint"),
         digits("edited_print").alias("edited_fingerprint"),
         likeness(F.col("fingerprint"), F.col("edited_print")).alias("near_edited"),
