@@ -6,10 +6,11 @@ the node, and so on. In a small node all pairs are compared. A pair whose sets o
 minwise token with chance 0.8, so independent trees miss a pair with a chance that falls with their number.
 
 A node sees signatures first: a class stays only if another in the node agrees with its signature as a
-similar pair would, and each pair is looked at in the first tree in which it meets. For the classes that
-stay, whole shingle sets meet in tiles and are compared exactly; each tile emits a star per group it finds,
-so a dense group gives as many rows as it has members. What the first trees link is one component, and the
-later trees compare only across components.
+similar pair would. A pair that shared the root of an earlier tree is passed over if that root was compared
+whole; where it was split, the pair may have parted there, and the later trees look at it again. For the
+classes that stay, whole shingle sets meet in tiles and are compared exactly; each tile emits a star per
+group it finds, so a dense group gives as many rows as it has members. What the first trees link is one
+component, and the later trees compare only across components.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ DEPTH = 3
 MAP_BITS = 1 << 23
 
 _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64))
-_MEMBER = "class long, component long, n_shingles long, roots binary, signature binary"
+_MEMBER = "class long, component long, n_shingles long, roots binary, signature binary, split binary"
 
 
 def _sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +146,26 @@ def root_nodes(classes: DataFrame, trees: range) -> DataFrame:
     )
 
 
+def split_roots(classes: DataFrame, trees: int) -> DataFrame:
+    """``classes`` with ``split``: a byte per tree, 1 where the root node of the class is too large to be
+    compared whole, so that sharing it does not mean to have met there."""
+    rows = root_nodes(classes.withColumn("component", F.col("class")), range(trees))
+    large = staged(
+        rows.groupBy("node").agg(F.count("*").alias("members")).filter(F.col("members") > SPLIT_ABOVE).select("node"),
+        "split",
+    )
+    held = rows.join(large, "node").groupBy("class").agg(F.collect_set("tree").alias("among"))
+    told = F.unhex(
+        F.concat(*[F.when(F.array_contains("among", tree), "01").otherwise("00") for tree in range(trees)])
+    )
+    return classes.join(held.select("class", told.alias("split")), "class", "left").withColumn(
+        "split", F.coalesce("split", F.lit(bytes(trees)))
+    )
+
+
 def child_nodes(members: DataFrame) -> DataFrame:
     """Members of nodes in the children that the node's own choice of minwise tokens sends them to."""
-    names = ["node", "tree", "class", "component", "n_shingles", "roots", "signature", "parent_members"]
+    names = ["node", "tree", "class", "component", "n_shingles", "roots", "signature", "split", "parent_members"]
 
     def descend(batches):
         for batch in batches:
@@ -202,7 +220,7 @@ def tiles(classes: DataFrame, trees: range) -> DataFrame:
         members = children.filter(~dense)
     if members is not None:
         done.append(members.drop("parent_members"))
-    columns = ["node", "tree", "class", "component", "n_shingles", "roots", "signature", "members"]
+    columns = ["node", "tree", "class", "component", "n_shingles", "roots", "signature", "split", "members"]
     every = done[0].select(columns)
     for rows in done[1:]:
         every = every.unionByName(rows.select(columns))
@@ -241,6 +259,7 @@ def _alike(table: pa.Table, similarity: int, agreement: float) -> np.ndarray:
     """Which rows of whole tiles have another in their tile that may be similar."""
     columns = {name: np.asarray(table.column(name)) for name in ("node", "low", "high", "side", "tree", "n_shingles", "component")}
     roots, marks = _matrix(table.column("roots"), np.uint32), _matrix(table.column("signature"), np.uint8)
+    split = _matrix(table.column("split"), np.uint8).astype(bool)
     size = columns["n_shingles"]
     group = np.zeros(len(size), np.int64)
     for name in ("node", "low", "high"):
@@ -262,8 +281,8 @@ def _alike(table: pa.Table, similarity: int, agreement: float) -> np.ndarray:
                 ~across[a] | (columns["side"][a] != columns["side"][b])
             )
             a, b = a[fair], b[fair]
-            # a pair that meets in an earlier tree as well is looked at there
-            met = ((roots[a] == roots[b]) & (earlier < columns["tree"][a][:, None])).any(axis=1)
+            # a pair that meets in an earlier tree as well is looked at there, unless that root was split
+            met = ((roots[a] == roots[b]) & ~split[a] & (earlier < columns["tree"][a][:, None])).any(axis=1)
             a, b = a[~met], b[~met]
             near = (marks[a] == marks[b]).sum(axis=1) >= agreement * SIGNATURE
             stays[a[near]] = True
@@ -435,6 +454,7 @@ def near_duplicates(
         ),
         "classes",
     )
+    classes = staged(split_roots(classes, trees), "classes")
     found, groups = None, None
     for some in (range(min(FIRST_TREES, trees)), range(FIRST_TREES, trees)):
         if not len(some):

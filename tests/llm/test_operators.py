@@ -261,6 +261,19 @@ def test_a_group_larger_than_a_node_is_split_into_tiles(docs, monkeypatch):
     assert sorted_rows(op06_chosen_path.query(docs(rows))) == by_repr(near_groups(rows))
 
 
+def test_pairs_that_part_in_a_hot_node_meet_in_a_later_tree(docs, monkeypatch):
+    monkeypatch.setattr(op06_chosen_path, "TILE", 8)
+    monkeypatch.setattr(op06_chosen_path, "SPLIT_ABOVE", 24)
+    passage = " ".join(f"p{k}" for k in range(48))
+    rows = []
+    for pair in range(450):  # two texts of 107 shingles that share 96, 45 of them with all others
+        own = [f"v{pair}x{k}" for k in range(62)]
+        rows.append((2 * pair, f"{passage} {' '.join(own)}"))
+        own[12], own[30], own[59] = f"x{pair}", f"y{pair}", f"z{pair}"
+        rows.append((2 * pair + 1, f"{passage} {' '.join(own)}"))
+    assert sorted_rows(op06_chosen_path.query(docs(rows))) == by_repr(near_groups(rows))
+
+
 def test_near_groups_on_documents(spark):
     rows = [(r.doc_id, r.text) for r in source(spark).collect()]
     assert sorted_rows(op06_chosen_path.query(source(spark))) == by_repr(near_groups(rows))
