@@ -1,16 +1,17 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 Documents become blocks: per block the distinct words, their training counts, and for every word of
-every text its place among them. All counting runs on distinct words, so a block sends a row per word
-and not per occurrence. Counts of all words come back to the blocks for the exact base score; the model
-itself is a Bloom filter in which an n-gram of quantised count q is present at the levels 1 to q. Workers
-read a count by probing level after level until one is missing.
+every text its place among them. Each block sends its distinct words and pairs of neighbours to the
+regions of their keys. A region sums their counts over the corpus, holds them in a Bloom filter in which an
+n-gram of quantised count q is present at the levels 1 to q, and reads every key's count by probing level
+after level until one is missing. What it found goes back to the blocks, in the order of the keys, with the
+exact counts of the words for the base score. No n-gram is left out: the regions grow in number with the
+corpus, and none is broadcast.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -21,23 +22,18 @@ from .common import BASE, SPACED, Words, heard, mix, sliced, spread, stage as st
 #: Text bytes in a block, and tokens that are scored at once.
 BLOCK_BYTES = 8 << 20
 PASS_TOKENS = 1 << 18
-#: Bits for a word's place in its block beside the block's number, and beside its count.
-PLACE_BITS = 26
-#: Bits of the filter at most, bits an entry gets at least, and probes per entry: the bound on what is
-#: broadcast, whatever the corpus. Rare n-grams stay out where they would not fit.
-FILTER_BITS = 1 << 27
+#: Bits an entry of the filter gets at least, and probes per entry.
 BITS_PER_ENTRY = 10
 PROBES = 4
-#: Words whose own count the filter may hold, and words between which it may hold pairs.
-MODEL_WORDS = 1 << 18
-PAIR_WORDS = 1 << 12
+#: Regions at least, and tokens of the corpus per region at most: the bound on what a task holds.
+REGIONS = 64
+REGION_TOKENS = 1 << 22
 #: Each level of the quantised counts is so much larger than the one before.
 WORD_BASE, PAIR_BASE = 1.25, 2.0
 #: Weight of the pair estimate beside the word estimate.
 PAIR_WEIGHT = 0.2
-#: A page holds all bits of its n-grams; a region of pages is built in one go.
+#: A page holds all bits of its n-grams.
 PAGE_BITS = 1 << 15
-REGION_PAGES = 64
 
 _END, _START = 0x656E64, 0x7374617274
 
@@ -56,27 +52,27 @@ def count_of(levels: np.ndarray, base: float) -> np.ndarray:
 
 
 def word_key(hashes: np.ndarray) -> np.ndarray:
-    return mix(hashes ^ np.uint64(0x77))
+    """Keys of words are odd, those of pairs even."""
+    return mix(hashes ^ np.uint64(0x77)) | np.uint64(1)
 
 
 def pair_key(before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return mix(mix(before) * BASE + after)
+    return mix(mix(before) * BASE + after) & ~np.uint64(1)
 
 
 class LogFrequencyFilter:
     """Bits in pages, as many as a power of two: the key chooses the page, key and level the bits in it."""
 
-    def __init__(self, pages: int, bits: np.ndarray | None = None, first: int = 0):
-        """``first`` is the number of the first bit held, where only some pages are."""
-        self.pages, self.first = pages, first
-        self.bits = np.zeros(pages * PAGE_BITS // 8, np.uint8) if bits is None else bits
+    def __init__(self, pages: int):
+        self.pages = pages
+        self.bits = np.zeros(pages * PAGE_BITS // 8, np.uint8)
 
     def page(self, keys: np.ndarray) -> np.ndarray:
-        return (keys & np.uint64(self.pages - 1)).astype(np.int64)
+        return ((keys >> np.uint64(1)) & np.uint64(self.pages - 1)).astype(np.int64)
 
     def _places(self, keys: np.ndarray, level: np.ndarray | int, probe: int) -> np.ndarray:
         salt = mix(np.atleast_1d(np.asarray(level, np.uint64)) * np.uint64(64) + np.uint64(probe + 1))
-        return self.page(keys) * PAGE_BITS - self.first + (mix(keys ^ salt) & np.uint64(PAGE_BITS - 1)).astype(np.int64)
+        return self.page(keys) * PAGE_BITS + (mix(keys ^ salt) & np.uint64(PAGE_BITS - 1)).astype(np.int64)
 
     def add(self, keys: np.ndarray, levels: np.ndarray) -> None:
         """Enter keys at all levels up to their own."""
@@ -190,131 +186,102 @@ def _tokens(hashes: np.ndarray, places: np.ndarray, n_words: np.ndarray):
     return token, before, is_word, bounds
 
 
-class _Model:
-    """What workers need for scores: filter, pair words and corpus totals. All of bounded size."""
-
-    def __init__(self, filter_: LogFrequencyFilter, frequent: np.ndarray, totals: dict):
-        self.filter, self.frequent, self.totals = filter_, frequent, totals
-
-    def known_pairs(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.frequent):
-            return np.zeros(len(hashes), bool)
-        place = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
-        return self.frequent[place] == hashes
-
-    def word_counts(self, hashes: np.ndarray) -> np.ndarray:
-        """The filter's counts of words; a word it does not hold counts as the mean of all such."""
-        counts = count_of(self.filter.levels(word_key(hashes)), WORD_BASE)
-        return np.where(counts > 0, counts, self.totals["rest"])
-
-    def log_chances(self, by_word, known, places, token, before, is_word) -> np.ndarray:
-        """log10 of the smoothed probability of every token, from the counts of the block's words and
-        whether pairs are held for them."""
-        t = self.totals
-        size = t["tokens"] + t["words"] + 1.0
-        end_count = float(t["texts"])
-        count = np.full(len(token), end_count)
-        count[is_word] = by_word[places]
-        chance = (count + 1) / size
-        frequent = np.ones(len(token), bool)
-        frequent[is_word] = known[places]
-        previous = np.ones(len(token), bool)
-        starts = before == np.uint64(_START)
-        previous[1:] = frequent[:-1]
-        previous[starts] = True
-        history = np.empty(len(token))
-        history[1:] = count[:-1]
-        history[starts] = end_count
-        both = np.flatnonzero(frequent & previous)
-        keys, back = np.unique(pair_key(before[both], token[both]), return_inverse=True)
-        pairs = count_of(self.filter.levels(keys), PAIR_BASE)[back]
-        estimate = np.zeros(len(token))
-        estimate[both] = np.minimum(1.0, pairs / np.maximum(history[both], 1))
-        weight = np.where(previous & (history > 0), PAIR_WEIGHT, 0.0)
-        return np.log10((1 - weight) * chance + weight * estimate)
-
-
-def _least_level(sizes: dict[int, int], most: int, per_level: bool) -> int:
-    """The lowest level from which on all entries (times their level, if asked) fit in ``most``."""
-    total = 0
-    for level in sorted(sizes, reverse=True):
-        total += sizes[level] * (level if per_level else 1)
-        if total > most:
-            return level + 1
-    return 1
-
-
-def _level(column: str, base: float) -> Column:
-    return (F.floor(F.ln(F.col(column).cast("double")) / F.lit(float(np.log(base))) + F.lit(1e-9)) + 1).cast("int")
-
-
-def _histogram(counts: DataFrame, base: float) -> dict[int, int]:
-    """Number of entries at each quantised count; a few dozen rows however large the corpus."""
-    return {row[0]: row[1] for row in counts.groupBy(_level("count", base)).count().collect()}
-
-
-def pair_counts(blocks_: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """Occurrences of pairs of frequent words (start and end included) in learnt documents."""
-    ids = np.concatenate([frequent, np.array([_END, _START], np.uint64)])
-    width = np.uint64(len(ids))
-
-    def count(batches):
+def _grams(hashes: np.ndarray, token: np.ndarray, before: np.ndarray):
+    """Sorted distinct keys of a block's words and pairs, the places of the words among them, and those of
+    the pair that ends at each token."""
+    keys = np.concatenate([word_key(hashes), pair_key(before, token)])
+    keys, back = np.unique(keys, return_inverse=True)
+    return keys, back[: len(hashes)], back[len(hashes) :]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """64-bit numbers as eight runs of bytes of one rank, of which the high ones compress to nothing."""
+    return values.astype(np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _values(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).ravel()
+
+
+def ngrams(blocks_: DataFrame, regions: int) -> DataFrame:
+    """(region, block, keys, counts): a block's distinct n-grams in each region of keys, in order (as
+    differences), with their occurrences in learnt documents. ``regions`` is a power of two above 1."""
+    shift = np.uint64(64 - (regions.bit_length() - 1))
+
+    def send(batches):
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1)
                 hashes = np.asarray(row.column("hashes").flatten()).view(np.uint64)
-                all_taught = np.asarray(row.column("learnt").flatten().cast(pa.int8())).astype(bool)
-                own = np.minimum(np.searchsorted(frequent, hashes), max(len(frequent) - 1, 0))
-                own = np.where(frequent[own] == hashes, own, -1) if len(frequent) else np.full(len(hashes), -1)
-                for places, n_words, first in _passes(row):
-                    taught = all_taught[first : first + len(n_words)]
-                    token, before, is_word, bounds = _tokens(hashes, places, n_words)
-                    number = np.full(len(token), len(ids) - 2)
-                    number[is_word] = own[places]
-                    previous = np.empty_like(number)
-                    previous[1:] = number[:-1]
-                    previous[bounds[:-1]] = len(ids) - 1
-                    use = np.repeat(taught, n_words + 1) & (number >= 0) & (previous >= 0)
-                    codes, times = np.unique(
-                        previous[use].astype(np.uint64) * width + number[use].astype(np.uint64),
-                        return_counts=True,
-                    )
-                    keys = pair_key(ids[(codes // width).astype(np.int64)], ids[(codes % width).astype(np.int64)])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys.view(np.int64)), pa.array(times, pa.int64())], names=["key", "count"]
-                    )
+                n_words = np.asarray(row.column("n_words").flatten())
+                taught = np.asarray(row.column("learnt").flatten().cast(pa.int8())).astype(bool)
+                token, before, _, _ = _tokens(hashes, _stretched(row.column("places")[0].as_py()), n_words)
+                keys, words, pairs = _grams(hashes, token, before)
+                counts = np.bincount(pairs[np.repeat(taught, n_words + 1)], minlength=len(keys))
+                counts[words] = np.asarray(row.column("counts").flatten())
+                region = (keys >> shift).astype(np.int64)
+                here = np.unique(region)
+                cuts = [*np.searchsorted(region, here), len(keys)]
+                spans = list(zip(cuts, cuts[1:]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(here, pa.int32()),
+                        pa.array(np.full(len(here), row.column("block")[0].as_py()), pa.int64()),
+                        pa.array([_planes(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in spans], pa.binary()),
+                        pa.array([_planes(counts[a:b]) for a, b in spans], pa.binary()),
+                    ],
+                    names=["region", "block", "keys", "counts"],
+                )
 
-    rows = blocks_.select("places", "hashes", "n_words", "learnt").mapInArrow(count, "key long, count long")
-    return rows.groupBy("key").agg(F.sum("count").alias("count"))
+    rows = blocks_.select("block", "places", "hashes", "n_words", "learnt", "counts")
+    return rows.mapInArrow(send, "region int, block long, keys binary, counts binary")
+
+
+def region_levels(table: pa.Table) -> pa.Table:
+    """What the filter of one region holds of each key in its rows: ``levels`` (a byte per key), and
+    ``exact`` counts of the words alone. ``words``, on one row, is how many words were learnt."""
+    keys = [np.cumsum(_values(data.as_py()), dtype=np.uint64) for data in table.column("keys")]
+    counts = np.concatenate([_values(data.as_py()) for data in table.column("counts")])
+    cuts = np.concatenate([[0], np.cumsum([len(own) for own in keys])])
+    keys, back = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.zeros(len(keys), np.int64)
+    np.add.at(total, back, counts.view(np.int64))
+    is_word = keys & np.uint64(1) == 1
+    levels = np.where(is_word, level_of(total, WORD_BASE), level_of(total, PAIR_BASE))
+    pages = 1
+    while pages * PAGE_BITS < levels.sum() * BITS_PER_ENTRY:
+        pages *= 2
+    held = LogFrequencyFilter(pages)
+    held.add(keys[levels > 0], levels[levels > 0])
+    found = held.levels(keys).astype(np.uint8)
+    spans = [back[a:b] for a, b in zip(cuts, cuts[1:])]
+    learnt = np.zeros(len(spans), np.int64)
+    learnt[0] = np.count_nonzero(is_word & (total > 0))
+    return pa.table(
+        {
+            "region": table.column("region"),
+            "block": table.column("block"),
+            "levels": pa.array([found[own].tobytes() for own in spans], pa.binary()),
+            "exact": pa.array([_planes(total[own[is_word[own]]]) for own in spans], pa.binary()),
+            "words": pa.array(learnt, pa.int64()),
+        }
+    )
 
 
-def build_filter(entries: DataFrame, n_entries: int, most_bits: int) -> LogFrequencyFilter:
-    """The filter of rows (key, level); each region of pages is built where its keys meet."""
-    region_bits = PAGE_BITS * REGION_PAGES
-    regions = 1
-    while regions * region_bits < min(most_bits, n_entries * BITS_PER_ENTRY):
-        regions *= 2
-    pages = regions * REGION_PAGES
-
-    def build(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        bits = np.zeros(region_bits // 8, np.uint8)
-        LogFrequencyFilter(pages, bits, int(key[0]) * region_bits).add(
-            frame["key"].to_numpy(np.int64).view(np.uint64), frame["level"].to_numpy(np.int64)
-        )
-        return pd.DataFrame({"region": [int(key[0])], "bits": [bits.tobytes()]})
-
-    page = F.col("key").bitwiseAND(pages - 1)
-    built = (
-        entries.withColumn("region", F.floor(page / REGION_PAGES).cast("int"))
-        .groupBy("region")
-        .applyInPandas(build, "region int, bits binary")
-        .collect()
-    )
-    bits = np.zeros(pages * PAGE_BITS // 8, np.uint8)
-    for row in built:
-        at = row.region * region_bits // 8
-        bits[at : at + region_bits // 8] = np.frombuffer(row.bits, np.uint8)
-    return LogFrequencyFilter(pages, bits)
+def log_chances(totals: dict, by_word, pairs, places, before, is_word) -> np.ndarray:
+    """log10 of the smoothed probability of every token, from the counts that the filter gave for the
+    block's words and for the pair that ends at each token."""
+    size = totals["tokens"] + totals["words"] + 1.0
+    end_count = float(totals["texts"])
+    count = np.full(len(before), end_count)
+    count[is_word] = by_word[places]
+    chance = (count + 1) / size
+    history = np.empty(len(before))
+    history[1:] = count[:-1]
+    history[before == np.uint64(_START)] = end_count
+    estimate = np.minimum(1.0, pairs / np.maximum(history, 1))
+    weight = np.where(history > 0, PAIR_WEIGHT, 0.0)
+    return np.log10((1 - weight) * chance + weight * estimate)
 
 
 def scores(
@@ -323,7 +290,7 @@ def scores(
     text_col: str = "text",
     keep: list[str] | None = None,
     block_bytes: int = BLOCK_BYTES,
-    filter_bits: int = FILTER_BITS,
+    region_tokens: int = REGION_TOKENS,
 ) -> DataFrame:
     """Per row ``row`` (columns in ``keep``, default all), ``n_tokens``, ``n_known``, ``train_tokens``,
     ``base_score`` (exact add-one unigram) and ``score`` (the filter's model).
@@ -332,88 +299,67 @@ def scores(
     documents for which ``learnt`` holds; where it is null a document is scored but not learnt from.
     A null or empty text is its end alone. Without learnt documents every probability is one and the
     base score 0. Rows that repeat count and are scored each; an empty table gives no rows. A word's
-    identity is a 64-bit hash. ``keep`` columns lie inside ``row``, so none clashes.
+    identity is a 63-bit hash. ``keep`` columns lie inside ``row``, so none clashes.
     """
     keep = docs.columns if keep is None else keep
     held = blocks(docs, learnt, text_col, keep, block_bytes)
-    exploded = held.select("block", F.posexplode(F.arrays_zip("hashes", "counts")).alias("place", "w"))
-    vocabulary = staged(
-        exploded.select(F.col("w.hashes").alias("hash"), F.col("w.counts").alias("count"))
-        .filter(F.col("count") > 0)
-        .groupBy("hash")
-        .agg(F.sum("count").alias("count")),
-        "vocabulary",
+    mass, texts, tokens = held.agg(
+        *[
+            F.coalesce(F.sum(size), F.lit(0)).cast("long")
+            for size in (
+                F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x),
+                F.size(F.filter("learnt", lambda x: x)),
+                F.aggregate("n_words", F.lit(0).cast("long"), lambda a, x: a + x + 1),
+            )
+        ]
+    ).first()
+    regions = REGIONS
+    while regions * region_tokens < tokens:
+        regions *= 2
+    found = staged(
+        ngrams(held, regions)
+        .groupBy("region")
+        .applyInArrow(
+            region_levels, "region int, block long, levels binary, exact binary, words long"
+        ),
+        "levels",
     )
-    words, mass = vocabulary.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    texts = held.agg(F.sum(F.size(F.filter("learnt", lambda x: x)))).first()[0] or 0
+    words = found.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
     totals = {"tokens": mass + texts, "words": words + (1 if texts else 0), "texts": texts}
-
-    sizes = _histogram(vocabulary, WORD_BASE)
-    low = max(_least_level(sizes, MODEL_WORDS, False), 1)
-    often = _least_level(sizes, PAIR_WORDS, False)
-    level = _level("count", WORD_BASE)
-    model_words = vocabulary.select("hash", "count", level.alias("level")).filter(F.col("level") >= low)
-    kept, kept_mass = model_words.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    totals["rest"] = (mass - kept_mass) / (words - kept + 1)
-    frequent = np.array(
-        [row.hash for row in model_words.filter(F.col("level") >= often).select("hash").collect()], np.int64
-    ).view(np.uint64)
-    frequent.sort()
-    pairs = staged(pair_counts(held, frequent), "pairs")
-    pair_sizes = _histogram(pairs, PAIR_BASE)
-    word_entries = sum(n * k for k, n in sizes.items() if k >= low)
-    room = max(filter_bits // BITS_PER_ENTRY - word_entries, 0)
-    least_pair = _least_level(pair_sizes, room, True)
-    pair_entries = sum(n * k for k, n in pair_sizes.items() if k >= least_pair)
-
-    def key_words(batches):
-        for batch in batches:
-            keys = word_key(np.asarray(batch.column("hash")).view(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column("level")], names=["key", "level"])
-
-    entries = model_words.select("hash", "level").mapInArrow(key_words, "key long, level int").unionByName(
-        pairs.select("key", _level("count", PAIR_BASE).alias("level")).filter(F.col("level") >= least_pair)
-    )
-    model = _Model(build_filter(entries, word_entries + pair_entries, filter_bits), frequent, totals)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    where = F.shiftleft(F.col("block"), PLACE_BITS).bitwiseOR(F.col("place").cast("long"))
-    counted = (
-        exploded.select(where.alias("where"), F.col("w.hashes").alias("hash"))
-        .join(vocabulary, "hash")
-        .select(
-            F.shiftright("where", PLACE_BITS).alias("block"),
-            F.shiftleft(F.col("count"), PLACE_BITS)
-            .bitwiseOR(F.col("where").bitwiseAND((1 << PLACE_BITS) - 1))
-            .alias("known"),
-        )
-        .groupBy("block")
-        .agg(F.collect_list("known").alias("known"))
+    returned = found.groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("region", "levels", "exact"))).alias("found")
     )
-    joined = held.select("block", "rows", "n_words", "places", "hashes").join(counted, "block", "left")
+    joined = held.select("block", "rows", "n_words", "places", "hashes").join(returned, "block", "left")
     types = docs.select(F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row")).schema
     schema = types.add("n_tokens", "long").add("n_known", "long").add("base_score", "double").add("score", "double")
 
     def judge(batches):
-        model = shared.value
-        size = model.totals["tokens"] + 1.0 * (model.totals["words"] + 1)
+        size = totals["tokens"] + 1.0 * (totals["words"] + 1)
         for batch in batches:
             for k in range(len(batch)):
                 row = batch.slice(k, 1)
                 hashes = np.asarray(row.column("hashes").flatten()).view(np.uint64)
-                counts = np.zeros(len(hashes), np.int64)
-                packed = np.asarray(row.column("known").flatten())
-                if len(packed):
-                    counts[packed & ((1 << PLACE_BITS) - 1)] = packed >> PLACE_BITS
-                by_word, held_pairs = model.word_counts(hashes), model.known_pairs(hashes)
+                cells = row.column("found").flatten()
+                levels = np.frombuffer(b"".join(cells.field("levels").to_pylist()), np.uint8).astype(np.int64)
+                exact_of = [_values(data) for data in cells.field("exact").to_pylist()]
+                whole = _tokens(hashes, _stretched(row.column("places")[0].as_py()), np.asarray(row.column("n_words").flatten()))
+                keys, own, pairs_at = _grams(hashes, *whole[:2])
+                by_key = np.zeros(len(keys), np.int64)
+                if exact_of:
+                    by_key[keys & np.uint64(1) == 1] = np.concatenate(exact_of).view(np.int64)
+                counts, by_word = by_key[own], count_of(levels[own], WORD_BASE)
+                pairs_of = count_of(np.arange(256), PAIR_BASE)[levels[pairs_at]]
                 texts_of = row.column("rows").flatten()
+                done = 0
                 for places, n_words, first in _passes(row):
                     token, before, is_word, bounds = _tokens(hashes, places, n_words)
-                    exact = np.full(len(token), model.totals["texts"])
+                    exact = np.full(len(token), totals["texts"])
                     exact[is_word] = counts[places]
                     each = np.log10((exact + 1) / size)
-                    smooth = model.log_chances(by_word, held_pairs, places, token, before, is_word)
-                    if not model.totals["tokens"]:
+                    pairs = pairs_of[done : done + len(token)]
+                    done += len(token)
+                    smooth = log_chances(totals, by_word, pairs, places, before, is_word)
+                    if not totals["tokens"]:
                         smooth = np.zeros(len(token))
                     yield pa.RecordBatch.from_arrays(
                         [
@@ -426,7 +372,7 @@ def scores(
                         names=["row", "n_tokens", "n_known", "base_score", "score"],
                     )
 
-    scored = joined.select("rows", "n_words", "places", "hashes", "known").mapInArrow(judge, schema)
+    scored = joined.select("rows", "n_words", "places", "hashes", "found").mapInArrow(judge, schema)
     return scored.withColumn("train_tokens", F.lit(totals["tokens"]).cast("long"))
 
 

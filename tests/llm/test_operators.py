@@ -181,6 +181,21 @@ def test_model_beats_the_base_on_held_out_text(spark):
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_scores_do_not_leave_out_pairs_as_the_corpus_grows(docs):
+    """The order of two rare words tells, however many commoner words and pairs there are."""
+    learnt = [d for d in range(400) if remainder(d, 7) != 2]
+    rows = [(d, " ".join(f"w{(d * 37 + k) % 6000}" for k in range(250))) for d in learnt]
+    rows += [(d, "rarely seen") for d in range(1000, 1060) if remainder(d, 7) != 2][:3]
+    held_out = [d for d in range(2000, 2100) if remainder(d, 7) == 2]
+    rows += [(held_out[0], "rarely seen"), (held_out[1], "seen rarely")]
+    by_size = []
+    for size in (1 << 22, 1000):
+        found = {r[0]: r[5] for r in scores(docs(rows), region_tokens=size)}
+        assert found[held_out[0]] > found[held_out[1]] + 1
+        by_size.append(found[held_out[0]])
+    assert by_size[0] == pytest.approx(by_size[1], abs=0.05)
+
+
 def test_filter_holds_quantised_counts():
     rng = np.random.default_rng(1)
     keys = op04_bloom_lm.mix(np.arange(20_000, dtype=np.uint64))
