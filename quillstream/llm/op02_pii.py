@@ -92,15 +92,12 @@ def _signed(data: bytes) -> int:
 def contexts(text: str, spans: list[tuple[int, int, int]], width: int) -> list[tuple]:
     """(entity, context, term, start, end) of each word near an entity and outside all entities."""
     folded = text.translate(_FOLD)  # as long as the text
-    words = [(m.start(), m.end()) for m in _WORD.finditer(folded)]
+    words, free = _free(folded, spans)
     starts = np.array([a for a, _ in words], np.int64)
     ends = np.array([b for _, b in words], np.int64)
-    free = np.ones(len(words), bool)
-    for a, _, b in spans:
-        free[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = False
     found, terms = [], []
     for a, rank, b in spans:
-        entity = _signed(f"{rank}:{text[a:b].lower()}".encode())
+        entity = _entity(text, a, rank, b)
         left = np.flatnonzero(free[: np.searchsorted(ends, a, "right")][-4 * width :])
         left = left + max(0, int(np.searchsorted(ends, a, "right")) - 4 * width)
         right = int(np.searchsorted(starts, b, "left"))
@@ -167,34 +164,111 @@ def find_entities(docs: DataFrame, text_col: str, keep: list[str], width: int =
     return rows.mapInArrow(find, schema)
 
 
-def _term_documents(docs: DataFrame, text_col: str, candidates: DataFrame) -> DataFrame:
-    """In how many documents each candidate term stands, counted over all documents.
+def _entity(text: str, start: int, rank: int, end: int) -> int:
+    return _signed(f"{rank}:{text[start:end].lower()}".encode())
+
 
-    A map of ``MAP_BITS`` bits, the same size whatever the corpus, tells tasks which words may be
-    candidates; the join on the term then decides.
+def _free(folded: str, spans: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], np.ndarray]:
+    """Code points of all words of a folded text, and whether each is outside all entities."""
+    words = [(m.start(), m.end()) for m in _WORD.finditer(folded)]
+    starts = np.array([a for a, _ in words], np.int64)
+    ends = np.array([b for _, b in words], np.int64)
+    free = np.ones(len(words), bool)
+    for a, _, b in spans:
+        free[np.searchsorted(ends, a, "right") : np.searchsorted(starts, b, "left")] = False
+    return words, free
+
+
+def _documents(docs: DataFrame, text_col: str, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """In how many documents each candidate term stands (term, term_docs), and in how many it stands
+    anywhere beside the entity (entity, term, pair_docs), counted over all documents.
+
+    Maps of ``MAP_BITS`` bits, the same size whatever the corpus, tell tasks which words and pairs may be
+    candidates; the join on them then decides.
     """
+    mask = np.uint64(MAP_BITS - 1)
     may = bit_map(candidates, F.pmod(F.col("term"), F.lit(MAP_BITS)), MAP_BITS)
+    both = F.col("entity").bitwiseXOR(F.col("term"))
+    may_pair = bit_map(candidates, F.pmod(both, F.lit(MAP_BITS)), MAP_BITS)
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
 
     def scan(batches):
         for batch in batches:
             for part in sliced(batch, "text"):
                 words = Words(part.column("text"), ALNUM)
-                there = np.flatnonzero(may[words.hashes & np.uint64(MAP_BITS - 1)])
+                there = np.flatnonzero(may[words.hashes & mask])
                 owner = np.searchsorted(words.bounds, there, side="right") - 1
+                pairs = []
+                cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+                for a, b in zip(cuts, [*cuts[1:], len(owner)]):
+                    number = int(owner[a])
+                    value = part.column("text")[number].as_py()
+                    spans = base_spans(value)
+                    if spans:
+                        first = words.bounds[number]
+                        _, free = _free(value.translate(_FOLD), spans)
+                        own = there[a:b]
+                        terms = np.unique(words.hashes[own[free[own - first]]])
+                        for entity in {_entity(value, *span) for span in spans}:
+                            held = terms[may_pair[(terms ^ np.uint64(entity % (1 << 64))) & mask]]
+                            pairs += [(entity, term) for term in held.view(np.int64).tolist()]
                 order = np.lexsort((owner, words.hashes[there]))
                 term, owner = words.hashes[there][order], owner[order]
                 new = np.ones(len(term), bool)
                 new[1:] = (term[1:] != term[:-1]) | (owner[1:] != owner[:-1])
                 terms, times = np.unique(term[new], return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(terms.view(np.int64)), pa.array(times, pa.int64())],
-                    names=["term", "documents"],
+                    [
+                        pa.array([None] * len(terms) + [e for e, _ in pairs], pa.int64()),
+                        pa.array([*terms.view(np.int64).tolist(), *[t for _, t in pairs]], pa.int64()),
+                        pa.array([*times.tolist(), *[1] * len(pairs)], pa.int64()),
+                    ],
+                    names=["entity", "term", "documents"],
                 )
 
-    found = docs.select(text.alias("text")).mapInArrow(scan, "term long, documents long")
-    counted = found.groupBy("term").agg(F.sum("documents").alias("term_docs"))
-    return counted.join(candidates.select("term").distinct(), "term", "left_semi")
+    found = docs.select(text.alias("text")).mapInArrow(scan, "entity long, term long, documents long")
+    counted = staged(found.groupBy("entity", "term").agg(F.sum("documents").alias("documents")), "documents")
+    alone = counted.filter(F.col("entity").isNull()).select("term", F.col("documents").alias("term_docs"))
+    pairs = counted.filter(F.col("entity").isNotNull()).withColumnRenamed("documents", "pair_docs")
+    return alone, pairs
+
+
+def marked_terms(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
+    """(text_key, added): every place outside all entities at which one of the ``terms`` stands, in
+    whichever text and however far from an entity."""
+    may = bit_map(terms, F.pmod(F.col("term"), F.lit(MAP_BITS)), MAP_BITS)
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    rows = docs.select(text.alias("text"), F.unhex(F.md5(text)).alias("text_key"))
+
+    def mark(batches):
+        for batch in batches:
+            for part in sliced(batch, "text"):
+                words = Words(part.column("text"), ALNUM)
+                there = np.flatnonzero(may[words.hashes & np.uint64(MAP_BITS - 1)])
+                owner = np.searchsorted(words.bounds, there, side="right") - 1
+                found = []
+                cuts = np.flatnonzero(np.diff(owner, prepend=-1))
+                for a, b in zip(cuts, [*cuts[1:], len(owner)]):
+                    number = int(owner[a])
+                    value = part.column("text")[number].as_py()
+                    places, free = _free(value.translate(_FOLD), base_spans(value))
+                    for word in there[a:b]:
+                        place = int(word - words.bounds[number])
+                        if free[place]:
+                            found.append((number, int(words.hashes[word].view(np.int64)), *places[place]))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column("text_key").take(pa.array([f[0] for f in found], pa.int64())),
+                        pa.array([f[1] for f in found], pa.int64()),
+                        pa.array([f[2] for f in found], pa.int32()),
+                        pa.array([f[3] for f in found], pa.int32()),
+                    ],
+                    names=["text_key", "term", "start", "end"],
+                )
+
+    places = rows.mapInArrow(mark, "text_key binary, term long, start int, end int")
+    span = F.struct("start", F.lit(len(KINDS)).alias("rank"), "end")
+    return places.join(terms, "term", "left_semi").groupBy("text_key").agg(F.collect_set(span).alias("added"))
 
 
 def disclosing_terms(
@@ -227,18 +301,21 @@ def disclosing_terms(
         pmi = F.log2(total * F.col("pair_docs") / (F.col("entity_docs") * F.col(term_docs)))
         return F.when(ceiling > 0, pmi / ceiling)
 
-    # A term stands in at least the documents in which it is near some entity: most pairs fall short
-    # of the threshold by those alone, and the corpus is counted for the others only.
+    # A pair shares at most all documents of the entity, and a term stands in at least the documents in
+    # which it is near some entity: pairs that fall short even so need no count over the corpus.
+    most = F.least("entity_docs", "near_docs")
     pairs = (
-        backed.join(documents(["entity", "term"], "pair_docs"), ["entity", "term"])
-        .join(documents(["entity"], "entity_docs"), "entity")
+        backed.join(documents(["entity"], "entity_docs"), "entity")
         .join(documents(["term"], "near_docs"), "term")
+        .withColumn("pair_docs", most)
         .filter(share("near_docs") >= disclosure)
+        .drop("pair_docs")
     )
     pairs = staged(pairs, "pairs")
     if pairs.isEmpty():
         return None
-    joined = pairs.join(_term_documents(docs, text_col, pairs), "term")
+    alone, beside = _documents(docs, text_col, pairs)
+    joined = pairs.join(beside, ["entity", "term"]).join(alone, "term")
     told = share("term_docs")
     return joined.filter(told >= disclosure).select("entity", "term", told.alias("information"))
 
@@ -263,14 +340,8 @@ def find_private(
     telling = disclosing_terms(docs, text_col, entities, support, disclosure)
     if telling is None:
         return entities.select("row", "text_key", "spans", F.col("spans").alias("all_spans"))
-    near = entities.select("text_key", F.explode("contexts").alias("c")).select("text_key", "c.*")
-    added = (
-        near.join(telling, ["entity", "term"])
-        .groupBy("text_key")
-        .agg(
-            F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("rank"), "end")).alias("added")
-        )
-    )
+    terms = staged(telling.select("term").distinct(), "telling")
+    added = marked_terms(docs, text_col, terms)
     return entities.join(added, "text_key", "left").select(
         "row",
         "text_key",

@@ -106,6 +106,21 @@ def test_a_disclosing_term_is_marked_and_generalised(docs):
     assert clean[100] == rows[4][1]
 
 
+def test_a_disclosing_term_is_marked_wherever_it_stands(docs):
+    far = " ".join(f"then{k}" for k in range(40))
+    rows = [(k, f"é note{k} from Zorbelius to max@corp.org today{k} {far} and ZORBELIUS again") for k in range(4)]
+    rows += [(10, f"only zorbelius here, zorbelius.x@corp.org not")]
+    rows += [(100 + k, f"text number {k} from the office to you about water {far} and again") for k in range(400)]
+    found = {r.doc_id: r for r in op02_pii.query(docs(rows)).collect()}
+    for doc_id, text in rows[:5]:
+        spans = [s.split(":") for s in found[doc_id].spans.split(",")]
+        terms = [text[int(a) : int(b)].lower() for kind, a, b in spans if kind == "term"]
+        assert terms.count("zorbelius") == (2 if doc_id < 4 else 1)
+    assert all(found[d].spans == "" for d, _ in rows[5:])
+    clean = {r.doc_id: r.text for r in op02_pii.sanitise(docs(rows)).collect()}
+    assert not any("zorbelius" in clean[d].lower() for d, _ in rows[:5])
+
+
 # ---- 3 fingerprints ---------------------------------------------------------------------------
 
 
