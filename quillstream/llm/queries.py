@@ -17,6 +17,7 @@ from . import (
     op08_lines,
     op09_bpe,
     op10_quality,
+    op12_exact,
 )
 
 
@@ -43,5 +44,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": lambda spark, folder: op10_quality.query(
         _table(spark, folder, "documents"), _table(spark, folder, "labels")
     ),
+    "op12_exact_dedup": _over_documents(op12_exact.query),
+}
+ORACLES = {
+    "op5_decontaminate": op05_decontaminate.SQL,
+    "op8_line_dedup": op08_lines.SQL,
+    "op12_exact_dedup": op12_exact.SQL,
 }
-ORACLES = {"op5_decontaminate": op05_decontaminate.SQL, "op8_line_dedup": op08_lines.SQL}
