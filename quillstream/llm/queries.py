@@ -17,7 +17,9 @@ from . import (
     op08_lines,
     op09_bpe,
     op10_quality,
+    op11_whitening,
     op12_exact,
+    op13_ranked,
 )
 
 
@@ -44,10 +46,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": lambda spark, folder: op10_quality.query(
         _table(spark, folder, "documents"), _table(spark, folder, "labels")
     ),
+    "op11_whitening": lambda spark, folder: op11_whitening.query(_table(spark, folder, "embeddings")),
     "op12_exact_dedup": _over_documents(op12_exact.query),
+    "op13_ranked_search": lambda spark, folder: op13_ranked.query(
+        _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    ),
 }
 ORACLES = {
     "op5_decontaminate": op05_decontaminate.SQL,
     "op8_line_dedup": op08_lines.SQL,
     "op12_exact_dedup": op12_exact.SQL,
+    "op13_ranked_search": op13_ranked.SQL,
 }
