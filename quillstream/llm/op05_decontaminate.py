@@ -2,106 +2,176 @@
 
 from __future__ import annotations
 
-import re
-from collections import defaultdict
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import ALNUM, Words, sliced, spread, stage as staged
+from .common import ALNUM, Words, _FOLD, sliced, spread, stage as staged
 
 #: Words in a window; an item with fewer words is one window of its own size.
 WINDOW = 13
 #: A document is contaminated when at least one word in this many is hit.
 SHARE = 20
-#: Bytes of benchmark text that are broadcast at once; a larger benchmark goes in several passes.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text whose windows are broadcast at once; some six bytes go out for each. A larger
+#: benchmark goes in several passes.
+BLOCK_BYTES = 4 << 20
 
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-_TABLE_BITS = 20
+_TABLE_BITS = 22
 
 
 class Windows:
-    """The windows of some test items: hashes to look up and the words to verify a hit by."""
+    """The windows of some test items: hashes to look up, and the words to verify a hit by.
+
+    Everything is arrays over the items' words, built in one pass per width: a window is the number of its
+    first word. ``tables`` has, by width, the sorted distinct hashes, a bit map of their leading bits, the
+    bounds of each hash among its distinct windows, their first words, and the bounds of each window among
+    its items.
+    """
 
     def __init__(self, items: list[tuple[int, str | None]], size: int):
-        spans: dict[bytes, set] = defaultdict(set)
-        for item, text in items:
-            words = _WORD.findall((text or "").translate(_FOLD))
-            width = min(size, len(words))
-            for at in range(len(words) - width + 1 if width else 0):
-                spans[" ".join(words[at : at + width]).encode()].add(str(item))
-        self.items = [sorted(spans[key]) for key in sorted(spans)]
-        found = Words(pa.array([key.decode() for key in sorted(spans)], pa.large_string()), ALNUM)
-        self.words = [
-            tuple(found.text(w) for w in range(a, b)) for a, b in zip(found.bounds, found.bounds[1:])
-        ]
-        by_hash: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
-        for number, words in enumerate(self.words):
-            first = found.bounds[number]
-            only = found.windows(len(words))
-            value = only[0][np.searchsorted(only[1], first)]
-            by_hash[len(words)][int(value)].append(number)
+        self.names = sorted({str(item) for item, _ in items})
+        number = {name: k for k, name in enumerate(self.names)}
+        found = Words(pa.array([text for _, text in items], pa.large_string()), ALNUM)
+        counts = found.counts
+        item_of = np.array([number[str(item)] for item, _ in items], np.int64)
+        text = np.repeat(np.arange(len(items)), counts)
+        self.data, self.starts, self.ends = _FOLD[found.data], found.starts, found.ends
         self.tables = {}
-        for width, numbers in by_hash.items():
-            hashes = np.array(sorted(numbers), np.uint64)
-            quick = np.zeros(1 << _TABLE_BITS, bool)
-            quick[hashes >> np.uint64(64 - _TABLE_BITS)] = True
-            self.tables[width] = (hashes, quick, dict(numbers))
-
-    def scan(self, words: Words) -> tuple[np.ndarray, dict[int, set[str]]]:
-        """Which words are hit, and the items with occurring windows per text."""
-        hit = np.zeros(len(words), bool)
-        items: dict[int, set[str]] = defaultdict(set)
-        for width, (hashes, quick, numbers) in self.tables.items():
-            values, firsts = words.windows(width)
+        for width in np.unique(np.minimum(counts[counts > 0], size)).tolist():
+            hashes, firsts = found.windows(width)
+            own = counts[text[firsts]] >= size if width == size else counts[text[firsts]] == width
+            self.tables[width] = self._table(width, hashes[own], firsts[own], item_of[text[firsts[own]]])
+
+    def _table(self, width: int, hashes: np.ndarray, firsts: np.ndarray, items: np.ndarray) -> tuple:
+        order = np.lexsort((items, hashes))
+        hashes, firsts, items = hashes[order], firsts[order], items[order]
+        new = np.ones(len(hashes), bool)
+        new[1:] = hashes[1:] != hashes[:-1]
+        leader = np.flatnonzero(new)[np.cumsum(new) - 1]
+        kind = np.zeros(len(hashes), np.int64)  # which of the windows of a hash; almost always there is one
+        for odd in np.flatnonzero(~self._same(width, firsts[leader], self, firsts)):
+            known = [k for k in range(leader[odd], odd) if self._same(width, firsts[k : k + 1], self, firsts[odd : odd + 1])[0]]
+            kind[odd] = kind[known[0]] if known else kind[leader[odd] : odd].max() + 1
+        run = np.cumsum(new) - 1
+        order = np.lexsort((items, kind, run))
+        run, kind, firsts, items = run[order], kind[order], firsts[order], items[order]
+        window = np.ones(len(run), bool)
+        window[1:] = (run[1:] != run[:-1]) | (kind[1:] != kind[:-1])
+        pair = window.copy()
+        pair[1:] |= items[1:] != items[:-1]
+        windows = np.flatnonzero(window)
+        values = hashes[new]
+        quick = np.zeros(1 << _TABLE_BITS, bool)
+        quick[values >> np.uint64(64 - _TABLE_BITS)] = True
+        return (
+            values,
+            np.packbits(quick),
+            np.searchsorted(run[windows], np.arange(len(values) + 1)).astype(np.int32),
+            firsts[windows].astype(np.int32),
+            np.concatenate([np.cumsum(pair)[windows] - 1, [pair.sum()]]).astype(np.int32),
+            items[pair].astype(np.int32),
+        )
+
+    def _same(self, width: int, firsts: np.ndarray, words, there: np.ndarray) -> np.ndarray:
+        """Whether the windows at ``firsts`` have the very words of those at ``there`` in ``words``."""
+        same = np.ones(len(firsts), bool)
+        for k in range(width):
+            left = np.flatnonzero(same)
+            a, b = self.starts[firsts[left] + k], words.starts[there[left] + k]
+            size = self.ends[firsts[left] + k] - a
+            equal = size == words.ends[there[left] + k] - b
+            same[left[~equal]] = False
+            left, a, b, size = left[equal], a[equal], b[equal], size[equal]
+            place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            differs = self.data[np.repeat(a, size) + place] != _FOLD[words.data[np.repeat(b, size) + place]]
+            same[np.repeat(left, size)[differs]] = False
+        return same
+
+    def scan(self, words: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are hit, and the distinct pairs (text, number of an item with an occurring window)."""
+        change = np.zeros(len(words) + 1, np.int64)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for width, (hashes, quick, kinds, firsts, edges, items) in self.tables.items():
+            values, there = words.windows(width)
+            quick = np.unpackbits(quick).view(bool)
             maybe = np.flatnonzero(quick[values >> np.uint64(64 - _TABLE_BITS)])
-            place = np.searchsorted(hashes, values[maybe])
-            place[place == len(hashes)] = 0
-            maybe = maybe[hashes[place] == values[maybe]]
-            for value, first in zip(values[maybe].tolist(), firsts[maybe].tolist()):
-                there = tuple(words.text(w) for w in range(first, first + width))
-                for number in numbers[value]:
-                    if self.words[number] == there:  # equal hashes alone are no hit
-                        hit[first : first + width] = True
-                        text = int(np.searchsorted(words.bounds, first, side="right")) - 1
-                        items[text].update(self.items[number])
-        return hit, items
-
-
-def _scanner(windows: Windows):
+            run = np.searchsorted(hashes, values[maybe])
+            run[run == len(hashes)] = 0
+            equal = hashes[run] == values[maybe]
+            there, run = there[maybe[equal]], run[equal]
+            for kind in range(int((kinds[run + 1] - kinds[run]).max(initial=0))):
+                some = kinds[run] + kind < kinds[run + 1]
+                window, at = kinds[run[some]] + kind, there[some]
+                sure = self._same(width, firsts[window].astype(np.int64), words, at)
+                window, at = window[sure], at[sure]  # equal hashes alone are no hit
+                np.add.at(change, at, 1)
+                np.add.at(change, at + width, -1)
+                text = np.searchsorted(words.bounds, at, side="right") - 1
+                met = np.unique(np.stack([text, window], axis=1), axis=0)
+                many = edges[met[:, 1] + 1] - edges[met[:, 1]]
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                found = items[np.repeat(edges[met[:, 1]], many) + place]
+                pairs.append(np.stack([np.repeat(met[:, 0], many), found], axis=1))
+        return np.cumsum(change[:-1]) > 0, np.unique(np.concatenate(pairs), axis=0)
+
+
+_HITS = "n_words long, n_hit long, hits binary, items array<string>"
+
+
+def _scanner(windows: Windows, only_hits: bool):
+    """Rows with ``text`` to the same rows with the columns of ``_HITS``, perhaps those with a hit only."""
+    names = pa.array(windows.names, pa.string())
+
     def scan(batches):
         for batch in batches:
             for part in sliced(batch, "text"):
                 words = Words(part.column("text"), ALNUM)
-                hit, found = windows.scan(words)
-                before_hits = part.column("hits").to_pylist()
-                before_items = part.column("items").to_pylist()
-                hits, counts, items = [], [], []
-                for text, (a, b) in enumerate(zip(words.bounds, words.bounds[1:])):
-                    own = hit[a:b]
-                    if before_hits[text]:
-                        own = own | np.unpackbits(np.frombuffer(before_hits[text], np.uint8))[: b - a].astype(bool)
-                    counts.append(int(own.sum()))
-                    hits.append(np.packbits(own).tobytes() if counts[-1] else None)
-                    items.append(sorted(found.get(text, set()) | set(before_items[text] or ())))
-                made = {
-                    "n_words": pa.array(words.counts, pa.int64()),
-                    "n_hit": pa.array(counts, pa.int64()),
-                    "hits": pa.array(hits, pa.binary()),
-                    "items": pa.array(items, pa.list_(pa.string())),
-                }
-                yield pa.RecordBatch.from_arrays(
-                    [made[name] if name in made else part.column(name) for name in part.schema.names],
-                    names=part.schema.names,
+                hit, pairs = windows.scan(words)
+                counts, hits = [], []
+                for a, b in zip(words.bounds, words.bounds[1:]):
+                    counts.append(int(hit[a:b].sum()))
+                    hits.append(np.packbits(hit[a:b]).tobytes() if counts[-1] else None)
+                edges = np.searchsorted(pairs[:, 0], np.arange(len(part) + 1)).astype(np.int32)
+                made = pa.RecordBatch.from_arrays(
+                    [
+                        *[part.column(name) for name in part.schema.names if name != "text"],
+                        pa.array(words.counts, pa.int64()),
+                        pa.array(counts, pa.int64()),
+                        pa.array(hits, pa.binary()),
+                        pa.ListArray.from_arrays(edges, names.take(pa.array(pairs[:, 1]))),
+                    ],
+                    names=[*[n for n in part.schema.names if n != "text"], "n_words", "n_hit", "hits", "items"],
                 )
+                yield made.filter(pa.array(np.array(counts) > 0)) if only_hits else made
 
     return scan
 
 
+def _scanned(rows: DataFrame, windows: Windows, only_hits: bool = False) -> DataFrame:
+    schema = StructType([*rows.drop("text").schema.fields, *StructType.fromDDL(_HITS).fields])
+    return rows.mapInArrow(_scanner(windows, only_hits), schema)
+
+
+def _joined_hits(batches):
+    """Rows of (place, n_words, all, items): the bits of several passes laid over each other."""
+    for batch in batches:
+        every = [
+            np.bitwise_or.reduce([np.frombuffer(bits, np.uint8) for bits in row])
+            for row in batch.column("every").to_pylist()
+        ]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("place"),
+                pa.array([int(np.unpackbits(bits).sum()) for bits in every], pa.int64()),
+                pa.array([bits.tobytes() for bits in every], pa.binary()),
+                batch.column("items"),
+            ],
+            names=["place", "n_hit", "hits", "items"],
+        )
+
+
 def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     """The items in tables that hold about ``block_bytes`` of text each."""
     total = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -110,6 +180,10 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
     return [benchmark.filter(part == block) for block in range(blocks)]
 
 
+def _windows(block: DataFrame, size: int) -> Windows:
+    return Windows([(item, text) for item, text in block.collect()], size)
+
+
 def contamination(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -122,10 +196,10 @@ def contamination(
     """Per document a struct ``row`` of the columns in ``keep`` (default: all), ``n_words``, ``n_hit``,
     ``hits`` (one bit per word, null without a hit), ``items`` (sorted as strings), ``contaminated``.
 
-    The windows of the test items are a hash set from at most ``block_bytes`` of text, sent to the
-    workers; hits by hash are verified word by word. A larger benchmark is scanned in as many passes,
-    one set at a time; each pass adds its hits to those of the passes before, which are written out
-    between passes. Nothing is left out at any size.
+    The windows of the test items are a hash set from about ``block_bytes`` of text, sent to the workers;
+    an item longer than that is a block of its own. Hits by hash are verified word by word. A larger
+    benchmark is scanned in as many passes, one set at a time; a pass writes only the documents it hits, and
+    the passes are joined at the end. Nothing is left out at any size.
 
     A null or empty text has no words and is clean; items without words hold no window. A null item id
     is the string ``None``. Rows that repeat are judged row by row; empty ``docs`` give no rows, an
@@ -133,21 +207,30 @@ def contamination(
     """
     keep = docs.columns if keep is None else keep
     rows = docs.select(
-        F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"),
-        F.col(f"`{text_col}`").alias("text"),
-        F.lit(0).cast("long").alias("n_words"),
-        F.lit(0).cast("long").alias("n_hit"),
-        F.lit(None).cast("binary").alias("hits"),
-        F.lit(None).cast("array<string>").alias("items"),
+        F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"), F.col(f"`{text_col}`").alias("text")
     )
     blocks = _blocks(spread(benchmark, "item_id", "text"), block_bytes)
-    for number, block in enumerate(blocks):
-        windows = Windows([(item, text) for item, text in block.collect()], window)
-        rows = rows.mapInArrow(_scanner(windows), rows.schema)
-        if number + 1 < len(blocks):
-            rows = staged(rows, "contamination")
+    if len(blocks) == 1:
+        found = _scanned(rows, _windows(blocks[0], window))
+    else:
+        # The number of a row must be the same in every pass, so the numbered rows are a table.
+        rows = staged(rows.withColumn("place", F.monotonically_increasing_id()), "texts")
+        hits = None
+        for block in blocks:
+            own = staged(_scanned(rows.select("place", "text"), _windows(block, window), only_hits=True), "hits")
+            hits = own if hits is None else hits.unionByName(own)
+        hits = hits.groupBy("place").agg(
+            F.collect_list("hits").alias("every"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+        )
+        hits = hits.select("place", "every", "items").mapInArrow(
+            _joined_hits, "place long, n_hit long, hits binary, items array<string>"
+        )
+        counted = _scanned(rows, Windows([], window)).drop("n_hit", "hits", "items")
+        found = counted.join(staged(hits, "hits"), "place", "left")
+        found = found.fillna({"n_hit": 0}).withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     dirty = (F.col("n_hit") > 0) & (share * F.col("n_hit") >= F.col("n_words"))
-    return rows.select("row", "n_words", "n_hit", "hits", "items", dirty.alias("contaminated"))
+    return found.select("row", "n_words", "n_hit", "hits", "items", dirty.alias("contaminated"))
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
