@@ -5,6 +5,10 @@ for every word of a text its place among them. Over each distinct word's array o
 pair of lowest rank, leftmost first, until no pair has a rank; ranks come from a literal map, dealt into an
 array of small maps so that a look-up reads one or two entries. Decoding joins the pieces of the ids.
 
+Words that many blocks share are folded once, before: a bounded table of the commonest words goes to the
+tasks with the ids that the fold gave. It spares work and decides nothing; a word that is not in it is folded
+in its block. So blocks can be small, and with them the rows that hold a block.
+
 Bytes are held as strings of the characters U+0000 to U+00FF, which Spark concatenates and hashes
 directly; encoding such a string in ISO-8859-1 gives the bytes back.
 """
@@ -14,6 +18,7 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+from typing import NamedTuple
 
 import numpy as np
 import public_tokenizers
@@ -22,9 +27,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import stage as staged
+
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of words in a block of documents, unless one document alone has more.
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 4 << 20
+#: Words that are folded before, at most, and documents (about) in which they are looked for.
+COMMON_WORDS, COMMON_FROM = 1 << 19, 1 << 16
+COMMON_PARTS = 64
 #: The fold takes time with the square of a word's length; longer words are merged with a heap instead.
 FOLD_BYTES = 256
 #: Maps that the literal rank map is dealt into.
@@ -102,15 +112,15 @@ class Vocabulary:
         """One literal of the plan: the optimiser reads the constant JSON once."""
         return F.from_json(F.lit(json.dumps(values)), kind)
 
-    def fold_words(self, words: Column, long: Column, buckets: Column) -> Column:
-        """The ids of each word, a string of bytes; where ``long`` has ids those are taken. ``buckets``
+    def fold_words(self, words: Column, known: Column, buckets: Column) -> Column:
+        """The ids of each word, a string of bytes; where ``known`` has ids those are taken. ``buckets``
         is a column with the rank map."""
 
         def bind(value: Column, body) -> Column:
             return F.get(F.transform(F.array(value), body), 0)
 
         def all_ids(buckets: Column) -> Column:
-            return F.zip_with(words, long, lambda word, known: F.coalesce(known, self._fold(word, buckets, bind)))
+            return F.zip_with(words, known, lambda word, ids: F.coalesce(ids, self._fold(word, buckets, bind)))
 
         return bind(buckets, all_ids)
 
@@ -213,8 +223,86 @@ def merge_with_heap(word: bytes, ranks: dict[bytes, int], whole: bool = True) ->
     return out
 
 
-def _word_blocks(ranks: dict[bytes, int]):
-    """Rows of (row, words) to blocks with distinct words and places."""
+class Known(NamedTuple):
+    """Words whose ids are known before the fold, and the ids."""
+
+    words: pa.LargeStringArray
+    ids: pa.ListArray
+
+    def and_more(self, words: pa.Array, ids: pa.Array) -> Known:
+        return Known(
+            pa.concat_arrays([self.words, words.cast(pa.large_string())]),
+            pa.concat_arrays([self.ids, ids.cast(self.ids.type)]),
+        )
+
+
+def whole_tokens(ranks: dict[bytes, int]) -> Known:
+    """Words that are one token."""
+    words, ids = [], []
+    for token, rank in ranks.items():
+        try:
+            words.append(token.decode())
+            ids.append([rank])
+        except UnicodeDecodeError:  # part of a character: never a word
+            pass
+    return Known(pa.array(words, pa.large_string()), pa.array(ids, pa.list_(pa.int32())))
+
+
+def _words(docs: DataFrame, text_col: str) -> Column:
+    pattern = split_pattern(public_tokenizers.PATTERN)
+    return F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(pattern), F.lit(0))
+
+
+def common_words(
+    docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", most: int = COMMON_WORDS, among: int = COMMON_FROM
+) -> Known:
+    """The words that are worth folding before: whole tokens, and at most ``most`` others that came up twice
+    or more in a sample of about ``among`` rows, the commonest first. Their ids come from the fold."""
+    known = whole_tokens(vocabulary.ranks)
+
+    def count(batches):
+        for batch in batches:
+            found = pc.value_counts(batch.column("words").flatten())
+            words, counts = found.field("values"), found.field("counts")
+            new = pc.and_(
+                pc.is_null(pc.index_in(words.cast(pa.large_string()), value_set=known.words)),
+                pc.less_equal(pc.binary_length(words), FOLD_BYTES),
+            )
+            yield pa.RecordBatch.from_arrays([words.filter(new), counts.filter(new)], names=["word", "n"])
+
+    rows = docs.select(_words(docs, text_col).alias("words"))
+    rows = rows.sample(min(1.0, among / max(1, docs.count())), 7)
+    counts = rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counts = staged(counts.filter(F.col("n") > 1).withColumn("n", F.least("n", F.lit(1 << 12))), "word-counts")
+    held, least = 0, None
+    for row in sorted(counts.groupBy("n").count().collect(), reverse=True):  # at most 4,096 rows
+        held += row["count"]
+        if held > most:
+            break
+        least = row["n"]
+    if least is None:
+        return known
+    # A word of the fold takes long for its size: the table is small, the work on it is not.
+    chosen = counts.filter(F.col("n") >= least).select("word").repartition(COMMON_PARTS)
+    folded = chosen.withColumn("buckets", vocabulary.buckets).select(
+        "word", F.get(vocabulary.fold_words(F.array(_letters(F.col("word"))), _none(1), F.col("buckets")), 0).alias("ids")
+    )
+    table = staged(folded, "common-words").toArrow().combine_chunks()
+    if not len(table):
+        return known
+    return known.and_more(table.column("word").combine_chunks(), table.column("ids").combine_chunks())
+
+
+def _letters(word: Column) -> Column:
+    return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
+
+
+def _none(count: int) -> Column:
+    return F.array(*[F.lit(None).cast("array<int>")] * count)
+
+
+def _word_blocks(ranks: dict[bytes, int], known: Known):
+    """Rows of (row, words) to blocks with distinct words, empty where the ids are known, and places."""
 
     def build(batches):
         for batch in batches:
@@ -231,22 +319,26 @@ def _word_blocks(ranks: dict[bytes, int]):
                     stop += 1
                 part = flat.slice(bounds[at], bounds[stop] - bounds[at]).dictionary_encode()
                 distinct = part.dictionary
-                long = {
-                    k: merge_with_heap(distinct[k].as_py().encode(), ranks)
-                    for k in np.flatnonzero(
-                        pc.binary_length(distinct).to_numpy(zero_copy_only=False) > FOLD_BYTES
-                    ).tolist()
-                }
+                place = pc.index_in(distinct.cast(pa.large_string()), value_set=known.words)
+                place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
+                long = np.flatnonzero((sizes > FOLD_BYTES) & (place < 0))
+                merged = [merge_with_heap(distinct[k].as_py().encode(), ranks) for k in long.tolist()]
+                place[long] = len(known.ids) + np.arange(len(long))
+                ids = pa.concat_arrays([known.ids, pa.array(merged, known.ids.type)]) if merged else known.ids
+                ids = ids.take(pa.array(place, mask=place < 0))
+                distinct = pc.if_else(pa.array(place < 0), distinct, "")
                 one = pa.array([0, stop - at], pa.int32())
+                every = pa.array([0, len(distinct)], pa.int32())
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.ListArray.from_arrays(one, batch.column("row").slice(at, stop - at)),
                         pa.array([(bounds[at : stop + 1] - bounds[at]).tolist()], pa.list_(pa.int32())),
                         pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.indices),
-                        pa.ListArray.from_arrays(pa.array([0, len(distinct)], pa.int32()), distinct),
-                        pa.array([[long.get(k) for k in range(len(distinct))]], pa.list_(pa.list_(pa.int32()))),
+                        pa.ListArray.from_arrays(every, distinct),
+                        pa.ListArray.from_arrays(every, ids),
                     ],
-                    names=["rows", "bounds", "places", "words", "long"],
+                    names=["rows", "bounds", "places", "words", "known"],
                 )
                 at = stop
 
@@ -254,28 +346,32 @@ def _word_blocks(ranks: dict[bytes, int]):
 
 
 def encode(
-    docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", keep: list[str] | None = None
+    docs: DataFrame,
+    vocabulary: Vocabulary,
+    text_col: str = "text",
+    keep: list[str] | None = None,
+    known: Known | None = None,
 ) -> DataFrame:
     """Per row ``row`` (columns in ``keep``, default all) and ``ids``, the token ids of the text.
 
     No special tokens; strings that look like them are ordinary text. A null or empty text has no ids.
     Rows that repeat are encoded each, an empty table gives no rows, and columns of ``docs`` lie inside
-    ``row``. A word's ids are folded once per block, and a block has a bounded number of bytes.
+    ``row``. ``known`` (default: :func:`common_words`) are words that are not folded again; any other word
+    is folded once per block, and a block has a bounded number of bytes.
     """
     keep = docs.columns if keep is None else keep
-    pattern = split_pattern(public_tokenizers.PATTERN)
+    known = common_words(docs, vocabulary, text_col) if known is None else known
     rows = docs.select(
-        F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"),
-        F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(pattern), F.lit(0)).alias("words"),
+        F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"), _words(docs, text_col).alias("words")
     )
     schema = rows.select(
         F.array("row").alias("rows"),
         F.array().cast("array<int>").alias("bounds"),
         F.array().cast("array<int>").alias("places"),
         "words",
-        F.array().cast("array<array<int>>").alias("long"),
+        F.array().cast("array<array<int>>").alias("known"),
     ).schema
-    blocks = rows.mapInArrow(_word_blocks(vocabulary.ranks), schema).withColumn("buckets", vocabulary.buckets)
+    blocks = rows.mapInArrow(_word_blocks(vocabulary.ranks, known), schema).withColumn("buckets", vocabulary.buckets)
 
     def texts(ids: Column) -> Column:
         return F.transform(
@@ -296,8 +392,8 @@ def encode(
         )
 
     # A one-element array binds the ids of the words, so that they are folded once per block.
-    letters = F.transform("words", lambda word: F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"))
-    folded = F.array(vocabulary.fold_words(letters, F.col("long"), F.col("buckets")))
+    letters = F.transform("words", _letters)
+    folded = F.array(vocabulary.fold_words(letters, F.col("known"), F.col("buckets")))
     return blocks.select(F.explode(F.get(F.transform(folded, texts), 0)).alias("text")).select("text.*")
 
 
