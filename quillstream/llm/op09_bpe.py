@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A text is cut into words by the splitting pattern. Blocks of documents hold each distinct word once, and
+A text is cut into words as the splitting pattern has them. Blocks of documents hold each distinct word once, and
 for every word of a text its place among them. Over each distinct word's array of bytes a fold merges the
 pair of lowest rank, leftmost first, until no pair has a rank; ranks come from a literal map, dealt into an
 array of small maps so that a look-up reads one or two entries. Decoding joins the pieces of the ids.
@@ -24,17 +24,19 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
+import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stage as staged
+from .common import raw, sliced, stage as staged
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of words in a block of documents, unless one document alone has more.
 BLOCK_BYTES = 4 << 20
 #: Words that are folded before, at most, and documents (about) in which they are looked for.
 COMMON_WORDS, COMMON_FROM = 1 << 19, 1 << 16
-COMMON_PARTS = 64
+#: Tasks that fold them, and words that one row has folded at most.
+COMMON_PARTS, FOLD_WORDS = 64, 1 << 14
 #: The fold takes time with the square of a word's length; longer words are merged with a heap instead.
 FOLD_BYTES = 256
 #: Maps that the literal rank map is dealt into.
@@ -44,14 +46,70 @@ SPREAD = 1021
 IDS = 1 << 20
 NO_RANK = 1 << 30
 
-# Java's \s is ASCII only: the pattern is the tokenizer's with Unicode white space written out.
-_SPACE = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
+#: Fixed value: the splitting pattern that :class:`Splitter` follows.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_OTHER, _LETTER, _NUMBER, _SPACE = range(4)
+_ONE = np.zeros(128, bool)  # letters that end a contraction after an apostrophe, alone or as the second of two
+_ONE[[ord(c) for c in "stmd"]] = True
 
 
-def split_pattern(pattern: str) -> str:
-    """The tokenizer's pattern as Java reads it."""
-    inside = pattern.replace(r"[^\s\p", rf"[^{_SPACE}\p")
-    return inside.replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
+class Splitter:
+    """The splitting pattern over whole Arrow arrays: words are runs of characters of one class.
+
+    The classes of all characters are asked of the tokenizer's own library, once. A word is a run of
+    letters, of numbers or of other characters, with a single space before it. Of white space before a word
+    the last character stands apart, if it is not that space; the rest, and white space at the end of a text,
+    is one word. An apostrophe that begins a run of its own takes the letters of a contraction.
+    """
+
+    def __init__(self) -> None:
+        if public_tokenizers.PATTERN != PATTERN:
+            raise ValueError("the tokenizer splits by another pattern than this splitter")
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        self.classes = np.zeros(0x110000, np.uint8)
+        for number, pattern in ((_LETTER, r"\p{L}"), (_NUMBER, r"\p{N}"), (_SPACE, r"\s")):
+            single = {bytes([k]): k for k in range(256)}
+            library = tiktoken.Encoding("class", pat_str=pattern, mergeable_ranks=single, special_tokens={})
+            found = bytes(library.encode_ordinary(every)).decode()
+            self.classes[np.frombuffer(found.encode("utf-32-le"), np.uint32)] = number
+
+    def split(self, texts: pa.Array) -> tuple[pa.LargeStringArray, np.ndarray]:
+        """The words of all texts and the bounds of the texts among them; null is empty."""
+        data, offsets = raw(texts)
+        lead = np.flatnonzero((data & 0xC0) != 0x80)
+        point = data[lead].astype(np.uint32)
+        for size, floor, mask in ((2, 0xC0, 0x1F), (3, 0xE0, 0x0F), (4, 0xF0, 0x07)):
+            some = np.flatnonzero((point >= floor) & (point < (floor >> 1 | 0x80)))
+            value = data[lead[some]].astype(np.uint32) & mask
+            for k in range(1, size):
+                value = value << 6 | (data[lead[some] + k] & 0x3F)
+            point[some] = value | 1 << 31
+        point &= (1 << 31) - 1
+        count = len(point)
+        kind = self.classes[point]
+        first = np.zeros(count + 1, bool)  # begins a text; the end counts as one
+        first[np.searchsorted(lead, offsets)] = True
+        run = first[:count].copy()
+        run[1:] |= kind[1:] != kind[:-1]
+        start = run.copy()
+        word = np.flatnonzero(run & (kind != _SPACE) & ~first[:count])
+        after = word[kind[word - 1] == _SPACE]
+        start[after - 1] = True
+        start[after[point[after - 1] == 32]] = False
+        mark = np.flatnonzero(start & (point == 39) & ~first[1:])
+        mark = mark[(kind[np.minimum(mark + 1, count - 1)] == _LETTER)]
+        one = mark[_ONE[np.minimum(point[mark + 1], 127)]]
+        rest = mark[~first[mark + 2]]
+        pair = point[rest + 1] * 128 + point[rest + 2]
+        two = rest[np.isin(pair, [ord(a) * 128 + ord(b) for a, b in ("re", "ve", "ll")])]
+        for begins, size in ((one, 2), (two, 3)):
+            start[begins + 1] = False
+            end = begins + size
+            end = end[~first[end]]
+            start[end[kind[end] == _LETTER]] = True
+        begins = np.concatenate([lead[start], [len(data)]]).astype(np.int64)
+        words = pa.LargeStringArray.from_buffers(len(begins) - 1, pa.py_buffer(begins), pa.py_buffer(data.tobytes()))
+        return words, np.searchsorted(begins[:-1], offsets, "left")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -68,6 +126,11 @@ def _characters(data: bytes) -> str:
     return data.decode("latin-1")
 
 
+def _bind(value: Column, body) -> Column:
+    """``body`` of ``value``, computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 class Vocabulary:
     """The rank map and the pieces of a rank file, as constants of a plan.
 
@@ -82,6 +145,7 @@ class Vocabulary:
 
     def __init__(self, spark: SparkSession, path: str):
         self.ranks = read_ranks(path)
+        self.splitter = Splitter()
         buckets: list[dict[int, int]] = [{} for _ in range(BUCKETS)]
         for token, rank in self.ranks.items():
             for cut in range(1, len(token)):
@@ -91,7 +155,6 @@ class Vocabulary:
         pieces = [""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             pieces[rank] = _characters(token)
-        words = [_characters(number.to_bytes(4, "little")) for number in range(len(pieces))]
         #: Tokens that merging does not reach; the word itself is looked up for these.
         apart = {
             _characters(token): rank
@@ -105,26 +168,17 @@ class Vocabulary:
         self.bytes = self._literal([self.ranks[bytes([k])] + IDS for k in range(256)], "array<int>")
         self.apart = self._literal(apart, "map<string,int>") if apart else None
         self.pieces = self._literal(pieces, "array<string>")
-        self.words = self._literal(words, "array<string>")
 
     @staticmethod
     def _literal(values: list | dict, kind: str) -> Column:
         """One literal of the plan: the optimiser reads the constant JSON once."""
         return F.from_json(F.lit(json.dumps(values)), kind)
 
-    def fold_words(self, words: Column, known: Column, buckets: Column) -> Column:
-        """The ids of each word, a string of bytes; where ``known`` has ids those are taken. ``buckets``
-        is a column with the rank map."""
+    def fold_words(self, words: Column, buckets: Column) -> Column:
+        """The ids of each word, a string of bytes. ``buckets`` is a column with the rank map."""
+        return _bind(buckets, lambda held: F.transform(words, lambda word: self._fold(word, held)))
 
-        def bind(value: Column, body) -> Column:
-            return F.get(F.transform(F.array(value), body), 0)
-
-        def all_ids(buckets: Column) -> Column:
-            return F.zip_with(words, known, lambda word, ids: F.coalesce(ids, self._fold(word, buckets, bind)))
-
-        return bind(buckets, all_ids)
-
-    def _fold(self, word: Column, buckets: Column, bind) -> Column:
+    def _fold(self, word: Column, buckets: Column) -> Column:
         """Merge the pair of lowest rank, leftmost first, once per step until none has a rank.
 
         The state is one array: id, rank of the pair, id, rank, and so on. The smallest value is the
@@ -153,10 +207,10 @@ class Vocabulary:
             )
 
         def step(state: Column) -> Column:
-            return bind(
+            return _bind(
                 F.array_min(state),
                 lambda least: F.when(least >= IDS - 1, state).otherwise(
-                    bind(
+                    _bind(
                         F.array_position(state, least).cast("int"), lambda at: merged(state, least, at)
                     )
                 ),
@@ -167,7 +221,7 @@ class Vocabulary:
         padded = F.concat(F.array(F.lit(IDS - 1)), letters, F.array(F.lit(IDS - 1)))
         folded = F.aggregate(
             F.sequence(F.lit(1), F.greatest(F.char_length(word) - 1, F.lit(1))),
-            bind(padded, begin),
+            _bind(padded, begin),
             lambda state, _: step(state),
             lambda state: F.transform(
                 F.filter(state, lambda v: (v >= IDS) & (v < NO_RANK)), lambda v: v - IDS
@@ -183,11 +237,6 @@ class Vocabulary:
         text = F.array_join(F.transform(ids, lambda number: F.get(self.pieces, number)), "")
         return F.encode(text, "ISO-8859-1")
 
-    def packed(self, ids: Column) -> Column:
-        """The ids as little-endian unsigned 32-bit integers."""
-        text = F.array_join(F.transform(ids, lambda number: F.get(self.words, number)), "")
-        return F.encode(text, "ISO-8859-1")
-
 
 def merge_with_heap(word: bytes, ranks: dict[bytes, int], whole: bool = True) -> list[int]:
     """The same merges for a long word, in time n log n; a word that is a token is one if ``whole``."""
@@ -248,29 +297,27 @@ def whole_tokens(ranks: dict[bytes, int]) -> Known:
     return Known(pa.array(words, pa.large_string()), pa.array(ids, pa.list_(pa.int32())))
 
 
-def _words(docs: DataFrame, text_col: str) -> Column:
-    pattern = split_pattern(public_tokenizers.PATTERN)
-    return F.regexp_extract_all(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.lit(pattern), F.lit(0))
-
-
 def common_words(
     docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text", most: int = COMMON_WORDS, among: int = COMMON_FROM
 ) -> Known:
     """The words that are worth folding before: whole tokens, and at most ``most`` others that came up twice
     or more in a sample of about ``among`` rows, the commonest first. Their ids come from the fold."""
-    known = whole_tokens(vocabulary.ranks)
+    known, splitter = whole_tokens(vocabulary.ranks), vocabulary.splitter
 
     def count(batches):
         for batch in batches:
-            found = pc.value_counts(batch.column("words").flatten())
-            words, counts = found.field("values"), found.field("counts")
-            new = pc.and_(
-                pc.is_null(pc.index_in(words.cast(pa.large_string()), value_set=known.words)),
-                pc.less_equal(pc.binary_length(words), FOLD_BYTES),
-            )
-            yield pa.RecordBatch.from_arrays([words.filter(new), counts.filter(new)], names=["word", "n"])
+            for part in sliced(batch, "text", BLOCK_BYTES):
+                found = pc.value_counts(splitter.split(part.column("text"))[0])
+                words, counts = found.field("values"), found.field("counts")
+                new = pc.and_(
+                    pc.is_null(pc.index_in(words, value_set=known.words)),
+                    pc.less_equal(pc.binary_length(words), FOLD_BYTES),
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [words.filter(new).cast(pa.string()), counts.filter(new)], names=["word", "n"]
+                )
 
-    rows = docs.select(_words(docs, text_col).alias("words"))
+    rows = docs.select(F.col(f"`{text_col}`").alias("text"))
     rows = rows.sample(min(1.0, among / max(1, docs.count())), 7)
     counts = rows.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     counts = staged(counts.filter(F.col("n") > 1).withColumn("n", F.least("n", F.lit(1 << 12))), "word-counts")
@@ -285,7 +332,7 @@ def common_words(
     # A word of the fold takes long for its size: the table is small, the work on it is not.
     chosen = counts.filter(F.col("n") >= least).select("word").repartition(COMMON_PARTS)
     folded = chosen.withColumn("buckets", vocabulary.buckets).select(
-        "word", F.get(vocabulary.fold_words(F.array(_letters(F.col("word"))), _none(1), F.col("buckets")), 0).alias("ids")
+        "word", F.get(vocabulary.fold_words(F.array(_letters(F.col("word"))), F.col("buckets")), 0).alias("ids")
     )
     table = staged(folded, "common-words").toArrow().combine_chunks()
     if not len(table):
@@ -297,54 +344,84 @@ def _letters(word: Column) -> Column:
     return F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
 
 
-def _none(count: int) -> Column:
-    return F.array(*[F.lit(None).cast("array<int>")] * count)
-
-
-def _word_blocks(ranks: dict[bytes, int], known: Known):
-    """Rows of (row, words) to blocks with distinct words, empty where the ids are known, and places."""
+def _word_blocks(ranks: dict[bytes, int], known: Known, splitter: Splitter):
+    """Rows of (row, text) to blocks: the rows, the ``bounds`` of their words, the ``places`` of these among
+    the block's distinct words, the number of ids of each distinct word (-1: not known) in ``sizes``, the known
+    ids in ``flat``, and the distinct ``words`` that are left to fold. A block with very many of these is led
+    by rows that hold words only."""
 
     def build(batches):
         for batch in batches:
-            words = batch.column("words")
-            sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
-            bounds = np.concatenate([[0], np.cumsum(sizes)])
-            flat = words.flatten()
-            weights = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(zero_copy_only=False))])
-            at = 0
-            while at < len(batch):
-                limit = weights[bounds[at]] + BLOCK_BYTES
-                stop = at + 1
-                while stop < len(batch) and weights[bounds[stop + 1]] <= limit:
-                    stop += 1
-                part = flat.slice(bounds[at], bounds[stop] - bounds[at]).dictionary_encode()
-                distinct = part.dictionary
-                place = pc.index_in(distinct.cast(pa.large_string()), value_set=known.words)
-                place = pc.fill_null(place, -1).to_numpy(zero_copy_only=False).astype(np.int64)
-                sizes = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
-                long = np.flatnonzero((sizes > FOLD_BYTES) & (place < 0))
+            for part in sliced(batch, "text", BLOCK_BYTES):
+                words, bounds = splitter.split(part.column("text"))
+                words = words.dictionary_encode()
+                distinct = words.dictionary
+                place = pc.fill_null(pc.index_in(distinct, value_set=known.words), -1)
+                place = place.to_numpy(zero_copy_only=False).astype(np.int64)
+                length = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
+                long = np.flatnonzero((length > FOLD_BYTES) & (place < 0))
                 merged = [merge_with_heap(distinct[k].as_py().encode(), ranks) for k in long.tolist()]
                 place[long] = len(known.ids) + np.arange(len(long))
-                ids = pa.concat_arrays([known.ids, pa.array(merged, known.ids.type)]) if merged else known.ids
-                ids = ids.take(pa.array(place, mask=place < 0))
-                distinct = pc.if_else(pa.array(place < 0), distinct, "")
-                one = pa.array([0, stop - at], pa.int32())
-                every = pa.array([0, len(distinct)], pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.ListArray.from_arrays(one, batch.column("row").slice(at, stop - at)),
-                        pa.array([(bounds[at : stop + 1] - bounds[at]).tolist()], pa.list_(pa.int32())),
-                        pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part.indices),
-                        pa.ListArray.from_arrays(every, distinct),
-                        pa.ListArray.from_arrays(every, ids),
-                    ],
-                    names=["rows", "bounds", "places", "words", "known"],
-                )
-                at = stop
+                every = pa.concat_arrays([known.ids, pa.array(merged, known.ids.type)]) if merged else known.ids
+                ids = every.take(pa.array(place[place >= 0]))
+                counts = np.full(len(distinct), -1, np.int32)
+                counts[place >= 0] = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
+                rare = distinct.filter(pa.array(place < 0)).cast(pa.string())
+                lead = max(0, len(rare) - 1) // FOLD_WORDS * FOLD_WORDS
+                for first in range(0, lead, FOLD_WORDS):
+                    yield _block(part.column("row").slice(0, 0), [None] * 4, rare.slice(first, FOLD_WORDS))
+                held = [bounds, words.indices, counts, ids.flatten()]
+                held = [np.asarray(column).astype(np.int32).tobytes() for column in held]
+                yield _block(part.column("row"), held, rare.slice(lead))
 
     return build
 
 
+_HELD = ["bounds", "places", "sizes", "flat"]
+
+
+def _block(rows: pa.Array, held: list, words: pa.Array) -> pa.RecordBatch:
+    def one(values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+    columns = [one(rows), *[pa.array([value], pa.binary()) for value in held], one(words)]
+    return pa.RecordBatch.from_arrays(columns, names=["rows", *_HELD, "words"])
+
+
+def _assembled(batches):
+    """Blocks with the ids of their words in ``folded`` to rows with their ids."""
+    lead: list[pa.Array] = []
+    for batch in batches:
+        for k in range(len(batch)):
+            lead.append(batch.column("folded")[k].values)
+            if not batch.column("places")[k].is_valid:
+                continue
+            bounds, places, sizes, known = (
+                np.frombuffer(batch.column(name)[k].as_buffer(), np.int32) for name in _HELD
+            )
+            folded = pa.concat_arrays(lead)
+            lead = []
+            rare = np.flatnonzero(sizes < 0)
+            sizes = sizes.astype(np.int64)
+            sizes[rare] = pc.list_value_length(folded).to_numpy(zero_copy_only=False)
+            # Ids of the known words come first in ``flat``, those of the folded ones behind them.
+            flat = np.concatenate([known, folded.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
+            order = np.concatenate([np.setdiff1d(np.arange(len(sizes)), rare, assume_unique=True), rare])
+            starts = np.empty(len(sizes), np.int64)
+            starts[order] = np.cumsum(sizes[order]) - sizes[order]
+            count = sizes[places]
+            ends = np.concatenate([[0], np.cumsum(count)])
+            ids = flat[np.arange(ends[-1]) + np.repeat(starts[places] - ends[:-1], count)]
+            edges = ends[bounds].astype(np.int32)
+            packed = pa.Array.from_buffers(
+                pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64) * 4), pa.py_buffer(ids.astype("<u4"))]
+            )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("rows")[k].values, pa.ListArray.from_arrays(edges, pa.array(ids)), packed.cast(pa.binary())],
+                names=["row", "ids", "packed"],
+            )
+
+
 def encode(
     docs: DataFrame,
     vocabulary: Vocabulary,
@@ -352,7 +429,8 @@ def encode(
     keep: list[str] | None = None,
     known: Known | None = None,
 ) -> DataFrame:
-    """Per row ``row`` (columns in ``keep``, default all) and ``ids``, the token ids of the text.
+    """Per row ``row`` (columns in ``keep``, default all), ``ids``, the token ids of the text, and ``packed``, the
+    ids as little-endian unsigned 32-bit integers.
 
     No special tokens; strings that look like them are ordinary text. A null or empty text has no ids.
     Rows that repeat are encoded each, an empty table gives no rows, and columns of ``docs`` lie inside
@@ -362,39 +440,17 @@ def encode(
     keep = docs.columns if keep is None else keep
     known = common_words(docs, vocabulary, text_col) if known is None else known
     rows = docs.select(
-        F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"), _words(docs, text_col).alias("words")
+        F.struct(*[F.col(f"`{name}`") for name in keep]).alias("row"), F.col(f"`{text_col}`").alias("text")
     )
-    schema = rows.select(
-        F.array("row").alias("rows"),
-        F.array().cast("array<int>").alias("bounds"),
-        F.array().cast("array<int>").alias("places"),
-        "words",
-        F.array().cast("array<array<int>>").alias("known"),
-    ).schema
-    blocks = rows.mapInArrow(_word_blocks(vocabulary.ranks, known), schema).withColumn("buckets", vocabulary.buckets)
-
-    def texts(ids: Column) -> Column:
-        return F.transform(
-            F.col("rows"),
-            lambda row, k: F.struct(
-                row.alias("row"),
-                F.flatten(
-                    F.transform(
-                        F.slice(
-                            F.col("places"),
-                            F.get("bounds", k) + 1,
-                            F.get("bounds", k + 1) - F.get("bounds", k),
-                        ),
-                        lambda place: F.get(ids, place),
-                    )
-                ).alias("ids"),
-            ),
-        )
-
-    # A one-element array binds the ids of the words, so that they are folded once per block.
-    letters = F.transform("words", _letters)
-    folded = F.array(vocabulary.fold_words(letters, F.col("known"), F.col("buckets")))
-    return blocks.select(F.explode(F.get(F.transform(folded, texts), 0)).alias("text")).select("text.*")
+    blank = F.lit(None).cast("binary")
+    words = F.array().cast("array<string>").alias("words")
+    schema = rows.select(F.array("row").alias("rows"), *[blank.alias(name) for name in _HELD], words).schema
+    blocks = rows.mapInArrow(_word_blocks(vocabulary.ranks, known, vocabulary.splitter), schema)
+    blocks = blocks.withColumn("buckets", vocabulary.buckets)
+    folded = vocabulary.fold_words(F.transform("words", _letters), F.col("buckets")).alias("folded")
+    # Nothing between the two steps moves a row: a block follows the rows that lead it.
+    schema = rows.select("row", F.array().cast("array<int>").alias("ids"), blank.alias("packed")).schema
+    return blocks.select("rows", *_HELD, folded).mapInArrow(_assembled, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:
@@ -404,7 +460,7 @@ def query(docs: DataFrame) -> DataFrame:
     return encoded.select(
         F.col("row.doc_id").alias("doc_id"),
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(vocabulary.packed(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("packed", 256).alias("ids_sha256"),
         F.sha2(vocabulary.decode(F.col("ids")), 256).alias("decoded_sha256"),
     )
 

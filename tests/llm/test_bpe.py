@@ -3,6 +3,7 @@
 import random
 
 import public_tokenizers
+import regex
 import pyarrow as pa
 import pytest
 import tiktoken
@@ -47,7 +48,7 @@ def test_whole_words_through_the_fold_alone(spark, vocabulary, library):
     rows = spark.createDataFrame([(w,) for w in words], "word string").withColumn("buckets", vocabulary.buckets)
     folded = rows.select(
         "word",
-        F.get(vocabulary.fold_words(F.array(op09_bpe._letters(F.col("word"))), op09_bpe._none(1), F.col("buckets")), 0).alias("ids"),
+        F.get(vocabulary.fold_words(F.array(op09_bpe._letters(F.col("word"))), F.col("buckets")), 0).alias("ids"),
     )
     for row in folded.collect():
         if len(row.word.encode()) <= op09_bpe.FOLD_BYTES:
@@ -68,7 +69,30 @@ def test_common_words_are_bounded_and_right(spark, vocabulary, library):
 
 def test_blocks_of_any_size_give_the_same(spark, vocabulary, library, monkeypatch):
     monkeypatch.setattr(op09_bpe, "BLOCK_BYTES", 50)
+    monkeypatch.setattr(op09_bpe, "FOLD_WORDS", 3)
     texts = random_texts(100)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     encoded = op09_bpe.encode(docs, vocabulary, known=nothing()).select("row.doc_id", "ids").collect()
     assert {r.doc_id: r.ids for r in encoded} == {k: library.encode_ordinary(t) for k, t in enumerate(texts)}
+
+
+def test_the_splitter_equals_the_pattern(vocabulary):
+    pattern = regex.compile(public_tokenizers.PATTERN)
+    rng = random.Random(5)
+    parts = ["word", "'", "'s", "'ve", "n't", "'l", "'ll", " ", "  ", "\n", "\t ", "\xa0", "\u3000", "é", "中", "²", "7", "-_", "!", "🙂", ""]
+    for _ in range(200):
+        texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(30)] + [None, "", "'", "'re"]
+        rng.shuffle(texts)
+        words, bounds = vocabulary.splitter.split(pa.array(texts, pa.string()))
+        words = words.to_pylist()
+        assert [words[a:b] for a, b in zip(bounds, bounds[1:])] == [pattern.findall(t or "") for t in texts]
+
+
+def test_every_character_is_split_as_by_the_library(vocabulary, library):
+    points = [*range(1, 0xD800, 7), *range(0xE000, 0x20000, 5), *range(0x20000, 0x110000, 997)]
+    texts = [f"a{chr(p)} {chr(p)}1{chr(p)}" for p in points]
+    words, bounds = vocabulary.splitter.split(pa.array(texts))
+    words = words.to_pylist()
+    for text, a, b in zip(texts, bounds, bounds[1:]):
+        ids = [k for word in words[a:b] for k in library._encode_single_piece(word.encode())]
+        assert ids == library.encode_ordinary(text)
