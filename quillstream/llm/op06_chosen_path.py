@@ -9,7 +9,10 @@ A node sees signatures first: a class stays only if another in the node agrees w
 similar pair would. A pair that shared the root of an earlier tree is passed over if that root was compared
 whole; where it was split, the pair may have parted there, and the later trees look at it again. For the
 classes that stay, whole shingle sets meet in tiles and are compared exactly; each tile emits a star per
-group it finds, so a dense group gives as many rows as it has members. What the first trees link is one
+group it finds, so a dense group gives as many rows as it has members. A node of more than one tile is
+contracted first: every class meets the others of one block and some pivots of the whole node, which links
+the dense groups in rows that grow with the node and not with its square; this is repeated while it helps.
+Only what is then left in different components meets block by block. What the first trees link is one
 component, and the later trees compare only across components.
 """
 
@@ -41,8 +44,11 @@ TILE = 256
 SPLIT_ABOVE = 8 * TILE
 BRANCHES = 2
 DEPTH = 3
-#: Bits of the map that spares unlinked documents the second reading.
-MAP_BITS = 1 << 23
+#: Classes of a large node that all its blocks meet, and rounds of contraction at most. The rounds stop when
+#: less than this share of what is outside a node's largest component has come together.
+PIVOTS, ROUNDS, WORTH = 8, 4, 0.25
+#: Bits of the map that spares unlinked documents the second reading: for each wanted class, and at most.
+MAP_BITS, MOST_MAP_BITS = 16, 1 << 26
 
 _SEEDS = mix(np.arange(1, SIGNATURE + 1, dtype=np.uint64))
 _MEMBER = "class long, component long, n_shingles long, roots binary, signature binary, split binary"
@@ -195,15 +201,11 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.join(sizes, "node")
 
 
-def tiles(classes: DataFrame, trees: range) -> DataFrame:
-    """Members of all leaf nodes as rows of tiles (node, low, high), each with its ``side``.
+_LEAF = ["node", "tree", "class", "component", "n_shingles", "roots", "signature", "split", "members"]
 
-    A node whose classes are all in one component already is left out.
 
-    A node of at most ``TILE`` classes is one tile. A larger one is dealt into blocks of about that many
-    by a hash of the class, and a tile is a pair of blocks; the node's largest component has blocks of
-    its own, which are not compared with each other.
-    """
+def leaves(classes: DataFrame, trees: range) -> DataFrame:
+    """Members of the leaf nodes of the trees; a node whose classes are in one component is left out."""
     members = _counted(root_nodes(classes, trees)).join(classes.drop("digest", "component"), "class")
     done = []
     for _ in range(DEPTH):
@@ -220,25 +222,68 @@ def tiles(classes: DataFrame, trees: range) -> DataFrame:
         members = children.filter(~dense)
     if members is not None:
         done.append(members.drop("parent_members"))
-    columns = ["node", "tree", "class", "component", "n_shingles", "roots", "signature", "split", "members"]
-    every = done[0].select(columns)
+    every = done[0].select(_LEAF)
     for rows in done[1:]:
-        every = every.unionByName(rows.select(columns))
-    every = staged(every, "leaves")
+        every = every.unionByName(rows.select(_LEAF))
+    return staged(every, "leaves")
+
+
+def _largest(large: DataFrame) -> DataFrame:
+    """(node, main, held, all): the largest component of every node, its classes, and all classes."""
+    sizes = large.groupBy("node", "component").agg(F.count("*").alias("size"))
+    main = F.max_by("component", F.struct("size", "component")).alias("main")
+    return sizes.groupBy("node").agg(main, F.max("size").alias("held"), F.sum("size").alias("all"))
+
+
+def _outside(every: DataFrame) -> int:
+    """Classes of nodes larger than a tile that are outside the largest component of their node."""
+    large = _largest(every.filter(F.col("members") > TILE))
+    return large.agg(F.sum(F.col("all") - F.col("held"))).first()[0] or 0
+
+
+def _open(every: DataFrame) -> DataFrame:
+    """The rows of nodes that still have classes of different components."""
+    ends = every.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most"))
+    return every.join(ends.filter(F.col("least") < F.col("most")).select("node"), "node", "left_semi")
+
+
+def pivot_tiles(every: DataFrame, number: int) -> DataFrame:
+    """Rows of tiles of the nodes larger than a tile: each class in one block, the pivots in all of them."""
+    large = every.filter(F.col("members") > TILE)
+    count = F.ceil(F.col("members") / TILE).cast("int")
+    own = F.pmod(F.xxhash64("class", "node", F.lit(number)), count).cast("int")
+    # A pivot is a minimum, so a task sends one row per node however many classes the node has.
+    chosen = [
+        F.min(F.struct(F.xxhash64("class", F.lit(number * PIVOTS + k)).alias("rank"), *_LEAF[1:])).alias(f"pivot{k}")
+        for k in range(PIVOTS)
+    ]
+    pivots = large.groupBy("node").agg(*chosen)
+    pivots = pivots.select("node", F.explode(F.array(*[F.col(f"pivot{k}") for k in range(PIVOTS)])).alias("pivot"))
+    pivots = pivots.select("node", "pivot.*").drop("rank").dropDuplicates(["node", "class"])
+    pivots = pivots.withColumn("low", F.explode(F.sequence(F.lit(0), count - 1)))
+    # A pivot is in its own block already.
+    both = large.withColumn("low", own).unionByName(pivots.filter(F.col("low") != own))
+    return both.select("node", "low", F.col("low").alias("high"), F.lit(0).alias("side"), *_LEAF[1:-1])
+
+
+def tiles(every: DataFrame) -> DataFrame:
+    """Members of leaf nodes as rows of tiles (node, low, high), each with its ``side``.
+
+    A node of at most ``TILE`` classes is one tile. A larger one is dealt into blocks of about that many
+    by a hash of the class, and a tile is a pair of blocks; the node's largest component has blocks of
+    its own, which are not compared with each other.
+    """
     small = every.filter(F.col("members") <= TILE).select(
-        "node", *[F.lit(0).alias(name) for name in ("low", "high", "side")], *columns[1:-1]
+        "node", *[F.lit(0).alias(name) for name in ("low", "high", "side")], *_LEAF[1:-1]
     )
     large = every.filter(F.col("members") > TILE)
-    sizes = large.groupBy("node", "component").agg(F.count("*").alias("size"))
-    main = F.max_by("component", F.struct("size", "component")).alias("main")
-    largest = staged(sizes.groupBy("node").agg(main, F.max("size").alias("held")), "largest")
-    joined = large.join(largest, "node")
+    joined = large.join(staged(_largest(large), "largest"), "node")
 
     def blocks(members: Column) -> Column:
         return F.ceil(members / TILE).cast("int")
 
     # Blocks of the largest component come last and meet the others' blocks, not each other.
-    rest, held = blocks(F.col("members") - F.col("held")), blocks(F.col("held"))
+    rest, held = blocks(F.col("all") - F.col("held")), blocks(F.col("held"))
     inside = F.col("component") == F.col("main")
     number = F.xxhash64("class", "node")
     side = F.when(inside, rest + F.pmod(number, held)).otherwise(F.pmod(number, rest)).cast("int")
@@ -250,7 +295,7 @@ def tiles(classes: DataFrame, trees: range) -> DataFrame:
             F.least("side", "other").alias("low"),
             F.greatest("side", "other").alias("high"),
             "side",
-            *columns[1:-1],
+            *_LEAF[1:-1],
         )
     )
 
@@ -307,12 +352,14 @@ def candidates(tile_rows: DataFrame, similarity: int, agreement: float) -> DataF
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(class, values) for the documents whose id is a wanted class; values are 64-bit shingle hashes."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
-    may = bit_map(wanted.withColumnRenamed("class", "doc_id"), bit, MAP_BITS)
+    bits = min(MOST_MAP_BITS, (wanted.count() * MAP_BITS // 32768 + 1) * 32768)
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    may = np.packbits(bit_map(wanted.withColumnRenamed("class", "doc_id"), bit, bits), bitorder="little")
 
     def build(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(may[np.asarray(batch.column("bit"))]))
+            bit = np.asarray(batch.column("bit"))
+            batch = batch.filter(pa.array((may[bit >> 3] >> (bit & 7) & 1).astype(bool)))
             for part in sliced(batch, "text"):
                 values, bounds = _sets(Words(part.column("text"), SPACED), size)
                 yield pa.RecordBatch.from_arrays(
@@ -456,17 +503,35 @@ def near_duplicates(
     )
     classes = staged(split_roots(classes, trees), "classes")
     found, groups = None, None
-    for some in (range(min(FIRST_TREES, trees)), range(FIRST_TREES, trees)):
-        if not len(some):
-            continue
-        grouped = classes.withColumn("component", F.col("class"))
-        if groups is not None:
-            grouped = classes.join(groups, "class", "left")
-            grouped = grouped.withColumn("component", F.coalesce("component", "class"))
-        stay = staged(candidates(tiles(grouped, some), similarity, agreement), "candidates")
+
+    def joined(rows: DataFrame) -> DataFrame:
+        """``rows`` with the component of their class."""
+        if groups is None:
+            return rows.withColumn("component", F.col("class"))
+        known = rows.drop("component").join(groups, "class", "left")
+        return known.withColumn("component", F.coalesce("component", "class"))
+
+    def link(tile_rows: DataFrame) -> None:
+        nonlocal found, groups
+        stay = staged(candidates(tile_rows, similarity, agreement), "candidates")
         new = links(stay, shingle_sets(rows, stay.select("class"), size), similarity)
         found = staged(new if found is None else new.unionByName(found).distinct(), "links")
         groups = components(found)
+
+    for some in (range(min(FIRST_TREES, trees)), range(FIRST_TREES, trees)):
+        if not len(some):
+            continue
+        every = leaves(joined(classes), some)
+        outside = _outside(every)
+        for number in range(ROUNDS):
+            if not outside:
+                break
+            link(pivot_tiles(every, number))
+            every = staged(_open(joined(every).select(_LEAF)), "leaves")
+            before, outside = outside, _outside(every)
+            if outside > (1 - WORTH) * before:
+                break
+        link(tiles(every))
     whole = classes.select("digest", "class").join(groups, "class", "left").select(
         "digest", F.coalesce("component", "class").alias("component_id")
     )
