@@ -152,21 +152,21 @@ def velocity_counter(layout: Layout) -> CarriedCounter:
 
 @contextlib.contextmanager
 def first_deliveries(
-    batch: DataFrame, batch_id: int, layout: Layout, clock: str, tie: str
+    batch: DataFrame, batch_id: int, layout: Layout, clock: str, tie: str, arrived: str | None = None
 ) -> Iterator[DataFrame]:
     """Drop the deliveries of an id within 24 h of its first one, whichever batch had that."""
     valid = raw_feed.valid_ids(batch)
-    with dedup_counter(layout).mark(valid, batch_id, clock, tie) as marked:
+    with dedup_counter(layout).mark(valid, batch_id, clock, tie, arrived) as marked:
         yield marked.where(~F.col("_replay")).drop("_replay")
 
 
 @contextlib.contextmanager
 def flag_bots(
-    batch: DataFrame, batch_id: int, layout: Layout, clock: str, tie: str
+    batch: DataFrame, batch_id: int, layout: Layout, clock: str, tie: str, arrived: str | None = None
 ) -> Iterator[DataFrame]:
     """Add ``is_bot``, counting on from the windows of the batches before."""
     named = batch.withColumn("_user", F.when(~is_blank(F.col("user")), F.col("user")))
-    with velocity_counter(layout).mark(named, batch_id, clock, tie) as marked:
+    with velocity_counter(layout).mark(named, batch_id, clock, tie, arrived) as marked:
         yield marked.drop("_user")
 
 
@@ -176,11 +176,12 @@ def store_edits(
     trigger: dict | None = None,
     clock: str = "ingest_ts",
     tie: str = "_n",
+    arrived: str | None = None,
 ) -> StreamingQuery:
     """Wire messages to ``processed_edits`` and the live feed.
 
-    Deliveries count in order of ``clock`` and ``tie`` within a batch (default: as read). Nothing is
-    dropped for being late: windows go on from batch to batch, see ``streaming.carried``. The
+    Deliveries are walked in order of ``arrived`` (default: ``clock``) and ``tie`` (default: as read). Nothing
+    is dropped for being late: windows go on from batch to batch, see ``streaming.carried``. The
     feed is read back from what the table took, so it never shows an edit that was rejected. Counters and
     latency of each batch go to ``job_metrics``.
     """
@@ -190,8 +191,8 @@ def store_edits(
         with _computed_once(batch.withColumn("_n", F.monotonically_increasing_id())) as arrived:
             good, _ = wire.split_quarantine(arrived)
             with (
-                first_deliveries(good, batch_id, layout, clock, tie) as accepted,
-                flag_bots(accepted, batch_id, layout, clock, tie) as flagged,
+                first_deliveries(good, batch_id, layout, clock, tie, arrived) as accepted,
+                flag_bots(accepted, batch_id, layout, clock, tie, arrived) as flagged,
             ):
                 rows = processed.to_table(flagged, *dict.fromkeys([clock, "_n"]))
                 stored = tables.insert_edits(rows, layout.table("processed_edits"), batch_id, [clock, "_n"])
