@@ -28,15 +28,15 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import raw, sliced, stage as staged
+from .common import raw, sliced, stage as staged, work_dir
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Bytes of words in a block of documents, unless one document alone has more.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Words that are folded before, at most, and documents (about) in which they are looked for.
 COMMON_WORDS, COMMON_FROM = 1 << 19, 1 << 16
-#: Tasks that fold them, and words that one row has folded at most.
-COMMON_PARTS, FOLD_WORDS = 64, 1 << 14
+#: Tasks that fold them.
+COMMON_PARTS = 64
 #: The fold takes time with the square of a word's length; longer words are merged with a heap instead.
 FOLD_BYTES = 256
 #: Maps that the literal rank map is dealt into.
@@ -347,8 +347,7 @@ def _letters(word: Column) -> Column:
 def _word_blocks(ranks: dict[bytes, int], known: Known, splitter: Splitter):
     """Rows of (row, text) to blocks: the rows, the ``bounds`` of their words, the ``places`` of these among
     the block's distinct words, the number of ids of each distinct word (-1: not known) in ``sizes``, the known
-    ids in ``flat``, and the distinct ``words`` that are left to fold. A block with very many of these is led
-    by rows that hold words only."""
+    ids in ``flat``, and the distinct ``words`` that are left to fold."""
 
     def build(batches):
         for batch in batches:
@@ -367,55 +366,55 @@ def _word_blocks(ranks: dict[bytes, int], known: Known, splitter: Splitter):
                 counts = np.full(len(distinct), -1, np.int32)
                 counts[place >= 0] = pc.list_value_length(ids).to_numpy(zero_copy_only=False)
                 rare = distinct.filter(pa.array(place < 0)).cast(pa.string())
-                lead = max(0, len(rare) - 1) // FOLD_WORDS * FOLD_WORDS
-                for first in range(0, lead, FOLD_WORDS):
-                    yield _block(part.column("row").slice(0, 0), [None] * 4, rare.slice(first, FOLD_WORDS))
-                held = [bounds, words.indices, counts, ids.flatten()]
-                held = [np.asarray(column).astype(np.int32).tobytes() for column in held]
-                yield _block(part.column("row"), held, rare.slice(lead))
+                held = [_narrow(column) for column in (bounds, words.indices, counts, ids.flatten())]
+                yield pa.RecordBatch.from_arrays(
+                    [_one(part.column("row")), *[pa.array([value], pa.binary()) for value in held], _one(rare)],
+                    names=["rows", *_HELD, "words"],
+                )
 
     return build
 
 
 _HELD = ["bounds", "places", "sizes", "flat"]
+_KINDS = [np.dtype(kind) for kind in ("<u2", "<i4")]
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
 
-def _block(rows: pa.Array, held: list, words: pa.Array) -> pa.RecordBatch:
-    def one(values: pa.Array) -> pa.ListArray:
-        return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+def _narrow(values) -> bytes:
+    """Whole numbers as bytes, two or four for each; the first byte says which."""
+    values = np.asarray(values)
+    small = len(values) == 0 or (values.min() >= 0 and values.max() < 1 << 16)
+    return bytes([not small]) + values.astype(_KINDS[not small]).tobytes()
 
-    columns = [one(rows), *[pa.array([value], pa.binary()) for value in held], one(words)]
-    return pa.RecordBatch.from_arrays(columns, names=["rows", *_HELD, "words"])
+
+def _wide(value: pa.Scalar) -> np.ndarray:
+    data = value.as_buffer()
+    return np.frombuffer(data, _KINDS[np.frombuffer(data, np.uint8, 1)[0]], offset=1)
 
 
 def _assembled(batches):
     """Blocks with the ids of their words in ``folded`` to rows with their ids."""
-    lead: list[pa.Array] = []
     for batch in batches:
         for k in range(len(batch)):
-            lead.append(batch.column("folded")[k].values)
-            if not batch.column("places")[k].is_valid:
-                continue
-            bounds, places, sizes, known = (
-                np.frombuffer(batch.column(name)[k].as_buffer(), np.int32) for name in _HELD
-            )
-            folded = pa.concat_arrays(lead)
-            lead = []
-            rare = np.flatnonzero(sizes < 0)
+            bounds, places, sizes, known = (_wide(batch.column(name)[k]) for name in _HELD)
+            folded = batch.column("folded")[k].values
+            rare = sizes < 0
             sizes = sizes.astype(np.int64)
             sizes[rare] = pc.list_value_length(folded).to_numpy(zero_copy_only=False)
             # Ids of the known words come first in ``flat``, those of the folded ones behind them.
-            flat = np.concatenate([known, folded.flatten().to_numpy(zero_copy_only=False).astype(np.int32)])
-            order = np.concatenate([np.setdiff1d(np.arange(len(sizes)), rare, assume_unique=True), rare])
+            flat = np.concatenate([known, folded.flatten().to_numpy(zero_copy_only=False)]).astype("<i4")
             starts = np.empty(len(sizes), np.int64)
-            starts[order] = np.cumsum(sizes[order]) - sizes[order]
+            starts[~rare] = np.cumsum(sizes[~rare]) - sizes[~rare]
+            starts[rare] = len(known) + np.cumsum(sizes[rare]) - sizes[rare]
             count = sizes[places]
             ends = np.concatenate([[0], np.cumsum(count)])
             ids = flat[np.arange(ends[-1]) + np.repeat(starts[places] - ends[:-1], count)]
             edges = ends[bounds].astype(np.int32)
-            packed = pa.Array.from_buffers(
-                pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int64) * 4), pa.py_buffer(ids.astype("<u4"))]
-            )
+            offsets = pa.py_buffer(edges.astype(np.int64) * 4)
+            packed = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, offsets, pa.py_buffer(ids)])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("rows")[k].values, pa.ListArray.from_arrays(edges, pa.array(ids)), packed.cast(pa.binary())],
                 names=["row", "ids", "packed"],
@@ -435,7 +434,8 @@ def encode(
     No special tokens; strings that look like them are ordinary text. A null or empty text has no ids.
     Rows that repeat are encoded each, an empty table gives no rows, and columns of ``docs`` lie inside
     ``row``. ``known`` (default: :func:`common_words`) are words that are not folded again; any other word
-    is folded once per block, and a block has a bounded number of bytes.
+    is folded once per block, and a block has a bounded number of bytes, or one document. The folded blocks
+    are a table, compressed, so that splitting and assembling do not run beside each other in a task.
     """
     keep = docs.columns if keep is None else keep
     known = common_words(docs, vocabulary, text_col) if known is None else known
@@ -448,9 +448,11 @@ def encode(
     blocks = rows.mapInArrow(_word_blocks(vocabulary.ranks, known, vocabulary.splitter), schema)
     blocks = blocks.withColumn("buckets", vocabulary.buckets)
     folded = vocabulary.fold_words(F.transform("words", _letters), F.col("buckets")).alias("folded")
-    # Nothing between the two steps moves a row: a block follows the rows that lead it.
+    path = work_dir(docs.sparkSession, "folded-blocks")
+    blocks = blocks.select("rows", *_HELD, folded)
+    blocks.write.option("compression", "zstd").parquet(path)
     schema = rows.select("row", F.array().cast("array<int>").alias("ids"), blank.alias("packed")).schema
-    return blocks.select("rows", *_HELD, folded).mapInArrow(_assembled, schema)
+    return docs.sparkSession.read.schema(blocks.schema).parquet(path).mapInArrow(_assembled, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -69,7 +69,6 @@ def test_common_words_are_bounded_and_right(spark, vocabulary, library):
 
 def test_blocks_of_any_size_give_the_same(spark, vocabulary, library, monkeypatch):
     monkeypatch.setattr(op09_bpe, "BLOCK_BYTES", 50)
-    monkeypatch.setattr(op09_bpe, "FOLD_WORDS", 3)
     texts = random_texts(100)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     encoded = op09_bpe.encode(docs, vocabulary, known=nothing()).select("row.doc_id", "ids").collect()
