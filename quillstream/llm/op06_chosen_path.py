@@ -11,8 +11,8 @@ whole; where it was split, the pair may have parted there, and the later trees l
 classes that stay, whole shingle sets meet in tiles and are compared exactly; each tile emits a star per
 group it finds, so a dense group gives as many rows as it has members. A node of more than one tile is
 contracted first: every class meets the others of one block and some pivots of the whole node, which links
-the dense groups in rows that grow with the node and not with its square; this is repeated while it helps.
-Only what is then left in different components meets block by block. What the first trees link is one
+the dense groups in rows that grow with the node and not with its square. Only what is then left in different
+components meets block by block. What the first trees link is one
 component, and the later trees compare only across components.
 """
 
@@ -40,13 +40,12 @@ SIGNATURE = 64
 AGREEMENT = 0.55
 #: Classes in a tile. A node with more is split by further tokens; after ``DEPTH`` splits, or when most
 #: of it stays together, its tiles are compared with each other instead.
-TILE = 256
-SPLIT_ABOVE = 8 * TILE
+TILE = 768
+SPLIT_ABOVE = 2048
 BRANCHES = 2
 DEPTH = 3
-#: Classes of a large node that all its blocks meet, and rounds of contraction at most. The rounds stop when
-#: less than this share of what is outside a node's largest component has come together.
-PIVOTS, ROUNDS, WORTH = 8, 4, 0.25
+#: Classes of a node larger than a tile that all its blocks meet before blocks meet each other.
+PIVOTS = 8
 #: Bits of the map that spares unlinked documents the second reading: for each wanted class, and at most.
 MAP_BITS, MOST_MAP_BITS = 16, 1 << 26
 
@@ -235,26 +234,19 @@ def _largest(large: DataFrame) -> DataFrame:
     return sizes.groupBy("node").agg(main, F.max("size").alias("held"), F.sum("size").alias("all"))
 
 
-def _outside(every: DataFrame) -> int:
-    """Classes of nodes larger than a tile that are outside the largest component of their node."""
-    large = _largest(every.filter(F.col("members") > TILE))
-    return large.agg(F.sum(F.col("all") - F.col("held"))).first()[0] or 0
-
-
 def _open(every: DataFrame) -> DataFrame:
     """The rows of nodes that still have classes of different components."""
     ends = every.groupBy("node").agg(F.min("component").alias("least"), F.max("component").alias("most"))
     return every.join(ends.filter(F.col("least") < F.col("most")).select("node"), "node", "left_semi")
 
 
-def pivot_tiles(every: DataFrame, number: int) -> DataFrame:
-    """Rows of tiles of the nodes larger than a tile: each class in one block, the pivots in all of them."""
-    large = every.filter(F.col("members") > TILE)
+def pivot_tiles(large: DataFrame) -> DataFrame:
+    """Rows of tiles of nodes larger than a tile: each class in one block, the pivots in all of them."""
     count = F.ceil(F.col("members") / TILE).cast("int")
-    own = F.pmod(F.xxhash64("class", "node", F.lit(number)), count).cast("int")
+    own = F.pmod(F.xxhash64("class", "node"), count).cast("int")
     # A pivot is a minimum, so a task sends one row per node however many classes the node has.
     chosen = [
-        F.min(F.struct(F.xxhash64("class", F.lit(number * PIVOTS + k)).alias("rank"), *_LEAF[1:])).alias(f"pivot{k}")
+        F.min(F.struct(F.xxhash64("class", F.lit(k)).alias("rank"), *_LEAF[1:])).alias(f"pivot{k}")
         for k in range(PIVOTS)
     ]
     pivots = large.groupBy("node").agg(*chosen)
@@ -277,7 +269,7 @@ def tiles(every: DataFrame) -> DataFrame:
         "node", *[F.lit(0).alias(name) for name in ("low", "high", "side")], *_LEAF[1:-1]
     )
     large = every.filter(F.col("members") > TILE)
-    joined = large.join(staged(_largest(large), "largest"), "node")
+    joined = large.join(_largest(large), "node")
 
     def blocks(members: Column) -> Column:
         return F.ceil(members / TILE).cast("int")
@@ -502,7 +494,7 @@ def near_duplicates(
         "classes",
     )
     classes = staged(split_roots(classes, trees), "classes")
-    found, groups = None, None
+    found, groups, waiting = None, None, None
 
     def joined(rows: DataFrame) -> DataFrame:
         """``rows`` with the component of their class."""
@@ -522,16 +514,18 @@ def near_duplicates(
         if not len(some):
             continue
         every = leaves(joined(classes), some)
-        outside = _outside(every)
-        for number in range(ROUNDS):
-            if not outside:
-                break
-            link(pivot_tiles(every, number))
-            every = staged(_open(joined(every).select(_LEAF)), "leaves")
-            before, outside = outside, _outside(every)
-            if outside > (1 - WORTH) * before:
-                break
-        link(tiles(every))
+        met = tiles(every.filter(F.col("members") <= TILE))
+        large = every.filter(F.col("members") > TILE)
+        some_large = not large.isEmpty()
+        if some_large:
+            met = met.unionByName(pivot_tiles(large))
+        if waiting is not None:
+            met = met.unionByName(tiles(waiting))
+        link(met)
+        # What the pivots have not brought together meets block by block along with the next trees.
+        waiting = staged(_open(joined(large).select(_LEAF)), "waiting") if some_large else None
+    if waiting is not None:
+        link(tiles(waiting))
     whole = classes.select("digest", "class").join(groups, "class", "left").select(
         "digest", F.coalesce("component", "class").alias("component_id")
     )
