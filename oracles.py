@@ -435,6 +435,22 @@ FROM (SELECT ts, 0.0::DOUBLE AS seconds FROM edits
       UNION ALL SELECT ts, 3600.0 FROM edits WHERE id % 10 = 3
       UNION ALL SELECT ts, 108000.0 FROM edits WHERE id % 25 = 7) GROUP BY 1"""
     ),
+    "latency_merged": _sql(
+        """SELECT CAST(delivered AS DATE) AS day, count(*) AS edits, round(avg(seconds), 6) AS mean_seconds,
+  max(seconds) AS max_seconds, quantile_disc(seconds, 0.99) AS p99_seconds
+FROM (SELECT ts AS delivered, 0.0::DOUBLE AS seconds FROM edits
+      UNION ALL SELECT ts + INTERVAL 1 HOUR, 3600.0 FROM edits WHERE id % 10 = 3
+      UNION ALL SELECT ts + INTERVAL 30 HOUR, 108000.0 FROM edits WHERE id % 25 = 7) GROUP BY 1"""
+    ),
+    "stream_lag": """SELECT count(*) FILTER (event_id % 5 <= 2) AS rows_taken,
+  count(*) FILTER (event_id % 5 > 2) AS rows_behind, true AS lags, true AS has_bytes FROM events""",
+    "reject_old_replays": _sql(
+        """SELECT id % 3 AS batch, count(*) AS edits, sum(id)::BIGINT AS id_sum FROM table_rows GROUP BY 1
+UNION ALL
+SELECT 3, count(*), sum(id + 1000000000)::BIGINT
+FROM (SELECT min(id) AS id FROM table_rows GROUP BY CAST(edit_timestamp AS DATE))""",
+        PROCESSED,
+    ),
     "partition_balance": _sql(
         """SELECT CAST(CAST('0x' || md5(title)[1:8] AS BIGINT) % 3 AS INT) AS partition,
   count(*) AS rows, round(count(*) * 3.0 / sum(count(*)) OVER (), 6) AS skew_ratio

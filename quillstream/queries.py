@@ -475,6 +475,15 @@ def latency_summary(spark, sf_dir):
     return _rounded(metrics.latency(arrived, "ts", "delivery_ts", "1 day"), "mean_seconds")
 
 
+@register
+def latency_merged(spark, sf_dir):
+    """p99 and other figures of whole days from sketches of hours, merged on read."""
+    arrived = fx.deliveries(fx.base(spark, sf_dir))
+    parts = stage(metrics.latency_sketches(arrived, "ts", "delivery_ts", "1 hour"), "latency")
+    days = parts.withColumn("day", F.to_date("window_start"))
+    return _rounded(metrics.merged_latency(days, "day", shares=(0.99,)), "mean_seconds")
+
+
 @register
 def partition_balance(spark, sf_dir):
     return _rounded(metrics.partition_balance(_all_events(spark, sf_dir)), "skew_ratio")
@@ -487,7 +496,8 @@ BATCHES = 5
 
 
 def _in_batches(spark, rows, clock, name):
-    """``rows`` as a stream of ``BATCHES`` files in order of ``clock``, one per micro-batch."""
+    """``rows`` as a stream of ``BATCHES`` micro-batches in order of ``clock``, of some files each."""
+    files = spark.sparkContext.defaultParallelism
     path, rows = work_dir(spark, name), stage(rows, f"{name}-rows")
     time = F.unix_micros(clock)
     shares = [k / BATCHES for k in range(1, BATCHES)]
@@ -495,8 +505,8 @@ def _in_batches(spark, rows, clock, name):
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows.where(time >= low) if low is not None else rows
         part = part.where(time < high) if high is not None else part
-        part.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        part.repartition(files).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def _finish(query):
@@ -585,14 +595,55 @@ def stream_accounting(spark, sf_dir):
     return sums.crossJoin(letters).crossJoin(sent)  # each side is one row
 
 
+@register
+def stream_lag(spark, sf_dir):
+    """A stream that stopped after three of five parts of its lines: rows taken, and rows that wait."""
+    layout, path = _layout(spark, "lag"), work_dir(spark, "lag-lines")
+    lines = stage(fx.raw_lines(fx.base(spark, sf_dir)).withColumn("part", F.col("event_id") % BATCHES), "lag-rows")
+
+    def write(batch, batch_id):
+        tables.append_batch(batch.groupBy().count(), layout.table("taken"), batch_id)
+
+    for part in range(BATCHES):
+        lines.where(F.col("part") == part).select("value").write.mode("append").parquet(path)
+        if part == 2:
+            stream = spark.readStream.schema("value STRING").parquet(path)
+            jobs.run_over(stream, "lag", layout, write).awaitTermination()
+    behind = metrics.file_lag(spark, layout.checkpoint("lag"), path)
+    taken = spark.read.parquet(layout.table("taken")).agg(F.sum("count").alias("rows_taken"))
+    all_rows = spark.read.parquet(path).agg(F.count("*").alias("n"))
+    told = behind.select((F.col("files_behind") > 0).alias("lags"), (F.col("bytes_behind") > 0).alias("has_bytes"))
+    # Each side is one row.
+    return taken.crossJoin(all_rows).crossJoin(told).select(
+        "rows_taken", (F.col("n") - F.col("rows_taken")).alias("rows_behind"), "lags", "has_bytes"
+    )
+
+
+@register
+def reject_old_replays(spark, sf_dir):
+    """Edits in three inserts, then a batch that repeats one id of each day: what each insert stored."""
+    path = work_dir(spark, "replays")
+    edits = stage(fx.processed(spark, sf_dir), "replay-edits")
+    for part in range(3):
+        tables.insert_edits(edits.where(F.col("id") % 3 == part), path, part)
+    days = edits.groupBy(F.to_date("edit_timestamp").alias("day")).agg(F.min("id").alias("id")).select("id")
+    known = edits.join(days, "id", "left_semi")
+    fresh = known.withColumn("id", F.col("id") + 1_000_000_000)
+    tables.insert_edits(known.unionByName(fresh), path, 3)
+    stored = spark.read.parquet(path)
+    return stored.groupBy(F.col(tables.BATCH).cast("bigint").alias("batch")).agg(
+        F.count("*").alias("edits"), F.sum("id").alias("id_sum")
+    )
+
+
 @register
 def stream_dead_letters(spark, sf_dir):
-    layout = _layout(spark, "letters")
+    layout, files = _layout(spark, "letters"), spark.sparkContext.defaultParallelism
     sent = fx.wire_messages(fx.base(spark, sf_dir)).select("event_id", "key", "value")
     for part in range(BATCHES):
         rows = sent.where(F.col("event_id") % BATCHES == part).select("key", "value")
-        tables.append_batch(rows.coalesce(1), layout.table("edit_events"), part)
-    messages = jobs.read_messages(spark, layout.table("edit_events"), 1)
+        tables.append_batch(rows.repartition(files), layout.table("edit_events"), part)
+    messages = jobs.read_messages(spark, layout.table("edit_events"), files)
     _finish(jobs.store_dead_letters(messages, layout))
     letters = spark.read.parquet(layout.table("dead_letters"))
     return letters.groupBy("reason").agg(F.count("*").alias("messages"))
@@ -630,7 +681,6 @@ def stream_alert_ticker(spark, sf_dir):
     _raised(spark, sf_dir, layout)
     messages = jobs.read_messages(spark, layout.table("anomalies"), 1)
     jobs.show_alerts(messages, layout).awaitTermination()
-    last = tables.folders(spark, layout.table("alert_ticker"), tables.BATCH)[-1]
-    shown = spark.read.parquet(f"{layout.table('alert_ticker')}/{tables.BATCH}={last}")
+    shown = jobs.read_ticker(spark, layout)
     label = labels.format_anomaly_type(F.col("anomaly_type"))
     return shown.select("id", "page_title", label.alias("anomaly"), "event_count", "window_end")

@@ -10,13 +10,14 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillstream import schemas
 from quillstream.functions.clock import as_utc
 from quillstream.operators import keyed
 from quillstream.session import stage
+from quillstream.sources import id_index
 
 EDITS_DATE, BATCH, ORIGIN = "edit_date", "ingest_batch", "origin"
 BUCKET_DATE = "bucket_date"
@@ -114,7 +115,12 @@ def lookup_rollups(
 
 
 def insert_edits(
-    edits: DataFrame, path: str, batch_id: int, arrival: list[str] | None = None
+    edits: DataFrame,
+    path: str,
+    batch_id: int,
+    arrival: list[str] | None = None,
+    watch: Observation | None = None,
+    watch_columns: tuple[Column, ...] = (),
 ) -> DataFrame:
     """Append the edits whose id the table does not hold yet; returns what this batch stored.
 
@@ -122,37 +128,66 @@ def insert_edits(
     Those columns are not stored.
 
     A batch owns its partitions: replaying ``batch_id`` overwrites them with the same rows, and
-    its own rows are not taken for existing ones. The existing ids are read only between the
-    smallest and largest id of the batch; edit ids grow with time, so footers prune the rest.
+    its own rows are not taken for existing ones. Existing ids are read only from the partitions that
+    the sidecar of filters says may hold one of the batch (``id_index``), so one old id in a batch
+    costs the partition it lies in. ``watch`` is observed while the rows are written.
     """
     spark = edits.sparkSession
     fresh = keyed.first_per_key(edits, ["id"], arrival or ["edit_timestamp"]).select(
         *schemas.columns(schemas.PROCESSED_EDITS)
     )
-    low, high = edits.agg(F.min("id"), F.max("id")).first()
-    if low is not None:
-        existing = (
-            _edits(spark, path, create=True)
-            .where((F.col(BATCH) != batch_id) & F.col("id").between(low, high))
-            .select("id")
-        )
-        dated = (
-            keyed.reject_existing(fresh, existing, ["id"])
-            .withColumn(EDITS_DATE, F.to_date("edit_timestamp"))
-            .withColumn(BATCH, F.lit(batch_id).cast("bigint"))
-        )
-        (
-            dated.repartition(EDITS_DATE, F.pmod(F.xxhash64("id"), F.lit(FILES_PER_DATE)))
-            .sortWithinPartitions(EDITS_DATE, "id")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy(EDITS_DATE, BATCH)
-            .parquet(path)
-        )
+    fresh = stage(fresh.withColumn(EDITS_DATE, F.to_date("edit_timestamp")), "fresh-edits")
+    existing = existing_ids(spark, path, fresh, batch_id)
+    dated = keyed.reject_existing(fresh, existing, ["id"]).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+    if watch is not None:
+        dated = dated.observe(watch, *watch_columns)
+    (
+        dated.repartition(EDITS_DATE, F.pmod(F.xxhash64("id"), F.lit(FILES_PER_DATE)))
+        .sortWithinPartitions(EDITS_DATE, "id")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(EDITS_DATE, BATCH)
+        .parquet(path)
+    )
     stored = _edits(spark, path, create=True).where(F.col(BATCH) == batch_id)
+    id_index.write(stored.select("id", EDITS_DATE, BATCH), id_sidecar(path))
     return stored.select(*schemas.columns(schemas.PROCESSED_EDITS))
 
 
+def id_sidecar(path: str) -> str:
+    """Where the filters of a table of edits lie: beside it, since its own folders are partitions."""
+    return f"{path.rstrip('/')}_ids"
+
+
+def existing_ids(spark: SparkSession, path: str, fresh: DataFrame, batch_id: int) -> DataFrame:
+    """The ids of the partitions of other batches that may hold one of ``fresh``. A table that has no
+    sidecar yet is indexed first."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], "id BIGINT")
+    index = id_sidecar(path)
+    if not _exists(spark, index):
+        id_index.write(_edits(spark, path).select("id", EDITS_DATE, BATCH), index)
+    by_date: dict[dt.date, list[int]] = {}
+    for date, batch in id_index.maybe(fresh, index, batch_id):
+        by_date.setdefault(date, []).append(batch)
+    own = F.lit(False)
+    for date, batches in sorted(by_date.items()):
+        own |= (F.col(EDITS_DATE) == F.lit(date)) & F.col(BATCH).isin(batches)
+    return _edits(spark, path).where(own).select("id")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def create(spark: SparkSession, path: str, ddl: str) -> None:
+    """Make a table without rows where there is none, so that readers find its columns before the first
+    batch; the empty file lies under batch -1."""
+    if not _exists(spark, path):
+        spark.createDataFrame([], ddl).coalesce(1).write.mode("ignore").parquet(f"{path}/{BATCH}=-1")
+
+
 def upsert_rollups(fresh: DataFrame, path: str) -> None:
     """Replace the counts of the keys in ``fresh``; every other key stays as it is.
 

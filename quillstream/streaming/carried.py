@@ -129,7 +129,9 @@ class CarriedCounter:
         both = walked.withColumn("n", F.lit(None).cast("bigint")).unionByName(entering)
         met = both.repartition("k").sortWithinPartitions("k", F.col("n").isNull(), "a", "tie")
         longs = [StructField(name, LongType()) for name in ("start", "n", "seen")]
-        schema = StructType([kinds["k"], StructField("a", LongType()), kinds["tie"], *longs])
+        schema = StructType(
+            [kinds["k"], StructField("a", LongType()), StructField("tie", kinds["tie"].dataType), *longs]
+        )
         ttl, limit, idle = self.ttl_seconds * anchored.MICROS, self.limit, self.idle
         found = met.mapInArrow(lambda batches: _walk(batches, ttl, limit, idle), schema)
         if some_hot:

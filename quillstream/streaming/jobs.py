@@ -11,7 +11,7 @@ import contextlib
 import dataclasses
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -98,6 +98,13 @@ def _start(
     )
 
 
+def run_over(
+    rows: DataFrame, name: str, layout: Layout, write: Callable[[DataFrame, int], None], trigger: dict | None = None
+) -> StreamingQuery:
+    """A job of one's own: ``write(batch, batch_id)`` over a stream, with its checkpoint in the layout."""
+    return _start(rows, name, layout, write, trigger)
+
+
 def publish_edits(
     lines: DataFrame, networks: DataFrame, layout: Layout, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -109,7 +116,9 @@ def publish_edits(
     parsed = raw_feed.parse(lines)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        with _computed_once(batch.withColumn("_n", F.monotonically_increasing_id())) as events:
+        seen = Observation("lines")  # filled by the first action that computes the batch
+        numbered = batch.withColumn("_n", F.monotonically_increasing_id())
+        with _computed_once(numbered.observe(seen, *metrics.line_columns())) as events:
             broken = events.where(~F.col("decodable"))
             letters = broken.select("value", F.lit("malformed_json").alias("reason"))
             tables.append_letters(letters, layout.table("dead_letters"), "lines", batch_id)
@@ -117,15 +126,23 @@ def publish_edits(
             sent = wire.encode_events(geo.enrich(edits, networks), "ingest_ts", "_n")
             by_key = sent.repartition("key").sortWithinPartitions("key", "ingest_ts", "_n")
             tables.append_batch(by_key.select("key", "value"), layout.table("edit_events"), batch_id)
-            counted = events.agg(*metrics.line_columns())
-            _note(counted, layout, "edit_events", batch_id)
+            _note(batch.sparkSession, seen.get, LINE_COUNTERS, layout, "edit_events", batch_id)
 
     return _start(parsed, "edit_events", layout, write, trigger)
 
 
-def _note(counted: DataFrame, layout: Layout, job: str, batch_id: int) -> None:
-    """One row of counters of a micro-batch, in ``job_metrics`` of the job; a replay overwrites it."""
-    tables.append_batch(counted.coalesce(1), layout.table(f"job_metrics/{job}"), batch_id)
+#: Columns of the tables of counters.
+LINE_COUNTERS = "undecodable BIGINT, not_edits BIGINT, published BIGINT"
+EDIT_COUNTERS = (
+    "edits_processed_total BIGINT, bots_detected_total BIGINT, errors_total BIGINT, invalid_ids BIGINT,"
+    " mean_seconds DOUBLE, max_seconds DOUBLE"
+)
+
+
+def _note(spark: SparkSession, counted: dict, ddl: str, layout: Layout, job: str, batch_id: int) -> None:
+    """One row of what was observed in a micro-batch, in ``job_metrics`` of the job; a replay overwrites it."""
+    row = spark.createDataFrame([tuple(counted.get(name) for name in schemas.columns(ddl))], ddl)
+    tables.append_batch(row.coalesce(1), layout.table(f"job_metrics/{job}"), batch_id)
 
 
 def dedup_counter(layout: Layout) -> CarriedCounter:
@@ -188,20 +205,23 @@ def store_edits(
     checked = wire.check_storable(wire.decode_events(messages))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        with _computed_once(batch.withColumn("_n", F.monotonically_increasing_id())) as arrived:
-            good, _ = wire.split_quarantine(arrived)
+        seen, done = Observation("messages"), Observation("stored")
+        numbered = batch.withColumn("_n", F.monotonically_increasing_id())
+        with _computed_once(numbered.observe(seen, *metrics.message_columns("timestamp", "ingest_ts"))) as held:
+            good, _ = wire.split_quarantine(held)
             with (
                 first_deliveries(good, batch_id, layout, clock, tie, arrived) as accepted,
                 flag_bots(accepted, batch_id, layout, clock, tie, arrived) as flagged,
             ):
                 rows = processed.to_table(flagged, *dict.fromkeys([clock, "_n"]))
-                stored = tables.insert_edits(rows, layout.table("processed_edits"), batch_id, [clock, "_n"])
+                stored = tables.insert_edits(
+                    rows, layout.table("processed_edits"), batch_id, [clock, "_n"], done, metrics.stored_columns()
+                )
             tables.append_batch(processed.feed_rows(stored), layout.table("live_feed"), batch_id)
-            errors = arrived.agg(F.count_if(F.col("reason").isNotNull()).alias("errors_total"))
-            timed = good.agg(*metrics.latency_columns("timestamp", "ingest_ts"))
-            done = stored.agg(*metrics.counter_columns()).drop("errors_total")
-            # Each side is one row.
-            _note(done.crossJoin(errors).crossJoin(timed), layout, "processed_edits", batch_id)
+            sketches = metrics.latency_sketches(good, "timestamp", "ingest_ts")
+            tables.append_batch(sketches.coalesce(1), layout.table("job_latency"), batch_id)
+            counted = {**seen.get, **done.get}
+            _note(batch.sparkSession, counted, EDIT_COUNTERS, layout, "processed_edits", batch_id)
 
     return _start(checked, "processed_edits", layout, write, trigger)
 
@@ -223,10 +243,11 @@ def show_alerts(
 ) -> StreamingQuery:
     """Published alerts to the ticker table: the newest alerts so far, each once with its last count."""
     decoded = wire.decode_alerts(messages)
+    tables.create(messages.sparkSession, layout.table("alert_ticker"), schemas.ANOMALY_ALERT)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         path = layout.table("alert_ticker")
-        earlier = [b for b in tables.folders(batch.sparkSession, path, tables.BATCH) if b < batch_id]
+        earlier = [b for b in tables.folders(batch.sparkSession, path, tables.BATCH) if 0 <= b < batch_id]
         rows = batch
         if earlier:
             shown = batch.sparkSession.read.parquet(f"{path}/{tables.BATCH}={earlier[-1]}")
@@ -237,6 +258,13 @@ def show_alerts(
     return _start(decoded, "alert_ticker", layout, write, trigger)
 
 
+def read_ticker(spark: SparkSession, layout: Layout) -> DataFrame:
+    """The ticker table as the last batch left it; without rows before the first alert."""
+    path = layout.table("alert_ticker")
+    newest = tables.folders(spark, path, tables.BATCH)
+    return spark.read.schema(schemas.ANOMALY_ALERT).parquet(f"{path}/{tables.BATCH}={newest[-1]}")
+
+
 def refresh_rollups(
     spark: SparkSession, layout: Layout, trigger: dict | None = None
 ) -> StreamingQuery:
@@ -271,6 +299,7 @@ def raise_alerts(
     published once, when it has closed.
     """
     use_rocksdb(events.sparkSession)
+    tables.create(events.sparkSession, layout.table("anomalies"), "key STRING, value STRING")
     raised = anomalies.detect(events.withWatermark(clock, ANOMALY_DELAY), clock)
 
     def write(batch: DataFrame, batch_id: int) -> None:
