@@ -1,11 +1,15 @@
 """Token counts by overlap resynchronisation of long documents.
 
 A long text is encoded in chunks that overlap. A token boundary inside the overlap that both chunks
-have, and that lies between an ASCII letter or digit and an ASCII space or newline, is a boundary of
-the whole text's encoding: no match of the splitting pattern holds white space after anything else, and
-no special string holds white space, so what stands left and right of it are encoded apart in either
-case. The counts left of it come from one chunk and right of it from the next. Where the overlap has no
-such boundary it is doubled, up to the whole chunk, and then the chunk itself is extended.
+have, and that any context keeps, splits the whole text's encoding: what stands left and right of it is
+encoded apart. The counts left of it come from one chunk and right of it from the next. Where the overlap has
+no such boundary it is doubled, up to the whole chunk, and then the chunk itself is extended.
+
+Two kinds of boundary are kept by any context. One is between a character that is not white space and white
+space: no match of the splitting pattern holds white space after anything else, matches look ahead only, and
+no special string holds white space. The other is between a letter and punctuation of East Asian scripts,
+which write no spaces: no match holds another character after a letter, the run of other characters begins
+there in any context, and special strings are ASCII.
 """
 
 from __future__ import annotations
@@ -68,15 +72,27 @@ def encoder(json_path: str, ranks_path: str) -> tuple[Callable[[str], np.ndarray
     return _ENCODERS[json_path]
 
 
+#: The punctuation that ends clauses in East Asian scripts, as the three bytes of each.
+_MARKS = [int.from_bytes(mark.encode(), "big") for mark in "、。，！？：；"]
+
+
 def _stable(text: str, start: int, byte_ends: np.ndarray) -> np.ndarray:
-    """Of the token ends in bytes of ``text[start:]``'s encoding, those that any context keeps."""
+    """Of the token ends in bytes of ``text[start:]``'s encoding, those that any context keeps. Characters
+    are told by their bytes, so some that could serve are passed over."""
     data = np.frombuffer(text.encode(), np.uint8)
     inner = byte_ends[(byte_ends > 0) & (byte_ends < len(data))]
-    left, right = data[inner - 1], data[inner]
-    solid = (
-        ((left >= 48) & (left <= 57)) | ((left >= 65) & (left <= 90)) | ((left >= 97) & (left <= 122))
-    )
-    return inner[solid & ((right == 32) | (right == 10))] + start
+    padded = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(3, np.uint8)]).astype(np.int64)
+    at = inner + 3
+    three, two, left, right = padded[at - 3], padded[at - 2], padded[at - 1], padded[at]
+    # White space beyond ASCII: U+0085 and U+00A0, and single ones in the blocks of these leading bytes.
+    spaced = (left == 32) | ((left >= 9) & (left <= 13)) | (two == 0xC2)
+    spaced |= ((three == 0xE1) & (two == 0x9A)) | ((three == 0xE2) & (two <= 0x81)) | ((three == 0xE3) & (two == 0x80))
+    before_space = ~spaced & ((right == 32) | (right == 10))
+    # Letters: U+5000 to U+8FFF, and kana from U+3041 to U+3096 and U+30A1 to U+30BF.
+    kana = ((two == 0x81) & (left >= 0x81)) | ((two == 0x82) & ((left <= 0x96) | (left >= 0xA1)))
+    letter = (left >= 0x80) & (((three >= 0xE5) & (three <= 0xE8)) | ((three == 0xE3) & kana))
+    mark = np.isin(right << 16 | padded[at + 1] << 8 | padded[at + 2], _MARKS)
+    return inner[before_space | (letter & (two >= 0x80) & mark)] + start
 
 
 def count_long(
