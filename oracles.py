@@ -489,3 +489,5 @@ ORACLES["stream_bot_velocity"] = ORACLES["bot_velocity"]
 ORACLES["stream_first_deliveries"] = ORACLES["dedup_ttl"]
 ORACLES["stream_alert_ticker"] = ORACLES["alert_ticker"]
 ORACLES["stream_dead_letters"] = ORACLES["quarantine_reasons"]
+ORACLES["compacted_feed"] = ORACLES["live_feed"]
+ORACLES["stream_closed_windows"] = ORACLES["stream_anomalies"]

@@ -15,7 +15,7 @@ from quillstream.operators import keyed
 from quillstream.plans import anomalies, feeds, metrics, processed, rollup
 from quillstream.plans.dashboard import Dashboard, bot_human_pivot, geo_leaderboard
 from quillstream.session import prepare, stage, work_dir
-from quillstream.sources import raw_feed, tables, wire
+from quillstream.sources import compaction, raw_feed, tables, wire
 from quillstream.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -619,6 +619,19 @@ def stream_lag(spark, sf_dir):
     )
 
 
+@register
+def compacted_feed(spark, sf_dir):
+    """The live feed appended in eight batches and compacted twice on the way."""
+    path = work_dir(spark, "feed")
+    feed = stage(processed.feed_rows(fx.processed(spark, sf_dir)), "feed-rows")
+    ddl = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in feed.schema)
+    for batch in range(8):
+        tables.append_batch(feed.where(F.pmod("id", F.lit(8)) == batch), path, batch)
+        if batch in (3, 6):
+            compaction.compact(spark, path, ddl, batch - 1)
+    return compaction.read(spark, path, ddl).drop(tables.BATCH)
+
+
 @register
 def reject_old_replays(spark, sf_dir):
     """Edits in three inserts, then a batch that repeats one id of each day: what each insert stored."""
@@ -674,6 +687,24 @@ def stream_anomalies(spark, sf_dir):
     return anomalies.latest(wire.decode_alerts(published))
 
 
+@register
+def stream_closed_windows(spark, sf_dir):
+    """Alerts published once, when their window has closed; a last event far ahead closes all of them."""
+    layout = _layout(spark, "closed")
+    events = raw_feed.edits_only(fx.events(fx.base(spark, sf_dir), "ts_fast"))
+    events = events.select("id", "title", "timestamp", "is_revert")
+    end = events.agg(
+        F.lit(0).cast("bigint").alias("id"),
+        F.lit("End").alias("title"),
+        (F.max("timestamp") + F.expr("INTERVAL 1 DAY")).alias("timestamp"),
+        F.lit(False).alias("is_revert"),
+    )
+    stream = _in_batches(spark, events.unionByName(end), "timestamp", "events")
+    _finish(jobs.raise_alerts(stream, layout, mode="append"))
+    published = spark.read.schema("key STRING, value STRING").parquet(layout.table("anomalies"))
+    return wire.decode_alerts(published)
+
+
 @register
 def stream_alert_ticker(spark, sf_dir):
     """The ticker table as the job that follows the published alerts leaves it."""
