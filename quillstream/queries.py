@@ -710,7 +710,9 @@ def stream_alert_ticker(spark, sf_dir):
     """The ticker table as the job that follows the published alerts leaves it."""
     layout = _layout(spark, "ticker")
     _raised(spark, sf_dir, layout)
-    messages = jobs.read_messages(spark, layout.table("anomalies"), 1)
+    # Each batch of alerts is written in as many files as there are state partitions.
+    path = layout.table("anomalies")
+    messages = jobs.read_messages(spark, path, jobs.files_per_batch(spark, path, BATCHES))
     jobs.show_alerts(messages, layout).awaitTermination()
     shown = jobs.read_ticker(spark, layout)
     label = labels.format_anomaly_type(F.col("anomaly_type"))

@@ -59,6 +59,11 @@ def read_messages(spark: SparkSession, path: str, max_files: int = 1000) -> Data
     return stream.select("key", "value", arrived.alias("ingest_ts"))
 
 
+def files_per_batch(spark: SparkSession, path: str, batches: int) -> int:
+    """``max_files`` that reads what a table holds in at most ``batches`` micro-batches, however many files that is."""
+    return -(-len(spark.read.parquet(path).inputFiles()) // batches)
+
+
 def to_kafka(messages: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
     """Publish ``key`` and ``value`` to a topic. Needs the Kafka connector."""
     return (

@@ -8,6 +8,7 @@ from test_streaming import EVENT, Feed, event
 
 from quillstream import schemas, work_dir
 from quillstream.plans import metrics
+from quillstream.sources import tables, wire
 from quillstream.streaming import jobs
 
 NOON = dt.datetime(2026, 4, 9, 12)
@@ -79,3 +80,24 @@ def test_what_is_observed_equals_a_count(spark):
     assert got["invalid_ids"] == sum(r[0] <= 0 for r in sound)
     assert got["max_seconds"] == 59 and abs(got["mean_seconds"] - np.mean([r[0] for r in sound])) < 1e-9
     held.unpersist()
+
+
+def test_the_ticker_reads_many_files_in_few_batches(spark, monkeypatch):
+    from quillstream import queries
+
+    def many_files(spark, sf_dir, layout):
+        ends = [NOON + dt.timedelta(minutes=k) for k in range(40)]
+        raised = [(f"a{k}", f"P{k}", "EDIT_WAR", 5 + k, end - dt.timedelta(minutes=1), end) for k, end in enumerate(ends)]
+        for batch in range(2):
+            rows = spark.createDataFrame(raised[batch::2], schemas.ANOMALY_ALERT)
+            sent = wire.encode_alerts(rows).repartition(20)
+            tables.append_batch(sent, layout.table("anomalies"), batch)
+        many_files.layout = layout
+
+    monkeypatch.setattr(queries, "_raised", many_files)
+    got = queries.QUERIES["stream_alert_ticker"](spark, "/root/testdata/sf0.001")
+    assert sorted(r.id for r in got.collect()) == sorted(f"a{k}" for k in range(30, 40))
+    path = many_files.layout.table("anomalies")
+    assert len(spark.read.parquet(path).inputFiles()) > 20
+    taken = tables.folders(spark, many_files.layout.table("alert_ticker"), tables.BATCH)
+    assert 2 <= len([batch for batch in taken if batch >= 0]) <= queries.BATCHES
