@@ -495,16 +495,21 @@ def partition_balance(spark, sf_dir):
 BATCHES = 5
 
 
-def _in_batches(spark, rows, clock, name):
-    """``rows`` as a stream of ``BATCHES`` micro-batches in order of ``clock``, of some files each."""
-    files = spark.sparkContext.defaultParallelism
-    path, rows = work_dir(spark, name), stage(rows, f"{name}-rows")
+def _parts(rows, clock):
+    """``rows``, a staged table, cut into ``BATCHES`` parts in order of ``clock``."""
     time = F.unix_micros(clock)
     shares = [k / BATCHES for k in range(1, BATCHES)]
     cuts = rows.agg(F.percentile_approx(time, shares)).first()[0]
     for low, high in zip([None, *cuts], [*cuts, None]):
         part = rows.where(time >= low) if low is not None else rows
-        part = part.where(time < high) if high is not None else part
+        yield part.where(time < high) if high is not None else part
+
+
+def _in_batches(spark, rows, clock, name):
+    """``rows`` as a stream of ``BATCHES`` micro-batches in order of ``clock``, of some files each."""
+    files = spark.sparkContext.defaultParallelism
+    path, rows = work_dir(spark, name), stage(rows, f"{name}-rows")
+    for part in _parts(rows, clock):
         part.repartition(files).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(path)
 
@@ -564,22 +569,35 @@ def stream_bot_velocity(spark, sf_dir):
     return spark.read.parquet(layout.table("flagged")).select("id", "user", "is_bot")
 
 
-def _published(spark, sf_dir, layout):
-    """Raw lines through the publishing job, in order of the time they state, on the fast clock."""
+def _stated_lines(spark, sf_dir):
+    """Raw lines on the fast clock, with the time they state."""
     rows = fx.base(spark, sf_dir).withColumn("ts", F.col("ts_fast"))
     lines = fx.raw_lines(rows).drop("event_id")
-    stated = raw_feed.parse(lines).select("value", "ingest_ts", "timestamp")
-    feed = _in_batches(spark, stated, "timestamp", "lines").drop("timestamp")
+    return raw_feed.parse(lines).select("value", "ingest_ts", "timestamp")
+
+
+def _published(spark, sf_dir, layout):
+    """Raw lines through the publishing job, in order of the time they state, on the fast clock."""
+    feed = _in_batches(spark, _stated_lines(spark, sf_dir), "timestamp", "lines").drop("timestamp")
     _finish(jobs.publish_edits(feed, fx.networks(spark), layout))
 
 
 @register
 def stream_processed_edits(spark, sf_dir):
-    """Raw lines to wire events to the edits table, by two streaming jobs."""
-    layout = _layout(spark, "edits")
-    _published(spark, sf_dir, layout)
-    messages = jobs.read_messages(spark, layout.table("edit_events"), 1)
-    _finish(jobs.store_edits(messages, layout, clock="timestamp", tie="id"))
+    """Raw lines to wire events to the edits table, by two streaming jobs that take turns.
+
+    Each run of the second takes all that the first has published since, in one micro-batch: a user's edits
+    lie in the files of many titles, and a batch of some of them would walk them out of order.
+    """
+    layout, path = _layout(spark, "edits"), work_dir(spark, "lines")
+    stated = stage(_stated_lines(spark, sf_dir), "lines-rows")
+    for part in _parts(stated, "timestamp"):
+        lines = part.drop("timestamp")
+        lines.write.mode("append").parquet(path)
+        feed = spark.readStream.schema(lines.schema).parquet(path)
+        jobs.publish_edits(feed, fx.networks(spark), layout).awaitTermination()
+        messages = jobs.read_messages(spark, layout.table("edit_events"), None)
+        jobs.store_edits(messages, layout, clock="timestamp", tie="id").awaitTermination()
     return tables.read_edits(spark, layout.table("processed_edits"))
 
 

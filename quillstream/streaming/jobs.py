@@ -48,13 +48,15 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
-def read_messages(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
-    """Published messages as a stream: ``key``, ``value`` and ``ingest_ts``."""
-    stream = (
-        spark.readStream.schema("key STRING, value STRING")
-        .option("maxFilesPerTrigger", max_files)
-        .parquet(path)
-    )
+def read_messages(spark: SparkSession, path: str, max_files: int | None = 1000) -> DataFrame:
+    """Published messages as a stream: ``key``, ``value`` and ``ingest_ts``.
+
+    Without ``max_files`` a micro-batch takes all files that have come.
+    """
+    reader = spark.readStream.schema("key STRING, value STRING")
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    stream = reader.parquet(path)
     arrived = F.col("_metadata.file_modification_time")
     return stream.select("key", "value", arrived.alias("ingest_ts"))
 

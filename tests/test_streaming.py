@@ -2,10 +2,12 @@ import datetime as dt
 import json
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from quillstream import schemas, work_dir
+import check_queries
+from quillstream import queries, schemas, work_dir
 from quillstream.plans import anomalies, processed
 from quillstream.sources import raw_feed, tables, wire
 from quillstream.streaming import carried, jobs
@@ -263,3 +265,26 @@ def test_raw_folder_scans_agree(spark):
     )
     query.awaitTermination()
     assert spark.read.parquet(f"{out}/t").count() == 5
+
+
+def test_users_of_many_titles_are_walked_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "BATCHES", 2)
+    db = duckdb.connect()
+    db.execute(
+        f"""COPY (SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i * 1500) SECOND AS ts, i % 3 + 5 AS user_id,
+        'click' AS event_type, 0.0 AS value, concat('{{"k": ', i * 7 % 100, '}}') AS props FROM range(120) r(i))
+        TO '{tmp_path}/events.parquet' (FORMAT parquet)"""
+    )
+    own = {
+        "spark.sql.shuffle.partitions": "6",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1",
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1",
+    }
+    before = {name: spark.conf.get(name) for name in own}
+    try:
+        for name, value in own.items():
+            spark.conf.set(name, value)
+        assert check_queries.compare(spark, check_queries.connect(tmp_path), "stream_processed_edits", tmp_path) is None
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
