@@ -31,7 +31,8 @@ def _is_v6(text: Column) -> Column:
     sound = F.forall(sides, lambda side: side.rlike(_SIDE))
     total = F.aggregate(sides, F.lit(0), lambda n, side: n + groups(side))
     fits = F.when(F.size(sides) == 1, total == 8).otherwise((F.size(sides) == 2) & (total <= 7))
-    return F.coalesce(sound & fits, F.lit(False))
+    # Most users have no colon: they skip the split.
+    return F.when(F.contains(text, F.lit(":")), F.coalesce(sound & fits, F.lit(False))).otherwise(False)
 
 
 def is_anonymous(user: Column) -> Column:

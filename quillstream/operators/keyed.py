@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +24,11 @@ def keep_first(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 
     Only keys are shuffled to find the repeated ones; whole rows are grouped for those alone.
     """
-    counts = rows.groupBy(*key).agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    repeated = counts.select(*key)
-    single = rows.join(repeated, key, "left_anti").select(*rows.columns)
-    several = rows.join(repeated, key, "left_semi").select(*rows.columns)
+    counts = rows.groupBy(*[F.col(name).alias(f"_{name}") for name in key]).agg(F.count("*").alias("_times"))
+    repeated = counts.where(F.col("_times") > 1).drop("_times")
+    same = functools.reduce(lambda a, b: a & b, [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in key])
+    single = rows.join(repeated, same, "left_anti")
+    several = rows.join(repeated, same, "left_semi")
     return single.unionByName(first_per_key(several, key, order))
 
 

@@ -133,17 +133,19 @@ def insert_edits(
     costs the partition it lies in. ``watch`` is observed while the rows are written.
     """
     spark = edits.sparkSession
-    fresh = keyed.first_per_key(edits, ["id"], arrival or ["edit_timestamp"]).select(
-        *schemas.columns(schemas.PROCESSED_EDITS)
+    # Few ids repeat: only ids are shuffled to find those that do, whole rows only to their dates.
+    placed = {EDITS_DATE: F.to_date("edit_timestamp"), BATCH: F.lit(batch_id).cast("bigint")}
+    staged = stage(edits.withColumns(placed), "fresh-edits")
+    fresh = keyed.keep_first(staged, ["id"], arrival or ["edit_timestamp"]).select(
+        *schemas.columns(schemas.PROCESSED_EDITS), *placed
     )
-    fresh = stage(fresh.withColumn(EDITS_DATE, F.to_date("edit_timestamp")), "fresh-edits")
-    existing = existing_ids(spark, path, fresh, batch_id)
-    dated = keyed.reject_existing(fresh, existing, ["id"]).withColumn(BATCH, F.lit(batch_id).cast("bigint"))
+    existing = existing_ids(spark, path, staged, batch_id)
+    dated = keyed.reject_existing(fresh, existing, ["id"])
     if watch is not None:
         dated = dated.observe(watch, *watch_columns)
     (
         dated.repartition(EDITS_DATE, F.pmod(F.xxhash64("id"), F.lit(FILES_PER_DATE)))
-        .sortWithinPartitions(EDITS_DATE, "id")
+        .sortWithinPartitions(EDITS_DATE, BATCH, "id")  # partition columns first, or the writer sorts again
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(EDITS_DATE, BATCH)
@@ -163,7 +165,7 @@ def existing_ids(spark: SparkSession, path: str, fresh: DataFrame, batch_id: int
     """The ids of the partitions of other batches that may hold one of ``fresh``. A table that has no
     sidecar yet is indexed first."""
     if not _exists(spark, path):
-        return spark.createDataFrame([], "id BIGINT")
+        return fresh.select("id").limit(0)  # known to be empty: nothing is joined
     index = id_sidecar(path)
     if not _exists(spark, index):
         id_index.write(_edits(spark, path).select("id", EDITS_DATE, BATCH), index)

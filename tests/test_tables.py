@@ -5,6 +5,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillstream import schemas, work_dir
+from quillstream.operators import keyed
 from quillstream.plans import rollup
 from quillstream.sources import tables
 
@@ -180,3 +181,24 @@ def test_files_are_sorted_by_id(spark):
     for file in {r.file for r in by_file}:
         ids = [r.id for r in sorted(by_file, key=lambda r: r.n) if r.file == file]
         assert ids == sorted(ids)
+
+
+def test_an_insert_groups_whole_rows_of_repeated_ids_only(spark, monkeypatch):
+    grouped, first_per_key = [], keyed.first_per_key
+
+    def counted(rows, key, order):
+        grouped.append(rows.count())
+        return first_per_key(rows, key, order)
+
+    monkeypatch.setattr(keyed, "first_per_key", counted)
+    path, later = work_dir(spark, "edits"), DAY + dt.timedelta(hours=1)
+    sent = edits(spark, *[edit(k) for k in range(1, 11)], edit(3, later, title="Other"))
+    stored = tables.insert_edits(sent, path, 0)
+    assert sorted(r.id for r in stored.collect()) == list(range(1, 11))
+    assert {r.page_title for r in stored.collect()} == {"Test_Page"}
+    assert grouped == [2]
+
+
+def test_keep_first_takes_null_for_one_key(spark, rows):
+    frame = spark.createDataFrame([(None, 2), (None, 1), (5, 4), (6, 3), (6, 2)], "id BIGINT, t INT")
+    assert rows(keyed.keep_first(frame, ["id"], ["t"])) == rows(keyed.first_per_key(frame, ["id"], ["t"]))
